@@ -41,7 +41,7 @@ class Scorer(Protocol):
     def estimate(self, lo: int, hi: int, rows: object) -> tuple[np.ndarray, float]:
         """Scores of queries lo..hi against the rows, and how far they may be from the exact ones."""
 
-    def exact(self, queries: np.ndarray, rows: np.ndarray, prepared: object) -> np.ndarray: ...
+    def exact(self, queries: np.ndarray, rows: np.ndarray, prepared: object, estimates: np.ndarray) -> np.ndarray: ...
 
 
 ScorerFactory = Callable[[pa.Table], Scorer]
@@ -96,7 +96,7 @@ class DenseScorer:
             bound = (self.reach + reach) ** 2
         return scores, 4 * EPS32 * (rows.shape[1] + 2) * bound
 
-    def exact(self, queries, rows, prepared):
+    def exact(self, queries, rows, prepared, estimates):
         a, b = self.vectors[queries], prepared[0][rows]
         if self.metric == "l2":
             return -((a - b) ** 2).sum(axis=1)
@@ -156,21 +156,28 @@ class _Best:
         self.rows: pa.Table | None = None
 
     def merge(self, query: np.ndarray, score: np.ndarray, rows: pa.Table) -> None:
+        untouched = None
         if self.rows is not None:
-            query, score = np.concatenate([self.query, query]), np.concatenate([self.score, score])
-            rows = pa.concat_tables([self.rows, rows])
+            touched = np.zeros(len(self.kth), dtype=bool)
+            touched[query] = True
+            old = touched[self.query]
+            untouched = self.query[~old], self.score[~old], self.rows.filter(pa.array(~old))
+            query, score = np.concatenate([self.query[old], query]), np.concatenate([self.score[old], score])
+            rows = pa.concat_tables([self.rows.filter(pa.array(old)), rows])
         order = pc.sort_indices(
             pa.table({"q": query, "s": score, "id": rows.column(0)}),
             sort_keys=[("q", "ascending"), ("s", "descending"), ("id", "ascending")],
         ).to_numpy()
         query, score = query[order], score[order]
-        starts = np.flatnonzero(np.r_[True, query[1:] != query[:-1]]) if len(query) else np.zeros(0, dtype=np.int64)
+        starts = np.flatnonzero(np.r_[True, query[1:] != query[:-1]])
         place = np.arange(len(query)) - np.repeat(starts, np.diff(np.r_[starts, len(query)]))
-        keep = place < self.k
-        full = place == self.k - 1
+        keep, full = place < self.k, place == self.k - 1
         self.kth[query[full]] = score[full]
-        self.query, self.score = query[keep], score[keep]
-        self.rows = rows.take(pa.array(order[keep])).combine_chunks()
+        query, score, rows = query[keep], score[keep], rows.take(pa.array(order[keep]))
+        if untouched is not None:
+            query, score = np.concatenate([untouched[0], query]), np.concatenate([untouched[1], score])
+            rows = pa.concat_tables([untouched[2], rows])
+        self.query, self.score, self.rows = query, score, rows.combine_chunks()
 
 
 def _scan(batches, scorer: Scorer, allowed: AllowedValues, k: int, payload: list[str], floor: float) -> _Best:
@@ -180,7 +187,7 @@ def _scan(batches, scorer: Scorer, allowed: AllowedValues, k: int, payload: list
             continue
         prepared, codes = scorer.prepare(batch), allowed.codes(batch)
         slab = max(1, MATRIX_CELLS // batch.num_rows)
-        found_q, found_r = [], []
+        found_q, found_r, found_s = [], [], []
         for lo in range(0, scorer.n, slab):
             hi = min(lo + slab, scorer.n)
             scores, error = scorer.estimate(lo, hi, prepared)
@@ -195,10 +202,11 @@ def _scan(batches, scorer: Scorer, allowed: AllowedValues, k: int, payload: list
             q, r = np.nonzero(keep)
             found_q.append(q + lo)
             found_r.append(r)
-        q, r = np.concatenate(found_q), np.concatenate(found_r)
+            found_s.append(scores[q, r])
+        q, r, estimates = np.concatenate(found_q), np.concatenate(found_r), np.concatenate(found_s)
         if not len(q):
             continue
-        exact = scorer.exact(q, r, prepared)
+        exact = scorer.exact(q, r, prepared, estimates)
         keep = (exact >= best.kth[q]) & (exact > floor)
         q, r, exact = q[keep], r[keep], exact[keep]
         rows = pa.Table.from_batches([batch]).select(payload).take(pa.array(r))
@@ -218,7 +226,7 @@ def _output_schema(corpus: DataFrame, queries: DataFrame, payload: list[str]) ->
     return T.StructType(fields + [T.StructField(c, corpus.schema[c].dataType) for c in payload])
 
 
-def _best_per_query(candidates: DataFrame, id_col: str, k: int) -> DataFrame:
+def best_per_query(candidates: DataFrame, id_col: str, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(id_col))
     return candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -275,7 +283,7 @@ def broadcast_topk(
         best = _scan(batches, scorer(table), allowed, k, payload, floor)
         yield from _emit(best, table["query_id"], arrow_schema).to_batches(max_chunksize=10_000)
 
-    return _best_per_query(corpus.mapInArrow(search, schema), payload[0], k)
+    return best_per_query(corpus.mapInArrow(search, schema), payload[0], k)
 
 
 def grid_topk(
@@ -283,7 +291,17 @@ def grid_topk(
     filter_keys: tuple[str, ...] = (), missing_passes: bool = False, floor: float = -np.inf,
     cell: str | None = None, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """Blocks of both sides meet in one task each, per cell if ``cell`` names a column both sides have.
+    """Blocks of both sides meet in one task each; see ``grid_candidates``."""
+    found = grid_candidates(corpus, queries, scorer, k, payload, filter_keys, missing_passes, floor, cell, block_bytes)
+    return best_per_query(found, payload[0], k)
+
+
+def grid_candidates(
+    corpus: DataFrame, queries: DataFrame, scorer: ScorerFactory, k: int, payload: list[str],
+    filter_keys: tuple[str, ...] = (), missing_passes: bool = False, floor: float = -np.inf,
+    cell: str | None = None, block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """The k best rows of each block for each of its queries, per cell if ``cell`` names a column both sides have.
 
     Block counts come from the measured bytes of each cell, so no task gets more than about ``block_bytes`` of either
     side however the rows are spread over cells. Cells must be few (centroids, hash buckets): their sizes are read by
@@ -325,5 +343,4 @@ def grid_topk(
     def keys(df: DataFrame):
         return df.groupBy(F.col(key), F.col("_r").cast("int").alias("_r"), F.col("_c").cast("int").alias("_c"))
 
-    found = keys(left).cogroup(keys(right)).applyInArrow(search, schema)
-    return _best_per_query(found, payload[0], k)
+    return keys(left).cogroup(keys(right)).applyInArrow(search, schema)

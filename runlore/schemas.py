@@ -22,7 +22,7 @@ TICKETS = T.StructType(
     + [T.StructField("tags", _STRING_ARRAY)]
 )
 
-_DISPLAY = T.StructType(_strings("display_value"))
+_DISPLAY = T.StructType(_strings("display_value", "value"))
 
 REMOTE_TICKETS = T.StructType(
     _strings(

@@ -61,5 +61,5 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     Large inputs have more splits than cores and pass through unshuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores, *keys) if size < cores * SMALL_PARTITION_BYTES else df
