@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Elements whose text is not part of the page text.
 SILENT = ("script", "style", "template")
@@ -65,7 +66,7 @@ def page_text(html: str | None) -> str | None:
     return "\n".join(parser.nodes)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _html_to_text(pages: pd.Series) -> pd.Series:
     return pages.map(page_text)
 
