@@ -1 +1,181 @@
+"""Queries over lexical and dense retrieval. The benchmark passages are the queries, the documents the corpus."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from runlore.operators import chunking, lexical, rerank as rr
+from runlore.plans.evaluation import ABLATION, ablation
+from runlore.plans.index_build import KnowledgeBase, knowledge_base
+from runlore.plans.retrieval import retrieve, with_chunks
+from runlore.queries.base import bm25_sql, chunk_sql, query, rerank_sql, table, texts
+from runlore.queries.documents import DOC_SQL, doc_rows
+from runlore.session import materialise
+from runlore.settings import ChunkSettings, RetrievalSettings, Settings
+
+LEXICAL = RetrievalSettings(dense=False, filter_keys=())
+DENSE = RetrievalSettings(filter_keys=())
+
+QUERY_SQL = "queries AS (SELECT item_id AS query_id, text FROM benchmark)"
+CORPUS_SQL = "corpus AS (SELECT doc_id AS id, text FROM documents)"
+
+
+def passages(spark, sf) -> DataFrame:
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def corpus(spark, sf) -> DataFrame:
+    return texts(spark, sf).select(F.col("doc_id").alias("chunk_id"), "text")
+
+
+def chunk_corpus(spark, sf) -> DataFrame:
+    """Sliding-window chunks of all documents, materialised because several stages read them."""
+    return materialise(chunking.chunk_with(doc_rows(spark, sf), chunking.sliding_windows(), "sliding_window"))
+
+
+@query(
+    "bm25_topk",
+    f"WITH {CORPUS_SQL}, {QUERY_SQL}, {bm25_sql('b', 'corpus', 'queries', 10)} SELECT query_id, id AS chunk_id, round(s, 6) AS score, rn AS rank FROM b_top",
+)
+def bm25_topk(spark, sf):
+    found = lexical.bm25(corpus(spark, sf), passages(spark, sf), 10)
+    return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+def first_candidates(spark, sf) -> DataFrame:
+    """Ten best documents per passage, with their text."""
+    rows = corpus(spark, sf)
+    found = materialise(lexical.bm25(rows, passages(spark, sf), 10))
+    return materialise(with_chunks(found, rows, ("text",)))
+
+
+_RERANKED = f"WITH {CORPUS_SQL}, {QUERY_SQL}, {bm25_sql('b', 'corpus', 'queries', 10)}, {rerank_sql('r1', 'b_top', 'b')}"
+
+
+@query(
+    "reranked_candidates",
+    f"""{_RERANKED} SELECT query_id, id AS chunk_id, round(score, 6) AS score,
+      row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM r1""",
+)
+def reranked_candidates(spark, sf):
+    asked = passages(spark, sf)
+    scorer = rr.TermCoverage().fit(corpus(spark, sf), asked)
+    found = rr.rerank(first_candidates(spark, sf), asked, scorer)
+    return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+_SPARSE = """pass1 AS (SELECT * FROM r1 WHERE score >= 0.45),
+sparse AS (SELECT query_id, text FROM queries LEFT JOIN (SELECT query_id, count(*) AS n FROM pass1 GROUP BY query_id) USING (query_id) WHERE coalesce(n, 0) < 3)"""
+
+
+@query("sparse_queries", f"{_RERANKED}, {_SPARSE} SELECT query_id FROM sparse")
+def sparse_queries(spark, sf):
+    asked = passages(spark, sf)
+    scorer = rr.TermCoverage().fit(corpus(spark, sf), asked)
+    scored = rr.rerank(first_candidates(spark, sf), asked, scorer)
+    return rr.sparse_queries(asked, scored.where(F.col("score") >= 0.45), 3).select("query_id")
+
+
+def _passages_sql(candidates: str) -> str:
+    return f"""ptf AS (SELECT c.query_id, t, sum(tf) AS tf FROM {candidates} c JOIN b_tf USING (id) GROUP BY ALL),
+pw AS (SELECT query_id, t, row_number() OVER (PARTITION BY query_id ORDER BY round(tf * ln(1 + (n - df + 0.5) / (df + 0.5)), 9) DESC, t) AS place
+  FROM ptf JOIN b_df USING (t), b_st),
+pas AS (SELECT query_id, string_agg(t, ' ' ORDER BY place) AS passage FROM pw WHERE place <= 20 GROUP BY query_id)"""
+
+
+@query(
+    "expanded_queries",
+    f"""WITH {CORPUS_SQL}, {QUERY_SQL}, {bm25_sql('b', 'corpus', 'queries', 10)}, {_passages_sql('b_top')}
+    SELECT query_id, coalesce(text || chr(10) || chr(10) || passage, text) AS text FROM queries LEFT JOIN pas USING (query_id)""",
+)
+def expanded_queries(spark, sf):
+    found = rr.feedback_passages(first_candidates(spark, sf), corpus(spark, sf), 20)
+    return rr.expand(passages(spark, sf), found).select("query_id", "text")
+
+
+_RETRIEVAL = f"""WITH {DOC_SQL},{chunk_sql('ch', 'src', 'sliding_window')},
+corpus AS (SELECT printf('%s_chunk_%04d', id, i) AS id, text FROM ch), {QUERY_SQL},
+{bm25_sql('b', 'corpus', 'queries', 10)}, {rerank_sql('r1', 'b_top', 'b')}, {_SPARSE},
+asked AS (SELECT b_top.* FROM b_top SEMI JOIN sparse USING (query_id)), {_passages_sql('asked')},
+expanded AS (SELECT query_id, coalesce(text || chr(10) || chr(10) || passage, text) AS text FROM sparse LEFT JOIN pas USING (query_id)),
+{bm25_sql('e', 'corpus', 'expanded', 10)}, {rerank_sql('r2', 'e_top', 'b')},
+merged AS (SELECT query_id, id, max(round(score, 9)) AS score FROM (SELECT * FROM pass1 UNION ALL SELECT * FROM r2 WHERE score >= 0.45) GROUP BY query_id, id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM merged)"""
+
+
+@query("lexical_retrieval", f"{_RETRIEVAL} SELECT query_id, id AS chunk_id, round(score, 6) AS score, rank FROM ranked WHERE rank <= 5")
+def lexical_retrieval(spark, sf):
+    """The whole path over chunks: search, re-rank, threshold, expansion of the sparse queries, cut."""
+    kb = KnowledgeBase(chunk_corpus(spark, sf), None, None)
+    found = retrieve(passages(spark, sf), kb, LEXICAL)
+    return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("dense_retrieval")
+def dense_retrieval(spark, sf):
+    """The whole path with vectors of the default featurizer."""
+    kb = knowledge_base(doc_rows(spark, sf))
+    found = retrieve(passages(spark, sf), kb, DENSE)
+    return found.select("query_id", "chunk_id", "document_id", F.round("score", 6).alias("score"), "rank")
+
+
+SHINGLE = 8
+
+
+def containing_documents(spark, sf) -> DataFrame:
+    """(item_id, doc_id) of the documents that hold a benchmark passage word for word.
+
+    Pairs come from an equi join on the passage's first words, so only documents that share them are compared.
+    """
+
+    def flat(c):
+        return F.regexp_replace(c, r"\s+", " ")
+
+    items = table(spark, sf, "benchmark").select("item_id", flat("text").alias("passage"))
+    items = items.withColumn("start", F.array_join(F.slice(F.split("passage", " "), 1, SHINGLE), " "))
+    rows = texts(spark, sf).select("doc_id", flat("text").alias("body")).withColumn("w", F.split("body", " "))
+    n = F.greatest(F.lit(1), F.size("w") - SHINGLE + 1)
+    starts = F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice("w", i, SHINGLE), " ")))
+    hits = rows.select("doc_id", F.explode(starts).alias("start")).join(items.select("item_id", "start"), "start")
+    pairs = hits.select("item_id", "doc_id").distinct()
+    verified = pairs.join(rows.select("doc_id", "body"), "doc_id").join(items.select("item_id", "passage"), "item_id")
+    return verified.where(F.col("body").contains(F.col("passage"))).select("item_id", "doc_id")
+
+
+def name_sources(prompt_rows: DataFrame) -> DataFrame:
+    """Replies that name the sources of the prompt's passages in order: a stand-in for a model, so that what is
+    measured is the retrieval."""
+    sources = F.regexp_extract_all("user_message", F.lit(r"(?m)^Source: (.*)$"), 1)
+    causes = F.transform(sources, lambda s: F.struct(s.alias("hypothesis"), F.lit("1.0").alias("confidence")))
+    return prompt_rows.select("incident_id", F.to_json(F.struct(causes.alias("root_causes"))).alias("text"))
+
+
+@query("ablation_metrics")
+def ablation_metrics(spark, sf):
+    """Evaluation of every configuration: passages as incidents, the document that holds them as the label."""
+    truth = containing_documents(spark, sf).groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
+    samples = materialise(
+        table(spark, sf, "benchmark").join(truth, "item_id").select(
+            F.col("item_id").cast("string").alias("incident_id"),
+            F.substring_index("text", ".", 1).alias("title"),
+            F.col("text").alias("description"),
+            F.lit("").alias("service"),
+            F.lit("P3").alias("priority"),
+            F.lit("").alias("environment"),
+            F.lit("").alias("error_message"),
+            F.concat(F.lit("doc_"), "doc_id").alias("ground_truth_root_cause"),
+        )
+    )
+    rows = materialise(doc_rows(spark, sf).withColumn("title", F.col("document_id")))
+    kb = knowledge_base(rows)
+    # One window per document: larger than any text.
+    widest = rows.agg(F.max("word_count")).first()[0] or 1
+    whole = knowledge_base(
+        rows.withColumn("document_type", F.lit("documentation")), Settings(chunks=ChunkSettings(size=max(widest, 1), overlap=0))
+    )
+    out = ablation(samples, kb, whole, name_sources)
+    return out.select("config", "accuracy", "precision_at_1", "recall_at_3", "samples")
+
+
+assert len(ABLATION) == 6

@@ -41,16 +41,17 @@ def write_chunks(chunks: DataFrame, out: str, checkpoint: str, trigger: dict | N
 
 
 def index_stream(
-    chunks: DataFrame, table: VectorTable, featurizer: Featurizer, checkpoint: str, trigger: dict | None = None,
-    carry: tuple[str, ...] = ("title", "text"),
+    chunks: DataFrame, table: VectorTable, featurizer: Featurizer, checkpoint: str, name: str = "stream",
+    trigger: dict | None = None, carry: tuple[str, ...] = ("title", "text"),
 ) -> StreamingQuery:
-    """Embed each micro-batch and add it to the table. The batch id names the commit and ids already there are
-    skipped, so a replayed batch adds nothing. Duplicates are looked up in the whole table, not in bounded state."""
+    """Embed each micro-batch and add it to the table. Stream name and batch id name the added data and ids already
+    there are skipped, so a replayed batch adds nothing. Duplicates are looked up in the whole table, not in bounded
+    state. One writer per table."""
 
     def add(batch: DataFrame, batch_id: int) -> None:
         vectors, _ = embed_chunks(batch, featurizer)
         extra = batch.select("chunk_id", *[c for c in carry if c in batch.columns]).dropDuplicates(["chunk_id"])
-        table.add(vectors.dropDuplicates(["chunk_id"]).join(extra, "chunk_id"), batch=f"batch-{batch_id}")
+        table.add(vectors.dropDuplicates(["chunk_id"]).join(extra, "chunk_id"), batch=f"{name}-{batch_id}")
 
     return _started(chunks.writeStream.foreachBatch(add), checkpoint, trigger)
 
