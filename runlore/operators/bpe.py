@@ -1,0 +1,104 @@
+"""Chunk strategies that count tokens of a byte-pair encoding instead of words.
+
+The encoding's rank file must be readable on the executors; none ships with the package. Each text is encoded in an
+Arrow-batched UDF, next to the row it belongs to.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from runlore.operators.chunking import Strategy
+from runlore.settings import ChunkSettings, check_window
+
+# Fixed value: how the cl100k_base encoding cuts text before merging bytes.
+CL100K_PATTERN = (
+    r"'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?+\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]++[\r\n]*|\s*[\r\n]|\s+(?!\S)|\s+"
+)
+SECTION = re.compile(r"\n{2,}|(?=^#{1,3}\s)", re.MULTILINE)
+SENTENCE = re.compile(r"(?<=[.!?])\s+")
+
+
+@lru_cache(maxsize=4)
+def encoding(rank_file: str, pattern: str):
+    """The encoding of a rank file, loaded once per Python worker."""
+    import tiktoken
+    from tiktoken.load import load_tiktoken_bpe
+
+    return tiktoken.Encoding(name=rank_file, pat_str=pattern, mergeable_ranks=load_tiktoken_bpe(rank_file), special_tokens={})
+
+
+def windows(enc, text: str, size: int, overlap: int) -> list[str]:
+    ids = enc.encode_ordinary(text)
+    step = size - overlap
+    n = 1 + max(0, -(-(len(ids) - size) // step)) if ids else 0
+    return [enc.decode(ids[i * step : i * step + size]) for i in range(n)]
+
+
+def _runs(pieces: list[str], fits: Callable[[list[str], str], bool], alone: Callable[[str], bool]) -> Iterator[list[str]]:
+    """Consecutive pieces as long as the next one fits; a piece that must stand alone ends the run before it."""
+    run: list[str] = []
+    for piece in pieces:
+        if run and (alone(piece) or alone(run[-1]) or not fits(run, piece)):
+            yield run
+            run = []
+        run.append(piece)
+    if run:
+        yield run
+
+
+def sections(enc, text: str, limit: int, least: int, overlap: int) -> list[str]:
+    def count(t: str) -> int:
+        return len(enc.encode_ordinary(t))
+
+    pieces = [p for p in (s.strip() for s in SECTION.split(text)) if p]
+    large = {p for p in pieces if count(p) > limit}
+    out: list[str] = []
+    for run in _runs(pieces, lambda r, p: count("\n\n".join([*r, p])) <= limit, large.__contains__):
+        out += windows(enc, run[0], limit, overlap) if run[0] in large else ["\n\n".join(run)]
+    return [t for t in out if count(t) >= least]
+
+
+def sentences(enc, text: str, limit: int) -> list[str]:
+    pieces = [p for p in (s.strip() for s in SENTENCE.split(text)) if p]
+    counts = {p: len(enc.encode_ordinary(p)) for p in pieces}
+    runs = _runs(pieces, lambda r, p: sum(map(counts.__getitem__, r)) + counts[p] <= limit, lambda p: False)
+    return [" ".join(r) for r in runs]
+
+
+def bpe_strategies(rank_file: str, settings: ChunkSettings | None = None, pattern: str = CL100K_PATTERN) -> dict[str, Strategy]:
+    """Drop-in replacement for the word strategies of ``chunk_documents``."""
+    s = settings or ChunkSettings()
+    check_window(s.size, s.section_overlap)
+
+    def strategy(cut: Callable[[object, str], list[str]]) -> Strategy:
+        @F.pandas_udf(T.ArrayType(T.StringType()))
+        def run(texts: pd.Series) -> pd.Series:
+            enc = encoding(rank_file, pattern)
+            return texts.map(lambda t: cut(enc, t) if t else [])
+
+        return lambda c: run(c)
+
+    return {
+        "sliding_window": strategy(lambda enc, t: windows(enc, t, s.size, s.overlap)),
+        "section": strategy(lambda enc, t: sections(enc, t, s.size, s.section_min, s.section_overlap)),
+        "sentence": strategy(lambda enc, t: sentences(enc, t, s.sentence_size)),
+    }
+
+
+def bpe_count(rank_file: str, pattern: str = CL100K_PATTERN) -> Callable[[Column], Column]:
+    """Token count of a text column."""
+
+    @F.pandas_udf(T.IntegerType())
+    def count(texts: pd.Series) -> pd.Series:
+        enc = encoding(rank_file, pattern)
+        return texts.map(lambda t: len(enc.encode_ordinary(t or "")))
+
+    return lambda c: count(c)

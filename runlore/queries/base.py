@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runlore.session import spread
+from runlore.session import ship_package, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
     def register(run: Query) -> Query:
         def widened(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
             df = run(spark, sf_dir)
             return df.select(
                 *[

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def get_spark(app: str = "runlore", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -63,3 +66,13 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores, *keys) if size < cores * SMALL_PARTITION_BYTES else df
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let the Python workers import this package wherever the driver found it; once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        package = Path(__file__).resolve().parent
+        target = Path(tempfile.mkdtemp(prefix="runlore-package-")) / package.name
+        sc.addPyFile(shutil.make_archive(str(target), "zip", package.parent, package.name))
+        _shipped.add(sc.applicationId)

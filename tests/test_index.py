@@ -1,0 +1,150 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from runlore.operators import features as ft
+from runlore.operators.vector_table import Commit, CommitConflict, VectorTable
+from runlore.plans.index_build import CACHE_SCHEMA, build_index, embed_chunks, empty_cache, knowledge_base
+from runlore.plans.retrieval import retrieve
+from runlore.settings import EmbedSettings, RetrievalSettings
+
+
+def rows(spark, items):
+    data = [(c, "d", f"h{h}", [float(h), 1.0]) for c, h in items]
+    return spark.createDataFrame(data, "chunk_id string, document_id string, content_hash string, embedding array<float>")
+
+
+def ids(df):
+    return sorted((r.chunk_id, r.content_hash) for r in df.collect())
+
+
+def test_add_skips_known_ids_and_repeats(spark, tmp_path):
+    store = VectorTable(spark, str(tmp_path / "t"), rows(spark, []).schema)
+    assert store.read().count() == 0
+    store.add(rows(spark, [("a", 1), ("b", 1), ("a", 2)]))
+    assert ids(store.read()) == [("a", "h1"), ("b", "h1")]
+    store.add(rows(spark, [("a", 3), ("c", 3)]))
+    store.add(rows(spark, [("a", 3), ("c", 3)]))
+    assert ids(store.read()) == [("a", "h1"), ("b", "h1"), ("c", "h3")]
+    before = store.commit()
+    store.add(rows(spark, [("a", 3), ("d", 4)]), on_change="replace")
+    assert ids(store.read()) == [("a", "h3"), ("b", "h1"), ("c", "h3"), ("d", "h4")]
+    assert len(ids(store.read(before))) == 3
+    with pytest.raises(ValueError):
+        store.add(rows(spark, []), on_change="merge")
+
+
+def test_rebuild_switches_whole_versions(spark, tmp_path):
+    store = VectorTable(spark, str(tmp_path / "t"))
+    store.add(rows(spark, [(f"c{i}", i) for i in range(5)]))
+    old = store.commit()
+    store.rebuild(rows(spark, [(f"n{i}", i) for i in range(3)]))
+    assert [c for c, _ in ids(store.read())] == ["n0", "n1", "n2"]
+    assert store.read(old).count() == 5 and store.commit().version == 1
+    with pytest.raises(ValueError):
+        store.rebuild(rows(spark, [("x", 1)]).withColumn("embedding", F.lit(None).cast("array<float>")))
+    assert store.read().count() == 3
+    s = store.stats().first()
+    assert (s.total_vectors, s.total_chunks, s.dimensions) == (3, 3, 2)
+
+
+def test_a_lost_race_is_an_error_and_named_batches_count_once(spark, tmp_path):
+    store = VectorTable(spark, str(tmp_path / "t"))
+    store.add(rows(spark, [("a", 1)]), batch="s-0")
+    assert store.add(rows(spark, [("z", 1)]), batch="s-0").number == 1
+    with pytest.raises(CommitConflict):
+        store._publish(0, ["data/x"], Commit(0))
+    assert ids(store.read()) == [("a", "h1")]
+
+
+def texts(spark, items):
+    from runlore.functions import text as tx
+
+    df = spark.createDataFrame(items, "chunk_id string, document_id string, text string")
+    return df.withColumn("content_hash", tx.content_hash(F.col("text")))
+
+
+def lengths(dimensions=2, **options):
+    """A model that returns the length of a text."""
+
+    def load():
+        return lambda batch: np.array([[len(t), 1.0] for t in batch])
+
+    return ft.BatchFunction(load, dimensions, "lengths", **options)
+
+
+def test_each_distinct_text_is_embedded_once_and_cached(spark):
+    chunks = texts(spark, [("a", "d", "same"), ("b", "d", "same"), ("c", "d", "other text")])
+    model = lengths(batch_size=2)
+    vectors, new = embed_chunks(chunks, model)
+    assert {r.chunk_id: list(r.embedding) for r in vectors.collect()} == {"a": [4, 1], "b": [4, 1], "c": [10, 1]}
+    assert new.count() == 2
+    now = F.timestamp_seconds(F.lit(10_000))
+    cached = new.withColumn("embedding", F.array(F.lit(9.0), F.lit(9.0)).cast("array<float>"))
+    fresh = cached.withColumn("embedded_at", F.timestamp_seconds(F.lit(9_000))).where("embedding is not null")
+    more = chunks.unionByName(texts(spark, [("d", "d", "new")]))
+    vectors, new = embed_chunks(more, model, fresh, 3600, now)
+    assert new.count() == 1
+    assert {r.chunk_id: list(r.embedding) for r in vectors.collect()}["a"] == [9, 9]
+    stale = cached.withColumn("embedded_at", F.timestamp_seconds(F.lit(1_000)))
+    assert embed_chunks(more, model, stale, 3600, now)[1].count() == 3
+    other = fresh.withColumn("model", F.lit("another"))
+    assert embed_chunks(more, model, other, 3600, now)[1].count() == 3
+
+
+def test_providers(spark):
+    assert ft.build_featurizer(EmbedSettings()).dimensions == 512
+    with pytest.raises(ValueError):
+        ft.build_featurizer(EmbedSettings(provider="nowhere"))
+    with pytest.raises(ValueError):
+        ft.HashedTfIdf(8).transform(texts(spark, []))
+    wrong = lengths(3)
+    with pytest.raises(Exception, match="dimensions"):
+        wrong.transform(texts(spark, [("a", "d", "x")])).collect()
+
+
+def test_hashed_tfidf(spark, tmp_path):
+    t = texts(spark, [("a", "d", "pool pool disk"), ("b", "d", "disk full"), ("c", "d", "Pool! Disk?"), ("e", "d", "...")])
+    fitted = ft.HashedTfIdf(64).fit(t)
+    out = {r.chunk_id: np.array(r.embedding) for r in fitted.transform(t).collect()}
+    assert all(len(v) == 64 for v in out.values())
+    assert [round(float(np.linalg.norm(out[c])), 5) for c in "abce"] == [1, 1, 1, 0]
+    fitted.save(str(tmp_path / "m"))
+    again = ft.HashedTfIdf(64).load(str(tmp_path / "m"))
+    assert {r.chunk_id: list(r.embedding) for r in again.transform(t).collect()} == {c: list(v) for c, v in out.items()}
+
+
+def knowledge_documents(spark):
+    data = [
+        ("d1", "runbook", "Pool", "connection pool exhausted restart the database pool", "payments", "production"),
+        ("d2", "runbook", "Disk", "disk full clean the logs and extend the volume", "auth", "production"),
+        ("d3", "documentation", "Cats", "cats sleep all day in the sun", None, None),
+    ]
+    return spark.createDataFrame(data, "document_id string, document_type string, title string, content_text string, service string, environment string")
+
+
+def test_build_twice_adds_nothing(spark, tmp_path):
+    docs = knowledge_documents(spark)
+    store, cache = VectorTable(spark, str(tmp_path / "t")), str(tmp_path / "cache")
+    model = ft.HashedTfIdf(64).fit(docs, "content_text")
+    first = build_index(docs, store, model, cache_path=cache).first()
+    assert (first.documents, first.chunks, first.vectors, first.embedded, first.cache_hits, first.dimensions) == (3, 3, 3, 3, 0, 64)
+    second = build_index(docs, store, model, cache_path=cache).first()
+    assert (second.vectors, second.embedded, second.cache_hits) == (3, 0, 3)
+    build_index(docs.where("document_id = 'd1'"), store, model, rebuild=True)
+    assert store.read().count() == 1 and spark.read.schema(CACHE_SCHEMA).parquet(cache).count() == 3
+
+
+def test_dense_retrieval_with_filters(spark):
+    kb = knowledge_base(knowledge_documents(spark))
+    assert empty_cache(spark).count() == 0
+    asked = spark.createDataFrame(
+        [("q1", "database connection pool exhausted", "payments"), ("q2", "database connection pool exhausted", "auth"), ("q3", "cats sleep", None)],
+        "query_id string, text string, f_service string",
+    )
+    found = retrieve(asked, kb, RetrievalSettings(expansion_enabled=False))
+    assert sorted((r.query_id, r.document_id) for r in found.collect()) == [("q1", "d1"), ("q3", "d3")]
+    # Documents without a service can be let through.
+    loose = RetrievalSettings(expansion_enabled=False, missing_passes=True, threshold=0.0, filter_mode="pre")
+    found = retrieve(asked.where("query_id = 'q2'"), kb, loose)
+    assert sorted(r.document_id for r in found.collect()) == ["d2", "d3"]
