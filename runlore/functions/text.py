@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +25,12 @@ CLASSIFY_HEAD = 500
 MAX_HEADINGS = 10
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once. A column used inside a lambda is otherwise computed again for
+    every element the lambda sees."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def clean_text(c: Column) -> Column:
     """Every whitespace run becomes one space, then NULs go, then the ends are trimmed."""
     return F.trim(F.replace(F.regexp_replace(c, f"(?U){SPACE}+", " "), F.lit("\0"), F.lit("")))

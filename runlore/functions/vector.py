@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from runlore.functions.text import bind
+
 
 def dot(a: Column, b: Column) -> Column:
     """Inner product in double precision, summed in array order."""
@@ -22,8 +24,7 @@ def normalise(a: Column) -> Column:
     def divided(n: Column) -> Column:
         return F.transform(a, lambda x: x.cast("double") / F.when(n > 0, n).otherwise(1.0))
 
-    # A lambda variable holds the norm, so it is computed once per vector and not once per element.
-    return F.element_at(F.transform(F.array(norm(a)), divided), 1)
+    return bind(norm(a), divided)
 
 
 def sigmoid(x: Column) -> Column:

@@ -53,7 +53,9 @@ class CentroidCells:
             distance = (centroids**2).sum(axis=1)[None, :] - 2 * points @ centroids.T
             return pd.Series(list(np.argsort(distance, axis=1, kind="stable")[:, :probes].astype(np.int32)))
 
-        return _unit(df).withColumn("cell", F.explode(nearest("embedding")))
+        # Outer, so that the optimizer does not filter by a second call of the function.
+        cells = _unit(df).withColumn("cell", F.explode_outer(nearest("embedding")))
+        return cells.where(F.col("cell").isNotNull())
 
 
 @dataclass(frozen=True)
@@ -73,7 +75,7 @@ class ProjectionCells:
     def assign(self, df: DataFrame, probes: int = 1) -> DataFrame:
         """One row per vector, table and each of the ``probes`` buckets around its own."""
         hashed = self.model.transform(_unit(df).withColumn("features", array_to_vector("embedding"))).drop("features")
-        rows = hashed.select("*", F.posexplode("hashes").alias("_table", "_hash")).drop("hashes")
+        rows = hashed.select("*", F.posexplode_outer("hashes").alias("_table", "_hash")).drop("hashes")
         bucket = F.element_at(vector_to_array("_hash"), 1).cast("int")
         # Own bucket first, then its neighbours outwards.
         offsets = [(i + 1) // 2 * (1 if i % 2 else -1) for i in range(probes)]

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlore.functions import text as tx
+from runlore.session import materialise
 
 PROFILE_SIZE = 300
 DEFAULT = "en"
@@ -27,18 +28,20 @@ def language_profiles(labelled: DataFrame, size: int = PROFILE_SIZE, text_col: s
     ``gain`` is the log probability above the floor that any other trigram gets; the empty trigram holds the floor.
     """
     counts = (
-        labelled.select("lang", F.explode(trigrams(F.col(text_col))).alias("gram"))
+        labelled.select("lang", F.explode_outer(trigrams(F.col(text_col))).alias("gram"))
+        .where(F.col("gram").isNotNull())
         .groupBy("lang", "gram")
         .agg(F.count("*").alias("n"))
     )
     # Totals and order both come from the folded counts, so a language with most of the text is a few rows here.
+    counts = materialise(counts)
     order = Window.partitionBy("lang").orderBy(F.desc("n"), F.asc("gram"))
     top = counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= size)
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     floor = F.ln(F.lit(1.0) / (F.col("total") + 1))
     gain = F.ln((F.col("n") + 1) / (F.col("total") + 1)) - floor
     listed = top.join(totals, "lang").select("lang", "gram", gain.alias("gain"))
-    return listed.unionByName(totals.select("lang", F.lit("").alias("gram"), floor.alias("gain")))
+    return materialise(listed.unionByName(totals.select("lang", F.lit("").alias("gram"), floor.alias("gain"))))
 
 
 def detect_languages(
@@ -52,11 +55,10 @@ def detect_languages(
     languages = sorted(r["lang"] for r in profiles.select("lang").distinct().collect())
     wide = profiles.groupBy("gram").pivot("lang", languages).agg(F.max("gain")).fillna(0.0)
     text = F.substring(text_col, 1, head_chars) if head_chars else F.col(text_col)
-    grams = texts.select(id_col, trigrams(text).alias("g"))
+    grams = texts.select(id_col, trigrams(text).alias("g")).select(id_col, "g", F.size("g").alias("size"))
     # The empty trigram carries how many there were, and so the floor for all of them.
-    rows = grams.select(
-        id_col, F.size("g").alias("size"), F.explode(F.array_append("g", F.lit(""))).alias("gram")
-    ).withColumn("times", F.when(F.col("gram") == "", F.col("size")).otherwise(1))
+    rows = grams.select(id_col, "size", F.explode_outer(F.array_append("g", F.lit(""))).alias("gram"))
+    rows = rows.withColumn("times", F.when(F.col("gram") == "", F.col("size")).otherwise(1))
     scores = rows.join(F.broadcast(wide), "gram").groupBy(id_col).agg(
         F.max("size").alias("size"),
         *[F.round(F.sum(F.col("times") * F.col(f"`{lang}`")), 6).alias(f"s_{lang}") for lang in languages],

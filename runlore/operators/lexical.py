@@ -23,35 +23,34 @@ POSTINGS_AT_ONCE = 1 << 22
 
 def query_terms(queries: DataFrame) -> DataFrame:
     """(query_id, term, qtf) of the query texts."""
-    rows = queries.select("query_id", F.explode(tx.terms(F.col("text"))).alias("term"))
+    rows = queries.select("query_id", F.explode_outer(tx.terms(F.col("text"))).alias("term")).where("term is not null")
     return rows.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
 @dataclass(frozen=True)
 class TermStatistics:
-    """Document frequencies of a vocabulary, with the number of texts and their mean length in terms."""
+    """(term, df) of a vocabulary, with the number of texts and their mean length in terms."""
 
     frequencies: DataFrame
     n: int
     mean_length: float
 
 
-def term_statistics(corpus: DataFrame, vocabulary: DataFrame) -> TermStatistics:
-    """One pass over the corpus for the terms of ``vocabulary``.
+def term_statistics(corpus: DataFrame, vocabulary: DataFrame | None = None) -> TermStatistics:
+    """One pass over the corpus, for all its terms or for those of ``vocabulary``; the result is materialised.
 
     Every text also yields an empty term that carries its length, so the totals come out of the same aggregation.
-    Hot terms are folded before the shuffle; the result has at most one row per vocabulary term.
+    Hot terms are folded before the shuffle.
     """
-    wanted = vocabulary.select("term").distinct()
-    wanted = bounded_broadcast(wanted.union(wanted.sparkSession.createDataFrame([("",)], "term string")), 1_000_000)
-    tokens = corpus.select(tx.terms(F.col("text")).alias("t"))
-    seen = tokens.select(F.size("t").alias("len"), F.explode(F.array_append(F.array_distinct("t"), F.lit(""))).alias("term"))
-    counted = (
-        seen.join(wanted, "term", "left_semi")
-        .groupBy("term")
-        .agg(F.count("*").alias("df"), F.sum(F.when(F.col("term") == "", F.col("len"))).alias("length"))
-    )
-    counted = materialise(counted)
+    # The size is taken before the array is exploded, so that no row of a term carries the array along.
+    tokens = corpus.select(tx.terms(F.col("text")).alias("t")).select("t", F.size("t").alias("len"))
+    seen = tokens.select("len", F.explode_outer(F.array_append(F.array_distinct("t"), F.lit(""))).alias("term"))
+    if vocabulary is not None:
+        wanted = vocabulary.select("term").distinct()
+        empty = wanted.sparkSession.createDataFrame([("",)], "term string")
+        seen = seen.join(bounded_broadcast(wanted.union(empty), 1_000_000), "term", "left_semi")
+    length = F.sum(F.when(F.col("term") == "", F.col("len")))
+    counted = materialise(seen.groupBy("term").agg(F.count("*").alias("df"), length.alias("length")))
     total = counted.where(F.col("term") == "").first()
     n, length = (total["df"], total["length"]) if total else (0, 0)
     return TermStatistics(counted.where(F.col("term") != "").select("term", "df"), n, length / n if n else 0.0)
@@ -64,7 +63,8 @@ def idf(df, n: int):
 
 def weighted_terms(terms: DataFrame, stats: TermStatistics) -> DataFrame:
     """(query_id, terms, idfs, weights): the query's terms in term order. A term the corpus lacks has frequency 0."""
-    with_df = terms.join(stats.frequencies, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    known = stats.frequencies.join(terms.select("term").distinct(), "term", "left_semi")
+    with_df = terms.join(known, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     rows = with_df.groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct("term", idf(F.col("df"), stats.n).alias("idf"), "qtf"))).alias("t")
     )
@@ -129,11 +129,14 @@ class BM25Scorer:
 
 def bm25(
     corpus: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "chunk_id", carry: tuple[str, ...] = (),
-    broadcast_bytes: int = BROADCAST_BYTES,
+    stats: TermStatistics | None = None, broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """(query_id, id, score, rank) of the k best texts per query; texts that share no term with it are not results."""
-    terms = query_terms(queries)
-    stats = term_statistics(corpus, terms)
+    """(query_id, id, score, rank) of the k best texts per query; texts that share no term with it are not results.
+
+    ``stats``: statistics of the corpus if they are there already, else they are taken for the queries' terms.
+    """
+    terms = materialise(query_terms(queries))
+    stats = stats or term_statistics(corpus, terms)
     weighted = materialise(weighted_terms(terms, stats).select("query_id", "terms", "weights"))
     rows = corpus.select(id_col, *carry, tx.terms(F.col("text")).alias("terms"))
     scorer = partial(BM25Scorer, mean_length=stats.mean_length or 1.0)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from runlore.operators import chunking, lexical, rerank as rr
 from runlore.plans.evaluation import ABLATION, ablation
-from runlore.plans.index_build import KnowledgeBase, knowledge_base
+from runlore.plans.index_build import knowledge_base, lexical_base
 from runlore.plans.retrieval import retrieve, with_chunks
 from runlore.queries.base import bm25_sql, chunk_sql, query, rerank_sql, table, texts
 from runlore.queries.documents import DOC_SQL, doc_rows
@@ -30,8 +30,8 @@ def corpus(spark, sf) -> DataFrame:
 
 
 def chunk_corpus(spark, sf) -> DataFrame:
-    """Sliding-window chunks of all documents, materialised because several stages read them."""
-    return materialise(chunking.chunk_with(doc_rows(spark, sf), chunking.sliding_windows(), "sliding_window"))
+    """Sliding-window chunks of all documents."""
+    return chunking.chunk_with(doc_rows(spark, sf), chunking.sliding_windows(), "sliding_window")
 
 
 @query(
@@ -43,11 +43,12 @@ def bm25_topk(spark, sf):
     return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
-def first_candidates(spark, sf) -> DataFrame:
-    """Ten best documents per passage, with their text."""
+def first_candidates(spark, sf) -> tuple[DataFrame, lexical.TermStatistics]:
+    """Ten best documents per passage with their text, and the statistics of the documents."""
     rows = corpus(spark, sf)
-    found = materialise(lexical.bm25(rows, passages(spark, sf), 10))
-    return materialise(with_chunks(found, rows, ("text",)))
+    stats = lexical.term_statistics(rows)
+    found = materialise(lexical.bm25(rows, passages(spark, sf), 10, stats=stats))
+    return with_chunks(found, rows, ("text",)), stats
 
 
 _RERANKED = f"WITH {CORPUS_SQL}, {QUERY_SQL}, {bm25_sql('b', 'corpus', 'queries', 10)}, {rerank_sql('r1', 'b_top', 'b')}"
@@ -60,8 +61,8 @@ _RERANKED = f"WITH {CORPUS_SQL}, {QUERY_SQL}, {bm25_sql('b', 'corpus', 'queries'
 )
 def reranked_candidates(spark, sf):
     asked = passages(spark, sf)
-    scorer = rr.TermCoverage().fit(corpus(spark, sf), asked)
-    found = rr.rerank(first_candidates(spark, sf), asked, scorer)
+    candidates, stats = first_candidates(spark, sf)
+    found = rr.rerank(candidates, asked, rr.TermCoverage().fit(asked, stats))
     return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -72,8 +73,8 @@ sparse AS (SELECT query_id, text FROM queries LEFT JOIN (SELECT query_id, count(
 @query("sparse_queries", f"{_RERANKED}, {_SPARSE} SELECT query_id FROM sparse")
 def sparse_queries(spark, sf):
     asked = passages(spark, sf)
-    scorer = rr.TermCoverage().fit(corpus(spark, sf), asked)
-    scored = rr.rerank(first_candidates(spark, sf), asked, scorer)
+    candidates, stats = first_candidates(spark, sf)
+    scored = rr.rerank(candidates, asked, rr.TermCoverage().fit(asked, stats))
     return rr.sparse_queries(asked, scored.where(F.col("score") >= 0.45), 3).select("query_id")
 
 
@@ -90,7 +91,7 @@ pas AS (SELECT query_id, string_agg(t, ' ' ORDER BY place) AS passage FROM pw WH
     SELECT query_id, coalesce(text || chr(10) || chr(10) || passage, text) AS text FROM queries LEFT JOIN pas USING (query_id)""",
 )
 def expanded_queries(spark, sf):
-    found = rr.feedback_passages(first_candidates(spark, sf), corpus(spark, sf), 20)
+    found = rr.feedback_passages(*first_candidates(spark, sf), 20)
     return rr.expand(passages(spark, sf), found).select("query_id", "text")
 
 
@@ -107,8 +108,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 @query("lexical_retrieval", f"{_RETRIEVAL} SELECT query_id, id AS chunk_id, round(score, 6) AS score, rank FROM ranked WHERE rank <= 5")
 def lexical_retrieval(spark, sf):
     """The whole path over chunks: search, re-rank, threshold, expansion of the sparse queries, cut."""
-    kb = KnowledgeBase(chunk_corpus(spark, sf), None, None)
-    found = retrieve(passages(spark, sf), kb, LEXICAL)
+    found = retrieve(passages(spark, sf), lexical_base(chunk_corpus(spark, sf)), LEXICAL)
     return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -137,7 +137,7 @@ def containing_documents(spark, sf) -> DataFrame:
     rows = texts(spark, sf).select("doc_id", flat("text").alias("body")).withColumn("w", F.split("body", " "))
     n = F.greatest(F.lit(1), F.size("w") - SHINGLE + 1)
     starts = F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice("w", i, SHINGLE), " ")))
-    hits = rows.select("doc_id", F.explode(starts).alias("start")).join(items.select("item_id", "start"), "start")
+    hits = rows.select("doc_id", F.explode_outer(starts).alias("start")).join(items.select("item_id", "start"), "start")
     pairs = hits.select("item_id", "doc_id").distinct()
     verified = pairs.join(rows.select("doc_id", "body"), "doc_id").join(items.select("item_id", "passage"), "item_id")
     return verified.where(F.col("body").contains(F.col("passage"))).select("item_id", "doc_id")

@@ -48,11 +48,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint, so a lost executor costs a re-read and not the upstream jobs."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Cut lineage with a table in the shared folder, so a lost executor costs a re-read and not the upstream jobs.
+
+    A written table is computed once, where an eager checkpoint computes its last stage twice, and its readers prune
+    columns and know its size.
+    """
+    path = scratch_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 SMALL_PARTITION_BYTES = 32 << 20

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from runlore.operators import lexical, rerank as rr
-from runlore.plans.index_build import KnowledgeBase
+from runlore.plans.index_build import lexical_base
 from runlore.plans.retrieval import retrieve
 from runlore.settings import RetrievalSettings
 
@@ -74,7 +74,7 @@ def test_rerank_replaces_scores_and_sorts(spark):
 
 def test_coverage_sees_the_whole_text(spark):
     c, q = tables(spark, ["alpha " + "pad " * 400 + "omega", "alpha", "beta"], ["alpha omega", "unknown"])
-    scorer = rr.TermCoverage().fit(c, q)
+    scorer = rr.TermCoverage().fit(q, lexical.term_statistics(c))
     rows = c.withColumn("query_id", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("score", F.lit(0.0)).withColumn("rank", F.lit(0))
     got = {(r.query_id, r.chunk_id): r.score for r in rr.rerank(rows, q, scorer).collect()}
     assert got[0, "c000"] == pytest.approx(1 / (1 + math.exp(-5)))
@@ -103,7 +103,7 @@ def knowledge(spark):
         ("c4", "d4", "alert", "Logs", "rotate logs when storage is short"),
     ]
     chunks = spark.createDataFrame(rows, "chunk_id string, document_id string, document_type string, title string, text string")
-    return KnowledgeBase(chunks, None, None)
+    return lexical_base(chunks)
 
 
 def test_retrieval_threshold_expansion_and_cut(spark):
