@@ -11,12 +11,11 @@ HOT_ROWS = 200_000
 
 def hot_keys(df: DataFrame, key: str, share: int = HOT_SHARE, min_rows: int = HOT_ROWS) -> list:
     """Keys with more than ``1/share`` of the rows and more than ``min_rows``; there can be no more than ``share``."""
-    counts = df.groupBy(key).agg(F.count("*").alias("n"))
-    large = counts.where((F.col("n") > min_rows) & F.col(key).isNotNull())
-    total = df.agg(F.count("*").alias("total"))
-    # One row on the right, so its size is known.
-    hot = large.join(F.broadcast(total), F.col("n") * share > F.col("total"))
-    return [r[key] for r in hot.select(key).collect()]
+    total = df.count()
+    if total <= min_rows:
+        return []
+    counts = df.groupBy(key).agg(F.count("*").alias("n")).where(F.col(key).isNotNull())
+    return [r[key] for r in counts.where(F.col("n") > max(min_rows, total // share)).select(key).collect()]
 
 
 def join_hot(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlore.operators import chunking, lexical, rerank as rr
-from runlore.plans.evaluation import ABLATION, ablation
+from runlore.plans.evaluation import ablation
 from runlore.plans.index_build import knowledge_base, lexical_base
 from runlore.plans.retrieval import retrieve, with_chunks
 from runlore.queries.base import bm25_sql, chunk_sql, query, rerank_sql, table, texts
@@ -176,6 +176,3 @@ def ablation_metrics(spark, sf):
     )
     out = ablation(samples, kb, whole, name_sources)
     return out.select("config", "accuracy", "precision_at_1", "recall_at_3", "samples")
-
-
-assert len(ABLATION) == 6

@@ -41,8 +41,10 @@ def union_sources(*sources: DataFrame) -> DataFrame:
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path or glob names anything."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    found = target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target)
+    return found is not None and len(found) > 0
 
 
 def available(spark: SparkSession, paths: dict[str, str]) -> tuple[dict[str, str], list[str]]:

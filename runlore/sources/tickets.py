@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from runlore import schemas
 from runlore.functions import text as tx
-from runlore.sources.documents import conform, content
+from runlore.sources.documents import conform, content, path_exists
 
 CORRUPT = "_corrupt_record"
 RESOLVED_STATE = "6"
@@ -29,11 +29,15 @@ def read_ticket_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_ticket_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header row; every value is text, so ``tags`` is a one-element list of the cell."""
+    """CSV with a header row; every value is text, so ``tags`` is a one-element list of the cell.
+
+    Files read together must have one header; a file with another one is an error, not misread.
+    """
     raw = (
         spark.read.option("header", True)
         .option("multiLine", True)
         .option("escape", '"')
+        .option("enforceSchema", False)
         .option("pathGlobFilter", "*.csv")
         .csv(path)
     )
@@ -53,7 +57,9 @@ def read_tickets(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     elif path.endswith(".json"):
         rows = read_ticket_json(spark, path)
     else:
-        rows = read_ticket_json(spark, path).unionByName(read_ticket_csv(spark, path))
+        rows = read_ticket_json(spark, path)
+        if path_exists(spark, f"{path.rstrip('/')}/*.csv"):
+            rows = rows.unionByName(read_ticket_csv(spark, path))
     # Spark refuses to read the corrupt column alone, so a condition that always holds looks at an ordinary one.
     rows = rows.where(F.length(F.concat_ws("", "id")) >= 0)
     good = rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT)

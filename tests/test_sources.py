@@ -61,6 +61,9 @@ def test_single_ticket_files_and_strict_text(spark, ticket_folder):
     one = tickets.ticket_documents(good.where("id = 'T-1'"), strict=True).first()
     assert one.content_text.startswith("Incident: Pool exhausted Priority: P1 Affected Service: payments Description: No connections")
     assert tickets.read_tickets(spark, str(ticket_folder / "b.csv"))[0].count() == 1
+    (ticket_folder / "c.csv").write_text("title,id\nSwapped,T-4\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        tickets.read_tickets(spark, str(ticket_folder))[0].select("id", "title", "tags").collect()
 
 
 def remote(spark, *records):
