@@ -307,24 +307,27 @@ def grid_candidates(
     side however the rows are spread over cells. Cells must be few (centroids, hash buckets): their sizes are read by
     the driver.
     """
-    key = cell or "_cell"
-    if cell is None:
-        corpus, queries = corpus.withColumn(key, F.lit(0)), queries.withColumn(key, F.lit(0))
+    keys = [cell] if cell else []
 
     def blocks(df: DataFrame, name: str) -> DataFrame:
-        sizes = df.groupBy(key).agg(F.sum(_row_bytes(df)).alias("b"))
-        return sizes.select(key, F.ceil(F.col("b") / block_bytes).cast("int").alias(name))
+        sizes = df.groupBy(*keys).agg(F.coalesce(F.sum(_row_bytes(df)), F.lit(0)).alias("b"))
+        return sizes.select(*keys, F.greatest(F.lit(1), F.ceil(F.col("b") / block_bytes)).cast("int").alias(name))
 
-    grid = blocks(corpus, "_rows").join(blocks(queries, "_cols"), key).collect()
-    spark = corpus.sparkSession
-    grid = spark.createDataFrame(
-        [tuple(g) for g in grid],
-        T.StructType([corpus.schema[key], T.StructField("_rows", T.IntegerType()), T.StructField("_cols", T.IntegerType())]),
-    )
+    if cell:
+        counts = blocks(corpus, "_rows").join(blocks(queries, "_cols"), cell)
+        # As many rows as cells; written down so that both sides read the same.
+        grid = corpus.sparkSession.createDataFrame(counts.collect(), counts.schema)
+    else:
+        n_rows, n_cols = blocks(corpus, "_rows").first()["_rows"], blocks(queries, "_cols").first()["_cols"]
+
+    def placed(df: DataFrame) -> DataFrame:
+        if cell:
+            return df.join(F.broadcast(grid), cell)
+        return df.withColumn("_rows", F.lit(n_rows)).withColumn("_cols", F.lit(n_cols))
 
     def assigned(df: DataFrame, id_col: str, own: str, other: str, own_key: str, other_key: str) -> DataFrame:
-        placed = df.join(F.broadcast(grid), key).withColumn(own_key, F.pmod(F.xxhash64(id_col), F.col(own)))
-        return placed.withColumn(other_key, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("_rows", "_cols")
+        rows = placed(df).withColumn(own_key, F.pmod(F.xxhash64(id_col), F.col(own)).cast("int"))
+        return rows.withColumn(other_key, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("_rows", "_cols")
 
     left = assigned(corpus, payload[0], "_rows", "_cols", "_r", "_c")
     right = assigned(queries, "query_id", "_cols", "_rows", "_c", "_r")
@@ -340,7 +343,5 @@ def grid_candidates(
         best = _scan(rows.to_batches(max_chunksize=10_000), scorer(block), allowed, k, payload, floor)
         return _emit(best, block["query_id"], arrow_schema)
 
-    def keys(df: DataFrame):
-        return df.groupBy(F.col(key), F.col("_r").cast("int").alias("_r"), F.col("_c").cast("int").alias("_c"))
-
-    return keys(left).cogroup(keys(right)).applyInArrow(search, schema)
+    by = [*keys, "_r", "_c"]
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(search, schema)

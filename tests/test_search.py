@@ -169,3 +169,12 @@ def test_hot_keys_join_apart(spark):
     got = join_hot(many, unique, "k", share=4, min_rows=100)
     assert sorted(map(tuple, got.select("k", "id", "v").collect())) == sorted(map(tuple, many.join(unique, "k").select("k", "id", "v").collect()))
     assert join_hot(many, unique, "k", "left", share=4, min_rows=100).count() == 1000
+
+
+def test_filters_and_columns_reach_the_scan(spark, tmp_path):
+    path = str(tmp_path / "v")
+    rows = corpus(spark, [[1, 0], [0, 1]], ["a", "b"]).withColumn("text", F.lit("long text"))
+    rows.write.parquet(path)
+    plan = se.search(spark.read.parquet(path), queries(spark, [[1.0, 0.0]]), 1)._jdf.queryExecution().executedPlan().toString()
+    assert "IsNotNull(embedding)" in plan and "text" not in plan.split("ReadSchema")[1].split(">")[0]
+    assert plan.count("Exchange hashpartitioning(query_id") == 1 and "WindowGroupLimit" in plan
