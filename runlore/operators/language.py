@@ -13,6 +13,7 @@ from runlore.functions import text as tx
 from runlore.session import materialise
 
 PROFILE_SIZE = 300
+MAX_LANGUAGES = 200
 DEFAULT = "en"
 
 
@@ -52,7 +53,10 @@ def detect_languages(
     The profiles become one row per trigram with a column per language, so a trigram of a text stays one row, and
     each text is folded to one row before the shuffle.
     """
-    languages = sorted(r["lang"] for r in profiles.select("lang").distinct().collect())
+    found = profiles.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()
+    if len(found) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages: the labels are not language codes")
+    languages = sorted(r["lang"] for r in found)
     wide = profiles.groupBy("gram").pivot("lang", languages).agg(F.max("gain")).fillna(0.0)
     text = F.substring(text_col, 1, head_chars) if head_chars else F.col(text_col)
     grams = texts.select(id_col, trigrams(text).alias("g")).select(id_col, "g", F.size("g").alias("size"))

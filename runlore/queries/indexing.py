@@ -47,7 +47,7 @@ def embedding_cache_split(spark, sf):
     )
 
 
-@query("embedded_chunks", "SELECT count(*) AS vectors, 512 AS min_dimensions, 512 AS max_dimensions, TRUE AS ok FROM documents")
+@query("embedded_chunks", "SELECT count(*) AS vectors, 512::BIGINT AS min_dimensions, 512::BIGINT AS max_dimensions, TRUE AS ok FROM documents")
 def embedded_chunks(spark, sf):
     """Every distinct text embedded once, then back to every chunk, copies included."""
     chunks = text_chunks(spark, sf)
@@ -86,7 +86,7 @@ def changed(spark, sf):
 
 @query(
     "index_versions",
-    """SELECT 'first' AS state, 1 AS commit, 0 AS version, count(*) AS total_vectors FROM labels
+    """SELECT 'first' AS state, 1::BIGINT AS commit, 0::BIGINT AS version, count(*) AS total_vectors FROM labels
     UNION ALL SELECT 'added', 2, 0, count(*) FROM documents UNION ALL SELECT 'again', 3, 0, count(*) FROM documents
     UNION ALL SELECT 'rebuilt', 4, 1, count(*) FROM labels UNION ALL SELECT 'pinned', 2, 0, count(*) FROM documents""",
 )
@@ -119,7 +119,7 @@ def index_versions(spark, sf):
     return out
 
 
-@query("index_stats", "SELECT count(*) AS total_vectors, count(*) AS total_chunks, 10 AS total_documents, 64 AS dimensions, 'flat' AS index_type FROM embeddings")
+@query("index_stats", "SELECT count(*) AS total_vectors, count(*) AS total_chunks, count(DISTINCT label) AS total_documents, max(len(embedding)) AS dimensions, 'flat' AS index_type FROM embeddings")
 def stats(spark, sf):
     rows = table(spark, sf, "embeddings")
     return index_stats(rows.withColumnRenamed("vec_id", "chunk_id").withColumn("document_id", F.col("label")))
@@ -128,7 +128,7 @@ def stats(spark, sf):
 @query(
     "index_build",
     f"""WITH {DOC_SQL}, {chunk_sql('ch', 'src', 'sliding_window')}
-    SELECT (SELECT count(*) FROM src) AS documents, count(*) AS chunks, count(*) AS vectors, 256 AS dimensions,
+    SELECT (SELECT count(*) FROM src) AS documents, count(*) AS chunks, count(*) AS vectors, 256::BIGINT AS dimensions,
       count(DISTINCT text) AS distinct_texts, count(DISTINCT text) AS embedded, 0 AS cache_hits FROM ch
     UNION ALL SELECT (SELECT count(*) FROM src), count(*), count(*), 256, count(DISTINCT text), 0, count(DISTINCT text) FROM ch""",
 )

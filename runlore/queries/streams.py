@@ -50,7 +50,7 @@ def stream_chunks(spark, sf):
 @query(
     "stream_index",
     f"""WITH {DOC_SQL}, sli AS (SELECT id, text FROM src), {chunk_sql('ch', 'sli', 'sliding_window')}
-    SELECT printf('%s_chunk_%04d', id, i) AS chunk_id, 128 AS dimensions FROM ch""",
+    SELECT printf('%s_chunk_%04d', id, i) AS chunk_id, 128::BIGINT AS dimensions FROM ch""",
 )
 def stream_index(spark, sf):
     """Continuous indexing, run twice over the same files: the second run adds nothing."""

@@ -136,7 +136,7 @@ def normalised_vectors(spark, sf):
     return rows.select("vec_id", F.posexplode("v").alias("pos", "x")).withColumn("x", F.round("x", 5))
 
 
-@query("vector_dimensions", "SELECT count(*) AS vectors, 64 AS min_dimensions, 64 AS max_dimensions, TRUE AS ok FROM embeddings WHERE len(embedding) = 64")
+@query("vector_dimensions", "SELECT count(*) AS vectors, min(len(embedding)) AS min_dimensions, max(len(embedding)) AS max_dimensions, bool_and(len(embedding) = 64) AS ok FROM embeddings")
 def vector_dimensions(spark, sf):
     return se.check_dimensions(vectors(spark, sf), 64)
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from runlore.operators import features as ft
 from runlore.operators.vector_table import Commit, CommitConflict, VectorTable
 from runlore.plans.index_build import CACHE_SCHEMA, build_index, embed_chunks, empty_cache, knowledge_base
-from runlore.plans.retrieval import retrieve
+from runlore.plans.retrieval import result_rows, retrieve
 from runlore.settings import EmbedSettings, RetrievalSettings
 
 
@@ -64,6 +64,10 @@ def texts(spark, items):
     return df.withColumn("content_hash", tx.content_hash(F.col("text")))
 
 
+def unit(n):
+    return pytest.approx([n / (n * n + 1) ** 0.5, 1 / (n * n + 1) ** 0.5])
+
+
 def lengths(dimensions=2, **options):
     """A model that returns the length of a text."""
 
@@ -77,7 +81,7 @@ def test_each_distinct_text_is_embedded_once_and_cached(spark):
     chunks = texts(spark, [("a", "d", "same"), ("b", "d", "same"), ("c", "d", "other text")])
     model = lengths(batch_size=2)
     vectors, new = embed_chunks(chunks, model)
-    assert {r.chunk_id: list(r.embedding) for r in vectors.collect()} == {"a": [4, 1], "b": [4, 1], "c": [10, 1]}
+    assert {r.chunk_id: list(r.embedding) for r in vectors.collect()} == {"a": unit(4), "b": unit(4), "c": unit(10)}
     assert new.count() == 2
     now = F.timestamp_seconds(F.lit(10_000))
     cached = new.withColumn("embedding", F.array(F.lit(9.0), F.lit(9.0)).cast("array<float>"))
@@ -85,7 +89,7 @@ def test_each_distinct_text_is_embedded_once_and_cached(spark):
     more = chunks.unionByName(texts(spark, [("d", "d", "new")]))
     vectors, new = embed_chunks(more, model, fresh, 3600, now)
     assert new.count() == 1
-    assert {r.chunk_id: list(r.embedding) for r in vectors.collect()}["a"] == [9, 9]
+    assert {r.chunk_id: list(r.embedding) for r in vectors.collect()}["a"] == pytest.approx([0.5**0.5] * 2)
     stale = cached.withColumn("embedded_at", F.timestamp_seconds(F.lit(1_000)))
     assert embed_chunks(more, model, stale, 3600, now)[1].count() == 3
     other = fresh.withColumn("model", F.lit("another"))
@@ -144,6 +148,7 @@ def test_dense_retrieval_with_filters(spark):
     )
     found = retrieve(asked, kb, RetrievalSettings(expansion_enabled=False))
     assert sorted((r.query_id, r.document_id) for r in found.collect()) == [("q1", "d1"), ("q3", "d3")]
+    assert result_rows(found).columns == ["query_id", "chunk_id", "document_id", "document_type", "text", "score", "rank"]
     # Documents without a service can be let through.
     loose = RetrievalSettings(expansion_enabled=False, missing_passes=True, threshold=0.0, filter_mode="pre")
     found = retrieve(asked.where("query_id = 'q2'"), kb, loose)
