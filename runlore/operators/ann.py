@@ -66,7 +66,7 @@ class ProjectionCells:
     model: BucketedRandomProjectionLSHModel
 
     @classmethod
-    def fit(cls, vectors: DataFrame, tables: int = 8, bucket_length: float = 0.5, seed: int = 7) -> ProjectionCells:
+    def fit(cls, vectors: DataFrame, tables: int = 4, bucket_length: float = 0.1, seed: int = 7) -> ProjectionCells:
         lsh = BucketedRandomProjectionLSH(
             inputCol="features", outputCol="hashes", numHashTables=tables, bucketLength=bucket_length, seed=seed
         )
