@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_dirs: dict[str, str] = {}
+_runs: dict[str, str] = {}
+_tables: dict[int, str] = {}
 _shipped: set[str] = set()
 
 
@@ -30,21 +33,44 @@ def get_spark(app: str = "runlore", master: str | None = None, shuffle_partition
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor sees: ``spark.checkpoint.dir``. Only a local master gets one of its own when unset."""
-    sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    if sc.applicationId not in _local_dirs:
-        _local_dirs[sc.applicationId] = tempfile.mkdtemp(prefix="runlore-")
-    return _local_dirs[sc.applicationId]
+    """Folder every executor sees: ``spark.checkpoint.dir``; where that is unset, a folder in the warehouse."""
+    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    return configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/runlore-scratch"
+
+
+def run_dir(spark: SparkSession) -> str:
+    """This application's folder under the shared one. Its tables go when the job says so or the driver ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _runs:
+        _runs[app] = f"{shared_dir(spark).rstrip('/')}/run-{uuid.uuid4().hex}"
+        atexit.register(clean_scratch, spark)
+    return _runs[app]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A fresh path in the folder of this run."""
+    return f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
+def clean_scratch(spark: SparkSession) -> None:
+    """Remove every table this run wrote aside. Results that still read them must be written out before."""
+    if spark._jsc is None or spark.sparkContext._jsc is None:
+        return
+    path = _runs.pop(spark.sparkContext.applicationId, None)
+    if path:
+        _delete(spark, path)
+
+
+def remove_table(df: DataFrame) -> None:
+    """Remove a table that ``materialise`` wrote and nothing reads any more."""
+    path = _tables.pop(id(df), None)
+    if path:
+        _delete(df.sparkSession, path)
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -55,7 +81,10 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, "stage")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    _tables[id(written)] = path
+    weakref.finalize(written, _tables.pop, id(written), None)
+    return written
 
 
 SMALL_PARTITION_BYTES = 32 << 20
