@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlore.llm.common import documents
 from runlore.llm.mixing import mix_documents
+from runlore.llm.packing import pack_documents
 from runlore.llm.sharding import document_dimensions, shard_rows
 from runlore.session import ship_package
 
@@ -69,3 +71,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = shard_rows(sized, document_dimensions(), 40, ["doc_id", "text_crc32", "size"])
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                        F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op7_packing")
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
