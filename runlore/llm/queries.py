@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from runlore.llm.common import documents
 from runlore.llm.fingerprints import fingerprint_documents
+from runlore.llm.html_text import extract_pages
 from runlore.llm.mixing import mix_documents
 from runlore.llm.packing import pack_documents
 from runlore.llm.sharding import document_dimensions, shard_rows
+from runlore.llm.urls import judge_urls, page_links
 from runlore.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +86,46 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fingerprint_documents(documents(spark, sf_dir))
     return rows.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
                        "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+             ("net", "/es/", "block"), ("net", "/fr/", "block")]
+_FORM = r"""CASE WHEN {host} <> '' THEN regexp_replace({host}, ':(80|443)\z', '') || regexp_replace({path}, '/(index\.html?)?\z', '') || '?' ||
+  array_to_string(list_sort(list_filter(string_split(coalesce(regexp_extract({rest}, '\A[^?#]*\?([^#]*)', 1), ''), '&'),
+    lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref|fbclid|gclid)(=|\z)'))), '&') END"""
+_REST = "CASE WHEN position('://' IN {u}) > 0 THEN substr({u}, position('://' IN {u}) + 3) END"
+_HOST = r"coalesce(translate(regexp_extract({rest}, '\A([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
+_PATH = r"coalesce(regexp_extract({rest}, '\A[^/?#]*([^?#]*)', 1), '')"
+_LINK = """CASE WHEN {t} LIKE '%://%' THEN {t} WHEN {t} LIKE '//%' THEN 'http:' || {t} WHEN {t} LIKE '/%' THEN 'http://' || host || {t} END"""
+URL_SQL = rf"""
+WITH RECURSIVE a AS (SELECT page_id, url, html, {_REST.format(u='url')} AS rest FROM pages),
+b AS (SELECT *, {_HOST.format(rest='rest')} AS host, {_PATH.format(rest='rest')} AS path FROM a),
+c AS (SELECT *, {_FORM.format(host='host', path='path', rest='rest')} AS node FROM b),
+rules(rh, rp, v) AS (VALUES {', '.join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)}),
+m AS (SELECT page_id, rh || rp AS rule, v, row_number() OVER (PARTITION BY page_id ORDER BY length(rh || rp) DESC, v) AS i
+  FROM c JOIN rules ON (host = rh OR host LIKE '%.' || rh) AND starts_with(path, rp)),
+d AS (SELECT c.*, m.rule, m.v FROM c LEFT JOIN m ON m.page_id = c.page_id AND m.i = 1),
+raw AS (SELECT node, host, unnest([
+  regexp_extract(regexp_extract(html, '(?is)<link\b([^>]*\brel\s*=\s*["'']?canonical\b[^>]*)>', 1), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
+  regexp_extract(regexp_extract(html, '(?is)<meta\b([^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*)>', 1), '(?is)\burl\s*=\s*["'']?([^"''\s>;]+)', 1)]) AS t FROM c),
+t1 AS (SELECT node, {_LINK.format(t='t')} AS u FROM raw),
+t2 AS (SELECT node, {_REST.format(u='u')} AS rest FROM t1 WHERE u IS NOT NULL),
+t3 AS (SELECT node, rest, {_HOST.format(rest='rest')} AS host, {_PATH.format(rest='rest')} AS path FROM t2),
+e AS (SELECT node AS x, {_FORM.format(host='host', path='path', rest='rest')} AS y FROM t3 WHERE node IS NOT NULL),
+ee AS (SELECT x, y FROM e WHERE y IS NOT NULL UNION SELECT y, x FROM e WHERE y IS NOT NULL),
+reach(x, y) AS (SELECT node, node FROM c WHERE node IS NOT NULL UNION SELECT r.x, ee.y FROM reach r JOIN ee ON ee.x = r.y),
+k AS (SELECT r.x, max(CASE d.v WHEN 'allow' THEN 2 WHEN 'block' THEN 1 END) AS best FROM reach r JOIN d ON d.node = r.y GROUP BY r.x)
+SELECT page_id, host, path, rule, coalesce(v, CASE k.best WHEN 1 THEN 'block' ELSE 'allow' END) AS verdict
+FROM d LEFT JOIN k ON k.x = d.node"""
+
+
+@query("op2_url_filters", URL_SQL)
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return judge_urls(pages, rules, page_links(pages))
+
+
+@query("op9_html_extraction")
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
