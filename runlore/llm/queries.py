@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from runlore.llm.common import documents
 from runlore.llm.fingerprints import fingerprint_documents
 from runlore.llm.html_text import extract_pages
+from runlore.llm.languages import fold, identify_documents
 from runlore.llm.mixing import mix_documents
 from runlore.llm.packing import pack_documents
+from runlore.llm.quality import score_documents
 from runlore.llm.sharding import document_dimensions, shard_rows
 from runlore.llm.urls import judge_urls, page_links
 from runlore.session import ship_package
@@ -129,3 +131,16 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_html_extraction")
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+@query("op3_quality_classifier")
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rows = score_documents(documents(spark, sf_dir).select("doc_id", "text"), labels, fold("doc_id", 5) == 0)
+    return rows.select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op4_language_id")
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = identify_documents(documents(spark, sf_dir).select("doc_id", "text", "lang"), fold("doc_id", 4) == 2)
+    return rows.select("doc_id", "held_out", "lang_pred", "score")
