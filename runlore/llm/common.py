@@ -73,7 +73,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         sign = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
         now = links.agg(F.count("*").alias("n"), sign.alias("sign")).first()
         if before == now:
-            return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            roots = links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+            return links.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
         before = now
 
 

@@ -13,6 +13,7 @@ from runlore.llm.fingerprints import fingerprint_documents
 from runlore.llm.html_text import extract_pages
 from runlore.llm.languages import fold, identify_documents
 from runlore.llm.mixing import mix_documents
+from runlore.llm.neighbours import near_duplicates
 from runlore.llm.ngram_join import ngram_components
 from runlore.llm.packing import pack_documents
 from runlore.llm.quality import score_documents
@@ -165,3 +166,21 @@ FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.x = w.doc_id"""
 @query("op6_ngram_jaccard_join", NGRAM_SQL)
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
+NEAR_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND list_sum(list_transform(embedding, lambda x: x::DOUBLE * x)) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+r(x, y) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y),
+c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x),
+n AS (SELECT x, count(*) AS n FROM l GROUP BY x)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN c ON c.x = e.vec_id LEFT JOIN n ON n.x = e.vec_id"""
+
+
+@query("op1_embedding_near_dedup", NEAR_SQL)
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).select("vec_id", "n_links", "component_id", "kept")
