@@ -99,6 +99,21 @@ def thresholds(docs: DataFrame, budgets: DataFrame, sources: int) -> DataFrame:
     return done
 
 
+def mix_plan(sized: DataFrame, mix: Mix = Mix()) -> tuple[DataFrame, int]:
+    """(s, source_size, target, full, threshold) of every source of (source, size, u), and the number of sources."""
+    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    aims = materialise(
+        targets(sizes, mix)
+        .withColumn("full", F.coalesce(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0)).cast("long"))
+        .withColumn("budget", F.col("target") - F.col("full") * F.col("source_size"))
+    )
+    n = aims.count()
+    cuts = thresholds(sized.select("source", "size", "u"), aims.select("source", "budget"), n).withColumnRenamed("source", "s")
+    plan = aims.join(small_side(cuts, n), F.col("source").eqNullSafe(F.col("s")), "left").select(
+        F.col("source").alias("s"), "source_size", "target", "full", F.coalesce("threshold", F.lit(-1)).alias("threshold"))
+    return materialise(plan), n
+
+
 def mix_documents(docs: DataFrame, mix: Mix = Mix(), key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(key, size, source_size, target, taken, copies) of every row: how many copies of it the mix takes.
 
@@ -107,19 +122,21 @@ def mix_documents(docs: DataFrame, mix: Mix = Mix(), key: str = "doc_id", text:
     A source whose target is r times its size takes every document floor(r) times, and once more those under the
     hash threshold of the rest. Results depend on keys, sizes and sources alone, so reruns agree.
     """
-    base = materialise(docs.select(
+    sized = materialise(docs.select(
         F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), unit_hash(F.col(key)).alias("u")
     ))
-    sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
-    aims = materialise(
-        targets(sizes, mix)
-        .withColumn("full", F.coalesce(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0)).cast("long"))
-        .withColumn("budget", F.col("target") - F.col("full") * F.col("source_size"))
-    )
-    n = aims.count()
-    cuts = thresholds(base.select("source", "size", "u"), aims.select("source", "budget"), n).withColumnRenamed("source", "s")
-    plan = aims.join(small_side(cuts, n), F.col("source").eqNullSafe(F.col("s")), "left").select(
-        F.col("source").alias("s"), "source_size", "target", "full", F.coalesce("threshold", F.lit(-1)).alias("threshold"))
+    plan, n = mix_plan(sized, mix)
     copies = F.col("full") + (F.col("u") <= F.col("threshold")).cast("long")
-    out = base.join(small_side(plan, n), F.col("source").eqNullSafe(F.col("s")))
+    out = sized.join(small_side(plan, n), F.col("source").eqNullSafe(F.col("s")))
     return out.select(F.col("key").alias(key), "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
+
+
+def mixed_rows(docs: DataFrame, mix: Mix = Mix(), key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, with their columns as they are. One filter over the rows
+    does it: a row needs its source's plan and its own hash, no sort and no join by key."""
+    sized = docs.select(F.col(source).alias("source"), word_count(F.col(text)).alias("size"), unit_hash(F.col(key)).alias("u"))
+    plan, n = mix_plan(materialise(sized), mix)
+    at = plan.select(F.col("s").alias("_s"), F.col("full").alias("_full"), F.col("threshold").alias("_threshold"))
+    copies = F.col("_full") + (unit_hash(F.col(key)) <= F.col("_threshold")).cast("long")
+    taken = docs.join(small_side(at, n), F.col(source).eqNullSafe(F.col("_s"))).withColumn("_copies", copies).where("_copies > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
