@@ -2,8 +2,8 @@
 
 Each word of a page scores +1, each tag a cost below zero; the run with the largest sum is the content region. How much
 a tag costs is learned from the pages that label their main text with an element of its own: the larger the share of
-the words behind such a tag that lies outside of it, the more. Elements that can't hold main text cost more than any
-page has words, so no run goes across them or is drawn from them.
+the words behind such a tag that lies outside of it, the more. Elements that can't hold main text, by their name or by
+the words with which pages mark them, never give words; the borders of a label cost more than a page has words.
 """
 
 from __future__ import annotations
@@ -38,22 +38,25 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 MARK = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
-#: Costs: of a tag whose words are all inside, of one whose words are all outside, and of a border.
-INSIDE, OUTSIDE, BORDER = 0.5, 10.0, 1e9
+#: Costs: of a tag whose words are all inside, less than half of one word so that no paragraph is too short; of one whose
+#: words are all outside, and of what begins apart from the text; and of a label's border.
+INSIDE, OUTSIDE, BORDER = 0.1, 10.0, 1e9
 #: Tag names kept from the labelled pages, the most frequent first.
 TAGS = 1000
 
 
 @dataclass
 class Piece:
-    """A tag (``words`` is None) or a stretch of text, whether it is open to content, and whether a label encloses it."""
+    """A tag (``words`` is None) or a stretch of text; whether it belongs to what can't be main text, whether it begins
+    that, whether a label encloses it, whether it is the label's own tag, and whether it ends a block."""
 
     tag: str
     words: str | None = None
     apart: bool = False
+    begins: bool = False
     inside: bool = False
-    block: bool = True
     label: bool = False
+    block: bool = True
 
 
 def is_noise(attributes: str) -> bool:
@@ -92,7 +95,7 @@ def pieces(page: str) -> Iterator[Piece]:
         above = stack[-1] if stack else ("", False, False)
         apart = above[1] or name in APART or is_noise(m[4])
         label = above[2] or name in LABELS and not apart
-        yield Piece(name, apart=apart, block=name not in _INLINE, label=name in LABELS and not apart)
+        yield Piece(name, apart=apart, begins=not above[1], inside=above[2], block=name not in _INLINE, label=name in LABELS and not apart)
         if name not in _VOID and not m[4].rstrip().endswith("/"):
             while name in _ENDS and stack and stack[-1][0] in _ENDS[name]:
                 stack.pop()
@@ -109,10 +112,12 @@ def extract(page: str, costs: dict[str, float]) -> str:
     found = list(pieces(page))
     best, total, start, region, unknown = 0.0, 0.0, 0, (0, 0), (INSIDE + OUTSIDE) / 2
     for i, p in enumerate(found):
-        if p.apart or p.label:
+        if p.label:
             total -= BORDER
+        elif p.apart:
+            total -= OUTSIDE if p.begins and not p.inside else 0
         elif p.words is None:
-            total -= INSIDE if not p.block else costs.get(p.tag, unknown)
+            total -= INSIDE if not p.block or p.tag in _VOID else costs.get(p.tag, unknown)
         else:
             total += len(p.words.split())
         if total <= 0:
@@ -121,7 +126,7 @@ def extract(page: str, costs: dict[str, float]) -> str:
             best, region = total, (start, i + 1)
     out, block = [], []
     for p in found[region[0] : region[1]]:
-        if p.words is not None:
+        if p.words is not None and not p.apart:
             block.append(p.words)
         elif p.block:
             out.append("".join(block))
