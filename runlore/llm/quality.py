@@ -63,13 +63,15 @@ def encode(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
     total = int(count.sum())
     out = np.zeros((total, WIDTH), np.float32)
     if len(starts):
-        heads = np.flatnonzero(np.diff(passage, prepend=-1))
-        owner = np.zeros(len(buffer), np.int64)
-        owner[starts[heads]] = np.diff(passage[heads], prepend=0)
-        owner = np.cumsum(owner)
+        heads = np.flatnonzero((within % words == 0) & (within > 0))  # a text's first passage begins where it does
+        at = np.concatenate([np.append(0, stops[:-1]), starts[heads]])
+        order = np.argsort(at, kind="stable")
+        owner = np.repeat(np.concatenate([first, passage[heads]])[order], np.diff(np.append(at[order], len(buffer))))
         kind = KIND[buffer]
-        pair = kind[:-1] * KINDS + kind[1:]
-        pairs = np.bincount(owner[:-1] * (KINDS * KINDS) + pair, minlength=total * KINDS * KINDS).reshape(total, -1)
+        pair = owner[:-1] * (KINDS * KINDS) + kind[:-1] * KINDS + kind[1:]
+        own = np.ones(len(pair), bool)
+        own[stops[:-1] - 1] = False  # no pair of two texts
+        pairs = np.bincount(pair[own], minlength=total * KINDS * KINDS).reshape(total, -1)
         out[:, : KINDS * KINDS] = np.sqrt(pairs / np.maximum(1, pairs.sum(1, keepdims=True)))
         key = mixed(span_hashes(buffer, starts, ends) ^ mixed(passage.astype(np.uint64)))
         _, at = np.unique(key, return_index=True)
@@ -143,6 +145,8 @@ def train(bags: list[np.ndarray], labels: np.ndarray, fit: Fit) -> Network:
                 spread[k] = 0.999 * spread[k] + 0.001 * g * g
                 pace = fit.rate * (1 - r / fit.rounds) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
                 setattr(net, k, (w - pace * mean[k] / (np.sqrt(spread[k]) + 1e-8)).astype(np.float32))
+    for k in net.NAMES:
+        setattr(net, k, getattr(net, k).astype(np.float64))
     return net
 
 
@@ -182,7 +186,8 @@ def scored(docs: DataFrame, net: Network, text: str = "text", words: int = Fit()
         for batch in batches:
             texts = batch.fillna("").tolist()
             parts = [sent.value.forward(*encode(texts[i : i + n], words))[0] for i, n in chunks(texts, 1_000_000)]
-            yield pd.Series(np.concatenate(parts) if parts else np.empty(0), dtype="float64")
+            # what a text is scored with moves the last bits of the products; six digits are its own
+            yield pd.Series(np.round(np.concatenate(parts), 6) if parts else np.empty(0), dtype="float64")
 
     return F.pandas_udf(run, "double")(F.col(text))
 
