@@ -88,11 +88,14 @@ class Scorer:
         return self.model.languages[best], float(1 / np.exp((mean - mean[best]) * np.sqrt(len(places))).sum())
 
 
-def log_rates(counts: pd.DataFrame, key: str, languages: list[str], smoothing: float = 0.5) -> dict[str, np.ndarray]:
+def log_rates(counts: pd.DataFrame, key: str, languages: list[str], known: float = 0.99) -> dict[str, np.ndarray]:
+    """Log frequency in each language, mixed with the mean one of all, so that a language with few texts neither gains
+    nor loses by what it hasn't seen."""
     table = counts.pivot_table(index=key, columns="lang", values="n", aggfunc="sum", fill_value=0).reindex(columns=languages, fill_value=0)
     if table.empty:
         return {}
-    rates = np.log((table + smoothing) / (table.sum() + smoothing * (len(table) + 1))).to_numpy()
+    rates = (table / table.sum().clip(lower=1)).to_numpy()
+    rates = np.log(known * rates + (1 - known) * rates.mean(1, keepdims=True))
     return dict(zip(table.index, rates, strict=True))
 
 
