@@ -17,7 +17,7 @@ from runlore.plans.diagnosis import diagnoses, incident_queries, prompts
 from runlore.plans.evaluation import evaluate
 from runlore.plans.index_build import build_index, open_index
 from runlore.plans.retrieval import retrieve
-from runlore.session import get_spark, materialise, ship_package
+from runlore.session import clean_scratch, get_spark, materialise, ship_package
 from runlore.settings import EmbedSettings, RetrievalSettings, Settings
 from runlore.sources.base import TextFiles, TicketFiles, ingest
 from runlore.sources.incidents import read_eval_samples, read_incidents, validate_incidents, write_results
@@ -88,7 +88,7 @@ def main(argv: list[str] | None = None) -> None:
         return p
 
     p = job("index", index, "tickets", "files")
-    p.add_argument("--patterns", nargs="+", default=["*.md", "*.txt"])
+    p.add_argument("--patterns", nargs="+", default=["*.md", "*.txt", "*.rst"])
     p.add_argument("--rebuild", action="store_true")
     job("prompts", write_prompts, "incidents", "output")
     job("diagnose", diagnose, "incidents", "replies", "output")
@@ -96,7 +96,10 @@ def main(argv: list[str] | None = None) -> None:
     args = parser.parse_args(argv)
     spark = get_spark(master=args.master)
     ship_package(spark)
-    args.run(spark, args)
+    try:
+        args.run(spark, args)
+    finally:
+        clean_scratch(spark)
 
 
 if __name__ == "__main__":

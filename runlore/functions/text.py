@@ -21,8 +21,6 @@ REDACTIONS = (
 # How documents are classified.
 POST_MORTEM_KEYWORDS = ("post-mortem", "postmortem", "post_mortem", "incident report", "retrospective")
 RUNBOOK_KEYWORDS = ("runbook", "playbook")
-CLASSIFY_HEAD = 500
-MAX_HEADINGS = 10
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -79,9 +77,9 @@ def first_heading(c: Column) -> Column:
     return F.nullif(F.trim(found), F.lit(""))
 
 
-def headings(c: Column, limit: int = MAX_HEADINGS) -> Column:
-    """The first headings of levels one to three."""
-    return F.slice(F.regexp_extract_all(c, F.lit(r"(?Umd)^#{1,3}\s+(.+)$"), 1), 1, limit)
+def headings(c: Column) -> Column:
+    """All headings of levels one to three."""
+    return F.regexp_extract_all(c, F.lit(r"(?Umd)^#{1,3}\s+(.+)$"), 1)
 
 
 def title_from_stem(stem: Column) -> Column:
@@ -89,12 +87,12 @@ def title_from_stem(stem: Column) -> Column:
 
 
 def classify(path: Column, c: Column) -> Column:
-    """Document type by keywords in the path or in the head of the text."""
+    """Document type by keywords in the path or anywhere in the text."""
     where = F.lower(path)
-    head = F.lower(F.substring(c, 1, CLASSIFY_HEAD))
+    body = F.lower(c)
     post_mortem = F.lit(False)
     for k in POST_MORTEM_KEYWORDS:
-        post_mortem = post_mortem | where.contains(k) | head.contains(k)
+        post_mortem = post_mortem | where.contains(k) | body.contains(k)
     runbook = F.lit(False)
     for k in RUNBOOK_KEYWORDS:
         runbook = runbook | where.contains(k)

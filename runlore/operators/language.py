@@ -1,80 +1,80 @@
 """Language of a text by its character trigrams.
 
-Profiles are the commonest trigrams of each language, learned from labelled text; a text gets the language whose
-profile gives it the highest total log probability.
+Trigrams are counted by hash bucket for each labelled language; a text gets the language under which its trigrams are
+likeliest. A text stays one row throughout: its trigrams are hashed and summed inside Arrow batches.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlore.functions import text as tx
 from runlore.session import materialise
 
-PROFILE_SIZE = 300
-MAX_LANGUAGES = 200
+BUCKETS = 1 << 14
 DEFAULT = "en"
 
 
-def trigrams(c: Column) -> Column:
-    """Overlapping trigrams of the lower-cased text, its words spaced by single spaces."""
-    flat = F.concat(F.lit(" "), F.lower(tx.clean_text(c)), F.lit(" "))
-    return F.regexp_extract_all(flat, F.lit("(?s)(?=(...))"), 1)
+def flat_text(c: Column) -> Column:
+    """The lower-cased words between single spaces, with one at either end."""
+    return F.concat(F.lit(" "), F.lower(tx.clean_text(c)), F.lit(" "))
 
 
-def language_profiles(labelled: DataFrame, size: int = PROFILE_SIZE, text_col: str = "text") -> DataFrame:
-    """(lang, gram, gain) of the ``size`` commonest trigrams per language: at most languages x (size + 1) rows.
+def trigram_buckets(text: str) -> np.ndarray:
+    """Bucket of each overlapping trigram: its three code points as digits of base 31."""
+    points = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4").astype(np.int64)
+    return (points[:-2] * 961 + points[1:-1] * 31 + points[2:]) % BUCKETS
 
-    ``gain`` is the log probability above the floor that any other trigram gets; the empty trigram holds the floor.
-    """
-    counts = (
-        labelled.select("lang", F.explode_outer(trigrams(F.col(text_col))).alias("gram"))
-        .where(F.col("gram").isNotNull())
-        .groupBy("lang", "gram")
-        .agg(F.count("*").alias("n"))
-    )
-    # Totals and order both come from the folded counts, so a language with most of the text is a few rows here.
-    counts = materialise(counts)
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), F.asc("gram"))
-    top = counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= size)
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    floor = F.ln(F.lit(1.0) / (F.col("total") + 1))
-    gain = F.ln((F.col("n") + 1) / (F.col("total") + 1)) - floor
-    listed = top.join(totals, "lang").select("lang", "gram", gain.alias("gain"))
-    return materialise(listed.unionByName(totals.select("lang", F.lit("").alias("gram"), floor.alias("gain"))))
-
-
-def detect_languages(
-    texts: DataFrame, profiles: DataFrame, id_col: str, text_col: str = "text", head_chars: int | None = None
-) -> DataFrame:
-    """(id, language) for every text, English where there is nothing to go by. Whole texts unless ``head_chars``.
-
-    The profiles become one row per trigram with a column per language, so a trigram of a text stays one row, and
-    each text is folded to one row before the shuffle.
-    """
-    found = profiles.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages: the labels are not language codes")
-    languages = sorted(r["lang"] for r in found)
-    wide = profiles.groupBy("gram").pivot("lang", languages).agg(F.max("gain")).fillna(0.0)
-    text = F.substring(text_col, 1, head_chars) if head_chars else F.col(text_col)
-    grams = texts.select(id_col, trigrams(text).alias("g")).select(id_col, "g", F.size("g").alias("size"))
-    # The empty trigram carries how many there were, and so the floor for all of them.
-    rows = grams.select(id_col, "size", F.explode_outer(F.array_append("g", F.lit(""))).alias("gram"))
-    rows = rows.withColumn("times", F.when(F.col("gram") == "", F.col("size")).otherwise(1))
-    scores = rows.join(F.broadcast(wide), "gram").groupBy(id_col).agg(
-        F.max("size").alias("size"),
-        *[F.round(F.sum(F.col("times") * F.col(f"`{lang}`")), 6).alias(f"s_{lang}") for lang in languages],
-    )
-    pairs = [F.struct(F.col(f"s_{lang}").alias("score"), F.lit(lang).alias("lang")) for lang in languages]
-    best = F.array_max(F.array(*pairs)).lang if pairs else F.lit(DEFAULT)
-    return scores.select(id_col, F.when(F.col("size") > 0, best).otherwise(DEFAULT).alias("language"))
+
+def language_profiles(labelled: DataFrame, text_col: str = "text") -> DataFrame:
+    """(lang, bucket, n) over all trigrams of all labelled texts: at most languages x ``BUCKETS`` rows."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for lang, group in batch.groupby("lang"):
+                n = np.zeros(BUCKETS, np.int64)
+                for text in group["flat"]:
+                    n += np.bincount(trigram_buckets(text), minlength=BUCKETS)
+                found = np.flatnonzero(n)
+                yield pd.DataFrame({"lang": lang, "bucket": found, "n": n[found]})
+
+    rows = labelled.select("lang", flat_text(F.col(text_col)).alias("flat")).where("lang IS NOT NULL AND flat IS NOT NULL")
+    counted = rows.mapInPandas(count, "lang string, bucket bigint, n bigint")
+    return materialise(counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
+
+
+def detect_languages(texts: DataFrame, profiles: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+    """(id, language) for every whole text, English where there is nothing to go by. Of equally likely languages the
+    last in the alphabet wins."""
+    counts = profiles.toPandas()
+    languages = sorted(set(counts["lang"]), reverse=True)
+    table = np.zeros((len(languages), BUCKETS))
+    table[[languages.index(x) for x in counts["lang"]], counts["bucket"].to_numpy(np.int64)] = counts["n"]
+    rates = np.log((table + 1) / (table.sum(1, keepdims=True) + BUCKETS))
+    shared = texts.sparkSession.sparkContext.broadcast((languages, rates))
+
+    @F.pandas_udf("string")
+    def language(flat: pd.Series) -> pd.Series:
+        names, gains = shared.value
+
+        def of(text: str | None) -> str:
+            if text is None or len(text) < 3 or not names:
+                return DEFAULT
+            return names[int(np.round(gains[:, trigram_buckets(text)].sum(1), 6).argmax())]
+
+        return flat.map(of, na_action=None)
+
+    return texts.select(id_col, language(flat_text(F.col(text_col))).alias("language"))
 
 
-def agreement(detected: DataFrame, labelled: DataFrame, id_col: str) -> DataFrame:
-    """Rows and agreeing rows per labelled language."""
-    joined = labelled.select(id_col, "lang").join(detected, id_col)
-    return joined.groupBy("lang").agg(
+def agreement(detected: DataFrame, labelled: DataFrame, id_col: str, *by: str) -> DataFrame:
+    """Rows and agreeing rows per labelled language, and per further columns."""
+    joined = labelled.select(id_col, "lang", *by).join(detected, id_col)
+    return joined.groupBy("lang", *by).agg(
         F.count("*").alias("texts"), F.count_if(F.col("lang") == F.col("language")).alias("agree")
     )

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlore.functions import text as tx
-from runlore.operators.skew import bounded_broadcast
+from runlore.operators.skew import bounded_broadcast, join_hot
 from runlore.operators.topk import BROADCAST_BYTES, topk
 from runlore.session import materialise
 
@@ -64,7 +64,7 @@ def idf(df, n: int):
 def weighted_terms(terms: DataFrame, stats: TermStatistics) -> DataFrame:
     """(query_id, terms, idfs, weights): the query's terms in term order. A term the corpus lacks has frequency 0."""
     known = stats.frequencies.join(terms.select("term").distinct(), "term", "left_semi")
-    with_df = terms.join(known, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    with_df = join_hot(terms, known, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     rows = with_df.groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct("term", idf(F.col("df"), stats.n).alias("idf"), "qtf"))).alias("t")
     )
@@ -129,16 +129,23 @@ class BM25Scorer:
 
 def bm25(
     corpus: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "chunk_id", carry: tuple[str, ...] = (),
-    stats: TermStatistics | None = None, broadcast_bytes: int = BROADCAST_BYTES,
+    stats: TermStatistics | None = None, broadcast_bytes: int = BROADCAST_BYTES, filter_keys: tuple[str, ...] = (),
+    missing_passes: bool = False,
 ) -> DataFrame:
     """(query_id, id, score, rank) of the k best texts per query; texts that share no term with it are not results.
 
+    With ``filter_keys`` the queries carry ``f_<key>`` columns, and only rows that satisfy them compete.
+
     ``stats``: statistics of the corpus if they are there already, else they are taken for the queries' terms.
     """
     terms = materialise(query_terms(queries))
     stats = stats or term_statistics(corpus, terms)
-    weighted = materialise(weighted_terms(terms, stats).select("query_id", "terms", "weights"))
-    rows = corpus.select(id_col, *carry, tx.terms(F.col("text")).alias("terms"))
+    weighted = weighted_terms(terms, stats).select("query_id", "terms", "weights")
+    if filter_keys:
+        weighted = weighted.join(queries.select("query_id", *[f"f_{k}" for k in filter_keys]), "query_id")
+    weighted = materialise(weighted)
+    payload = list(dict.fromkeys([id_col, *carry, *filter_keys]))
+    rows = corpus.select(*payload, tx.terms(F.col("text")).alias("terms"))
     scorer = partial(BM25Scorer, mean_length=stats.mean_length or 1.0)
-    found = topk(rows, weighted, scorer, k, [id_col, *carry], floor=0.0, broadcast_bytes=broadcast_bytes)
-    return found.select("query_id", id_col, *carry, "score", "rank")
+    found = topk(rows, weighted, scorer, k, payload, filter_keys, missing_passes, floor=0.0, broadcast_bytes=broadcast_bytes)
+    return found.select("query_id", *payload, "score", "rank")

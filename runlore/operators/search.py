@@ -14,9 +14,13 @@ from runlore.operators.topk import BROADCAST_BYTES, DenseScorer, topk
 METRICS = ("cosine", "ip", "l2")
 
 
-def filter_columns(queries: DataFrame, keys: Iterable[str]) -> tuple[str, ...]:
-    """Those keys for which the queries carry a filter column ``f_<key>``."""
-    return tuple(k for k in keys if f"f_{k}" in queries.columns)
+def filter_columns(queries: DataFrame, rows: DataFrame) -> tuple[str, ...]:
+    """The keys of all filter columns ``f_<key>`` of the queries; a key the rows lack is an error."""
+    keys = tuple(c[2:] for c in queries.columns if c.startswith("f_"))
+    unknown = [k for k in keys if k not in rows.columns]
+    if unknown:
+        raise ValueError(f"nothing to filter by: {', '.join(unknown)}")
+    return keys
 
 
 def matches(value: Column, wanted: Column, is_list: bool, missing_passes: bool = False) -> Column:
@@ -36,8 +40,7 @@ def search(
     vectors: DataFrame,
     queries: DataFrame,
     k: int = 10,
-    filter_keys: Iterable[str] = (),
-    mode: str = "post",
+    mode: str = "pre",
     overfetch: int = 3,
     metric: str = "cosine",
     id_col: str = "chunk_id",
@@ -47,7 +50,7 @@ def search(
 ) -> DataFrame:
     """(query_id, id, score, rank, ..) of the k nearest rows per query.
 
-    ``queries``: query_id, embedding and optionally ``f_<key>`` filter columns. ``mode="post"`` takes the best
+    ``queries``: query_id, embedding and filter columns ``f_<key>``, each of which counts. ``mode="post"`` takes the best
     ``overfetch * k`` of a query that has a filter, filters those and keeps k, so a selective filter may return fewer
     than k, even none; ``mode="pre"`` filters first and is exact.
     """
@@ -55,7 +58,7 @@ def search(
         raise ValueError(f"unknown metric: {metric}")
     if mode not in ("post", "pre"):
         raise ValueError(f"unknown filter mode: {mode}")
-    keys = filter_columns(queries, filter_keys)
+    keys = filter_columns(queries, vectors)
     payload = list(dict.fromkeys([id_col, *keys, *carry]))
     rows = vectors.where(F.col("embedding").isNotNull()).select(*payload, "embedding")
     wanted = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding", *[f"f_{c}" for c in keys])

@@ -66,7 +66,7 @@ TYPE_SQL = "CASE " + " ".join(
     for first, name in reversed(TYPE_BY_SOURCE)
 ) + " ELSE 'unknown' END"
 
-# Building blocks of the SQL side.
+# Building blocks of the SQL side. The patterns of what is redacted, as in ``functions/text.py``.
 CLEAN = r"trim(replace(regexp_replace({0}, '\s+', ' ', 'g'), chr(0), ''))"
 LINES = r"regexp_replace(replace(regexp_replace({0}, '[ \t]+', ' ', 'g'), chr(0), ''), '^\s+|\s+$', '', 'g')"
 REDACT = (
@@ -99,7 +99,12 @@ def chunk_sql(name: str, source: str, strategy: str, size: int = 512, overlap: i
   SELECT id, first, i, array_to_string(w[i*{size - 30}+1 : i*{size - 30}+{size}], ' ') FROM (
     SELECT id, first, w, unnest(generate_series(0, greatest(0, CAST(ceil((len(w) - {size}) / {size - 30}.0) AS BIGINT)))) AS i
     FROM (SELECT r.id, r.k AS first, {WORDS.format('p.piece')} AS w FROM {n}_r r JOIN {n}_p p ON p.id = r.id AND p.k = r.k WHERE r.large))"""
-    keep = "" if strategy == "sentence" else f"WHERE len({WORDS.format('text')}) >= {low}"
+    last = f"""
+{n} AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY first, sub) - 1 AS i, text FROM {n}_t)""" if strategy == "sentence" else f"""
+{n}_c AS (SELECT id, first, sub, text, len({WORDS.format('text')}) AS c FROM {n}_t),
+{n}_d AS (SELECT *, coalesce(sum(c) OVER (PARTITION BY id ORDER BY first, sub ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM {n}_c),
+{n}_e AS (SELECT *, count(*) FILTER (WHERE before = 0 OR (c >= {low} AND before >= {low})) OVER (PARTITION BY id ORDER BY first, sub) AS part FROM {n}_d),
+{n} AS (SELECT id, part - 1 AS i, string_agg(text, E'\\n\\n' ORDER BY first, sub) AS text FROM {n}_e GROUP BY id, part)"""
     return f"""
 {n}_a AS (SELECT id, list_filter(list_transform({pieces}, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS a FROM {source}),
 {n}_p AS (SELECT id, k, piece, len({WORDS.format('piece')}) AS c FROM (SELECT id, unnest(a) AS piece, generate_subscripts(a, 1) AS k FROM {n}_a)),
@@ -113,8 +118,7 @@ def chunk_sql(name: str, source: str, strategy: str, size: int = 512, overlap: i
   FROM {n}_r r JOIN {n}_p p ON p.id = r.id AND p.k = r.k + 1),
 {n}_t AS (
   SELECT r.id, r.run AS first, 0 AS sub, string_agg(p.piece, {glue} ORDER BY p.k) AS text
-  FROM {n}_r r JOIN {n}_p p ON p.id = r.id AND p.k = r.k WHERE NOT r.large GROUP BY r.id, r.run{cut}),
-{n} AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY first, sub) - 1 AS i, text FROM {n}_t {keep})"""
+  FROM {n}_r r JOIN {n}_p p ON p.id = r.id AND p.k = r.k WHERE NOT r.large GROUP BY r.id, r.run{cut}),{last}"""
 
 
 def bm25_sql(p: str, corpus: str, queries: str, k: int) -> str:

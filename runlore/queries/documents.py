@@ -48,7 +48,7 @@ def document_identity(spark, sf):
     "classify_documents",
     """SELECT doc_id, CASE
          WHEN regexp_matches(p, 'post-mortem|postmortem|post_mortem|incident report|retrospective')
-           OR regexp_matches(lower(substr(text, 1, 500)), 'post-mortem|postmortem|post_mortem|incident report|retrospective') THEN 'post_mortem'
+           OR regexp_matches(lower(text), 'post-mortem|postmortem|post_mortem|incident report|retrospective') THEN 'post_mortem'
          WHEN regexp_matches(p, 'runbook|playbook') THEN 'runbook' ELSE 'documentation' END AS document_type
        FROM (SELECT *, '/kb/' || CASE lang WHEN 'en' THEN 'runbooks' WHEN 'de' THEN 'post-mortems' WHEN 'fr' THEN 'playbook'
                ELSE 'wiki' END || '/' || doc_id || '.md' AS p FROM documents)""",
@@ -62,7 +62,7 @@ def classify_documents(spark, sf):
 @query(
     "titles_and_headings",
     r"""SELECT doc_id, coalesce(nullif(trim(regexp_extract(md, '(?m)^#\s+(.+)$', 1)), ''), 'none') AS title,
-          array_to_string(regexp_extract_all(md, '(?m)^#{1,3}\s+(.+)$', 1)[1:10], '|') AS headings
+          array_to_string(regexp_extract_all(md, '(?m)^#{1,3}\s+(.+)$', 1), '|') AS headings
         FROM (SELECT doc_id, CASE WHEN lang = 'en' THEN '# ' ELSE '' END || replace(text, chr(10), chr(10) || '## ') AS md FROM documents)""",
 )
 def titles_and_headings(spark, sf):
@@ -229,11 +229,11 @@ def ticket_documents_strict(spark, sf):
         concat_ws(chr(10) || chr(10), 'Incident: ' || split_part(text, chr(10), 1), 'Category: ' || source, 'Priority: ' || lang,
         'Service: ' || source, 'Description:' || chr(10) || text, 'Resolution:' || chr(10), 'Root Cause: ')'''))} AS content_text,
         epoch_us(CAST('2024-01-' || lpad(CAST(d.doc_id % 28 + 1 AS VARCHAR), 2, '0') || ' 10:30:00' AS TIMESTAMP)) AS created_us
-      FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+      FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
       WHERE quality = 1 AND CAST('2024-01-' || lpad(CAST(d.doc_id % 28 + 1 AS VARCHAR), 2, '0') || ' 10:30:00' AS TIMESTAMP) > TIMESTAMP '2024-01-11 00:00:00'""",
 )
 def remote_ticket_documents(spark, sf):
-    rows = texts(spark, sf).join(table(spark, sf, "labels"), "doc_id")
+    rows = texts(spark, sf).join(table(spark, sf, "labels"), "doc_id", "left")
     day = F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0")
     created = F.concat(F.lit("2024-01-"), day, F.lit(" 10:30:00"))
     none = F.lit(None).cast("string")
@@ -249,7 +249,8 @@ def remote_ticket_documents(spark, sf):
         created.alias("sys_created_on"),
         created.alias("sys_updated_on"),
         F.struct(F.col("lang").alias("display_value")).alias("priority"),
-        F.struct(F.lit("Resolved").alias("display_value"), F.when(F.col("quality") == 1, "6").otherwise("2").alias("value")).alias("state"),
+        F.when(F.col("quality").isNotNull(), F.struct(
+            F.lit("Resolved").alias("display_value"), F.when(F.col("quality") == 1, "6").otherwise("2").alias("value"))).alias("state"),
     )
     found = tickets.remote_ticket_documents(tickets.resolved_since(records, 20, fixed_now()), strict=True)
     return found.select("document_id", F.col("metadata")["number"].alias("number"), "content_text", F.unix_micros("created_at").alias("created_us"))
@@ -273,7 +274,17 @@ def wiki_documents(spark, sf):
     return rows.select("document_id", "title", F.col("metadata")["space_key"].alias("space_key"), "content_text")
 
 
-@query("page_text")
+_NODES = r"""regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)>', '<>', 'g'), '(?s)<!--.*?-->', '<>', 'g'), '<[^>]*>', chr(1), 'g')"""
+for _entity, _char in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("amp", "&")):
+    _NODES = f"replace({_NODES}, '&{_entity};', '{_char}')"
+_NODES = rf"regexp_replace({_NODES}, '&amp(\x01|$)', '&\1')"
+
+
+@query(
+    "page_text",
+    rf"""SELECT page_id, array_to_string(list_filter(list_transform(string_split({_NODES}, chr(1)),
+      lambda t: regexp_replace(t, '^\s+|\s+$', '', 'g')), lambda t: t <> ''), chr(10)) AS text FROM pages""",
+)
 def page_text(spark, sf):
     pages = spread(table(spark, sf, "pages"), "page_id")
     return pages.select("page_id", html_to_text(F.col("html")).alias("text"))
@@ -333,23 +344,21 @@ def document_round_trip(spark, sf):
     return back.select("document_id", "document_type", "content_text", "content_hash", "word_count")
 
 
-_GRAMS = r"""SELECT {0}, unnest(list_transform(generate_series(1, greatest(0, length(f) - 2)), lambda i: substr(f, i, 3))) AS gram
-    FROM (SELECT {0}, ' ' || lower({1}) || ' ' AS f FROM documents)"""
-_LANGUAGE = rf"""WITH g AS ({_GRAMS.format('doc_id, lang', CLEAN.format('text'))}),
-c AS (SELECT lang, gram, count(*) AS n FROM g GROUP BY ALL),
+_LANGUAGE = rf"""WITH f AS (SELECT doc_id, lang, ' ' || lower({CLEAN.format('text')}) || ' ' AS f FROM documents),
+g AS (SELECT doc_id, lang, unnest(list_transform(generate_series(1, greatest(0, length(f) - 2)),
+    lambda i: (unicode(substr(f, i, 1)) * 961 + unicode(substr(f, i + 1, 1)) * 31 + unicode(substr(f, i + 2, 1))) % 16384)) AS gram FROM f),
+h AS (SELECT doc_id, lang, gram, count(*) AS times FROM g GROUP BY ALL),
+c AS (SELECT lang, gram, sum(times) AS n FROM h WHERE doc_id % 5 <> 0 GROUP BY lang, gram),
 t AS (SELECT lang, sum(n) AS total FROM c GROUP BY lang),
-top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS place FROM c) WHERE place <= 300),
-p AS (SELECT top.lang, gram, ln((n + 1) / (total + 1)) - ln(1.0 / (total + 1)) AS gain FROM top JOIN t ON top.lang = t.lang),
-l AS (SELECT doc_id, count(*) AS size FROM g GROUP BY doc_id),
-hit AS (SELECT doc_id, p.lang, sum(gain) AS gain FROM g JOIN p USING (gram) GROUP BY ALL),
-s AS (SELECT l.doc_id, t.lang, round(coalesce(gain, 0) + size * ln(1.0 / (total + 1)), 6) AS score
-  FROM l JOIN t ON TRUE LEFT JOIN hit ON hit.doc_id = l.doc_id AND hit.lang = t.lang),
+s AS (SELECT h.doc_id, t.lang, round(sum(times * ln((coalesce(c.n, 0) + 1) / (total + 16384))), 6) AS score
+  FROM h CROSS JOIN t LEFT JOIN c ON c.lang = t.lang AND c.gram = h.gram GROUP BY h.doc_id, t.lang),
 best AS (SELECT doc_id, lang AS language FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang DESC) AS r FROM s) WHERE r = 1)"""
 
 
 def _detected(spark, sf):
-    rows = texts(spark, sf).select("doc_id", "text", "lang")
-    return rows, language.detect_languages(rows, language.language_profiles(rows), "doc_id")
+    """Languages of all documents, learned from four fifths of them."""
+    rows = texts(spark, sf).select("doc_id", "text", "lang", (F.col("doc_id") % 5 == 0).alias("held_out"))
+    return rows, language.detect_languages(rows, language.language_profiles(rows.where("NOT held_out")), "doc_id")
 
 
 @query("language_detection", f"{_LANGUAGE} SELECT d.doc_id, coalesce(language, 'en') AS language FROM documents d LEFT JOIN best USING (doc_id)")
@@ -359,9 +368,9 @@ def language_detection(spark, sf):
 
 @query(
     "language_agreement",
-    f"""{_LANGUAGE} SELECT lang, count(*) AS texts, count(*) FILTER (WHERE lang = coalesce(language, 'en')) AS agree
-    FROM documents LEFT JOIN best USING (doc_id) GROUP BY lang""",
+    f"""{_LANGUAGE} SELECT lang, doc_id % 5 = 0 AS held_out, count(*) AS texts, count(*) FILTER (WHERE lang = coalesce(language, 'en')) AS agree
+    FROM documents LEFT JOIN best USING (doc_id) GROUP BY ALL""",
 )
 def language_agreement(spark, sf):
     rows, found = _detected(spark, sf)
-    return language.agreement(found, rows, "doc_id")
+    return language.agreement(found, rows, "doc_id", "held_out")

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from runlore.functions import text as tx
 from runlore.operators import chunking, request_metrics as rm
-from runlore.operators.features import HashedTfIdf, split_by_cache
+from runlore.operators.features import HashedTfIdf, embed_with_cache, split_by_cache
 from runlore.operators.search import check_dimensions
 from runlore.operators.vector_table import VectorTable, changed_chunks, index_stats, new_chunks
-from runlore.plans.index_build import build_index, embed_chunks
+from runlore.plans.index_build import build_index, embed_chunks, empty_cache
 from runlore.queries.base import chunk_sql, query, table, texts
 from runlore.queries.documents import DOC_SQL, doc_rows
 from runlore.session import materialise, scratch_path
@@ -55,6 +55,19 @@ def embedded_chunks(spark, sf):
     return check_dimensions(vectors, 512)
 
 
+@query("embedding_cache_refit", "SELECT DISTINCT sha256(text) AS content_hash, TRUE AS own FROM documents")
+def embedding_cache_refit(spark, sf):
+    """A second fit over the cache of a first one: every vector is that of the second."""
+    chunks = text_chunks(spark, sf)
+    first, second = HashedTfIdf(64).fit(chunks.where("lang = 'en'")), HashedTfIdf(64).fit(chunks)
+    now = F.timestamp_seconds(F.lit(NOW))
+    cache = materialise(embed_with_cache(chunks, first, empty_cache(spark), now=now)[1])
+    found, _ = embed_with_cache(chunks, second, cache, now=now)
+    alone, _ = embed_with_cache(chunks, second, empty_cache(spark), now=now)
+    both = found.join(alone.select("content_hash", F.col("embedding").alias("wanted")), "content_hash")
+    return both.select("content_hash", (F.col("embedding") == F.col("wanted")).alias("own"))
+
+
 def labelled_and_all(spark, sf) -> tuple[DataFrame, DataFrame]:
     """(chunks of labelled documents, all chunks with the rows of labelled documents twice)."""
     chunks = text_chunks(spark, sf)

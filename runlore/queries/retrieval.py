@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlore.operators import chunking, lexical, rerank as rr
+from runlore.operators.skew import bounded_broadcast
 from runlore.plans.evaluation import ablation
 from runlore.plans.index_build import knowledge_base, lexical_base
 from runlore.plans.retrieval import retrieve, with_chunks
@@ -43,6 +46,21 @@ def bm25_topk(spark, sf):
     return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query(
+    "bm25_topk_pre_filter",
+    f"""WITH {CORPUS_SQL}, {QUERY_SQL}, {bm25_sql('b', 'corpus', 'queries', 0)},
+    kept AS (SELECT query_id, id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rn
+      FROM b_s JOIN documents ON doc_id = id WHERE source = 'src' || (query_id % 20))
+    SELECT query_id, id AS chunk_id, round(s, 6) AS score, rn AS rank FROM kept WHERE rn <= 10""",
+)
+def bm25_topk_pre_filter(spark, sf):
+    """Only documents of the wanted source compete."""
+    rows = texts(spark, sf).select(F.col("doc_id").alias("chunk_id"), "text", "source")
+    asked = passages(spark, sf).withColumn("f_source", F.concat(F.lit("src"), F.col("query_id") % 20))
+    found = lexical.bm25(rows, asked, 10, filter_keys=("source",))
+    return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
 def first_candidates(spark, sf) -> tuple[DataFrame, lexical.TermStatistics]:
     """Ten best documents per passage with their text, and the statistics of the documents."""
     rows = corpus(spark, sf)
@@ -112,6 +130,26 @@ def lexical_retrieval(spark, sf):
     return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
+UNRANKED = 60.0
+_UNRANKED = f"""WITH {DOC_SQL},{chunk_sql('ch', 'src', 'sliding_window')},
+corpus AS (SELECT printf('%s_chunk_%04d', id, i) AS id, text FROM ch), {QUERY_SQL}, {bm25_sql('b', 'corpus', 'queries', 10)},
+pass1 AS (SELECT query_id, id, s FROM b_top WHERE s >= {UNRANKED}),
+sparse AS (SELECT query_id, text FROM queries LEFT JOIN (SELECT query_id, count(*) AS n FROM pass1 GROUP BY query_id) USING (query_id) WHERE coalesce(n, 0) < 3),
+asked AS (SELECT b_top.* FROM b_top SEMI JOIN sparse USING (query_id)), {_passages_sql('asked')},
+expanded AS (SELECT query_id, coalesce(text || chr(10) || chr(10) || passage, text) AS text FROM sparse LEFT JOIN pas USING (query_id)),
+{bm25_sql('e', 'corpus', 'expanded', 10)},
+merged AS (SELECT query_id, id, max(s) AS s FROM (SELECT * FROM pass1 UNION ALL SELECT query_id, id, s FROM e_top WHERE s >= {UNRANKED}) GROUP BY query_id, id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM merged)"""
+
+
+@query("retrieval_without_rerank", f"{_UNRANKED} SELECT query_id, id AS chunk_id, round(s, 6) AS score, rank FROM ranked WHERE rank <= 5")
+def retrieval_without_rerank(spark, sf):
+    """A pair that both rounds find has two scores and keeps the better one."""
+    settings = replace(LEXICAL, rerank=False, threshold=UNRANKED)
+    found = retrieve(passages(spark, sf), lexical_base(chunk_corpus(spark, sf)), settings)
+    return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
 @query("dense_retrieval")
 def dense_retrieval(spark, sf):
     """The whole path with vectors of the default featurizer."""
@@ -137,8 +175,10 @@ def containing_documents(spark, sf) -> DataFrame:
     rows = texts(spark, sf).select("doc_id", flat("text").alias("body")).withColumn("w", F.split("body", " "))
     n = F.greatest(F.lit(1), F.size("w") - SHINGLE + 1)
     starts = F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice("w", i, SHINGLE), " ")))
-    hits = rows.select("doc_id", F.explode_outer(starts).alias("start")).join(items.select("item_id", "start"), "start")
-    pairs = hits.select("item_id", "doc_id").distinct()
+    # Only runs that begin a passage leave a task; then each passage meets the documents that hold its beginning.
+    wanted = bounded_broadcast(items.select("start").distinct())
+    hits = rows.select("doc_id", F.explode_outer(starts).alias("start")).join(wanted, "start", "left_semi")
+    pairs = hits.join(items.select("item_id", "start"), "start").select("item_id", "doc_id").distinct()
     verified = pairs.join(rows.select("doc_id", "body"), "doc_id").join(items.select("item_id", "passage"), "item_id")
     return verified.where(F.col("body").contains(F.col("passage"))).select("item_id", "doc_id")
 

@@ -50,10 +50,10 @@ def stream_chunks(spark, sf):
 @query(
     "stream_index",
     f"""WITH {DOC_SQL}, sli AS (SELECT id, text FROM src), {chunk_sql('ch', 'sli', 'sliding_window')}
-    SELECT printf('%s_chunk_%04d', id, i) AS chunk_id, 128::BIGINT AS dimensions FROM ch""",
+    SELECT printf('%s_chunk_%04d', id, i) AS chunk_id, 128::BIGINT AS dimensions, sha256(text) AS content_hash, sha256(text) AS text_hash, TRUE AS own FROM ch""",
 )
 def stream_index(spark, sf):
-    """Continuous indexing, run twice over the same files: the second run adds nothing."""
+    """Continuous indexing, run twice over the same files: the second run adds nothing. Each row's vector is its text's."""
     clean = tx.redact(tx.clean_text(F.col("text")))
     store = VectorTable(spark, scratch_path(spark, "stream-index"))
     featurizer = HashedTfIdf(128).fit(table(spark, sf, "documents"))
@@ -62,7 +62,12 @@ def stream_index(spark, sf):
             document_stream(spark, sf), lambda raw: to_documents(clean)(raw).withColumn("document_type", F.lit("documentation"))
         )
         jobs.index_stream(chunks, store, featurizer, scratch_path(spark, "stream-state"), name=name).awaitTermination()
-    return store.read().select("chunk_id", F.size("embedding").alias("dimensions"))
+    rows = store.read()
+    again = featurizer.transform(rows.select("chunk_id", "text")).select("chunk_id", F.col("embedding").alias("wanted"))
+    apart = F.aggregate(F.zip_with("embedding", "wanted", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda a, x: F.greatest(a, x.cast("double")))
+    return rows.join(again, "chunk_id").select(
+        "chunk_id", F.size("embedding").alias("dimensions"), "content_hash", tx.content_hash(F.col("text")).alias("text_hash"), (apart < 1e-5).alias("own")
+    )
 
 
 def _window_sql() -> str:

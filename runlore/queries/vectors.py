@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,23 +67,21 @@ SELECT query_id, vec_id, round(s, 4) AS score, r AS rank FROM kept WHERE r <= {K
 @query("vector_topk_post_filter", _POST)
 def vector_topk_post_filter(spark, sf):
     """Three times k, filtered by label, first k: some queries get fewer."""
-    return _out(se.search(vectors(spark, sf), as_queries(spark, sf, F.col("label")), K, ["label"], "post", id_col="vec_id"))
+    return _out(se.search(vectors(spark, sf), as_queries(spark, sf, F.col("label")), K, "post", id_col="vec_id"))
 
 
 @query("vector_topk_pre_filter", f"WITH {cosine_sql(K, 'a.label = b.label')} SELECT {_OUT} FROM found")
 def vector_topk_pre_filter(spark, sf):
-    return _out(se.search(vectors(spark, sf), as_queries(spark, sf, F.col("label")), K, ["label"], "pre", id_col="vec_id"))
+    return _out(se.search(vectors(spark, sf), as_queries(spark, sf, F.col("label")), K, id_col="vec_id"))
 
 
 @query(
     "vector_topk_list_filter",
-    f"""WITH {cosine_sql(3 * K)},
-    kept AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS r FROM found WHERE lb IN (la, (la + 1) % 10))
-    SELECT query_id, vec_id, round(s, 4) AS score, r AS rank FROM kept WHERE r <= {K}""",
+    f"WITH {cosine_sql(K, 'b.label IN (a.label, (a.label + 1) % 10)')} SELECT {_OUT} FROM found",
 )
 def vector_topk_list_filter(spark, sf):
     two = F.array("label", (F.col("label") + 1) % 10)
-    return _out(se.search(vectors(spark, sf), as_queries(spark, sf, two), K, ["label"], "post", id_col="vec_id"))
+    return _out(se.search(vectors(spark, sf), as_queries(spark, sf, two), K, id_col="vec_id"))
 
 
 @query(
@@ -96,15 +97,14 @@ def vector_topk_null_filter(spark, sf):
     queries of label 5 come without a filter."""
     rows = vectors(spark, sf).withColumn("label", F.nullif("label", F.lit(3)))
     wanted = F.when(F.col("label") == 4, F.array(F.lit(4), F.lit(None))).when(F.col("label") != 5, F.array("label"))
-    return _out(se.search(rows, as_queries(spark, sf, wanted), K, ["label"], "pre", id_col="vec_id"))
+    return _out(se.search(rows, as_queries(spark, sf, wanted), K, id_col="vec_id"))
 
 
 def label_centroids(spark, sf) -> DataFrame:
     """The mean vector of each label as a query: one row per label, built by one aggregation over all vectors."""
-    parts = vectors(spark, sf).select("label", F.posexplode("embedding").alias("pos", "x"))
-    means = parts.groupBy("label", "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    listed = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("v"))
-    return listed.select(F.col("label").cast("bigint").alias("query_id"), F.col("v.m").alias("embedding"), F.col("label").alias("f_label"))
+    rows = vectors(spark, sf).select("label", array_to_vector("embedding").alias("v"))
+    means = rows.groupBy("label").agg(vector_to_array(Summarizer.mean(F.col("v"))).alias("embedding"))
+    return means.select(F.col("label").cast("bigint").alias("query_id"), "embedding", F.col("label").alias("f_label"))
 
 
 _CENTROIDS = """c AS (SELECT label, list(m ORDER BY pos) AS v FROM (
@@ -115,13 +115,12 @@ _CENTROIDS = """c AS (SELECT label, list(m ORDER BY pos) AS v FROM (
 @query(
     "label_centroid_topk",
     f"""WITH {_CENTROIDS}, scored AS (SELECT CAST(c.label AS BIGINT) AS query_id, b.vec_id, b.label AS lb, c.label AS la,
-      list_cosine_similarity(c.v, b.embedding::DOUBLE[]) AS s FROM c, embeddings b),
-    found AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rn FROM scored),
-    kept AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM found WHERE rn <= {3 * K} AND la = lb)
+      list_cosine_similarity(c.v, b.embedding::DOUBLE[]) AS s FROM c, embeddings b WHERE c.label = b.label),
+    kept AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM scored)
     SELECT query_id, vec_id, round(s, 4) AS score, rank FROM kept WHERE rank <= {K}""",
 )
 def label_centroid_topk(spark, sf):
-    return _out(se.search(vectors(spark, sf), label_centroids(spark, sf), K, ["label"], "post", id_col="vec_id"))
+    return _out(se.search(vectors(spark, sf), label_centroids(spark, sf), K, id_col="vec_id"))
 
 
 @query(
@@ -141,11 +140,22 @@ def vector_dimensions(spark, sf):
     return se.check_dimensions(vectors(spark, sf), 64)
 
 
-@query("vector_topk_centroid_cells")
+_CELLS = f"""WITH {_CENTROIDS}, near AS (SELECT vec_id, label AS cell, row_number() OVER (PARTITION BY vec_id ORDER BY d, label) AS place
+    FROM (SELECT e.vec_id, c.label, round(list_inner_product(c.v, c.v) - 2 * list_inner_product(e.embedding::DOUBLE[], c.v)
+      / sqrt(list_inner_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])), 12) AS d FROM embeddings e, c)),
+  met AS (SELECT DISTINCT a.vec_id AS query_id, b.vec_id FROM near a JOIN near b ON a.cell = b.cell WHERE a.place <= 3 AND b.place = 1),
+  scored AS (SELECT query_id, b.vec_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s
+    FROM met JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = met.vec_id),
+  found AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM scored)"""
+
+
+@query("vector_topk_centroid_cells", f"{_CELLS} SELECT {_OUT} FROM found WHERE rank <= {K}")
 def vector_topk_centroid_cells(spark, sf):
+    """Cells around the mean vector of each label; the three nearest are probed."""
     rows = vectors(spark, sf)
-    cells = ann.CentroidCells.fit(rows, 16)
-    return _out(ann.approximate_search(rows, as_queries(spark, sf), cells, K, probes=6, id_col="vec_id"))
+    means = label_centroids(spark, sf).orderBy("query_id").collect()  # as many as labels
+    cells = ann.CentroidCells(np.array([r.embedding for r in means]))
+    return _out(ann.approximate_search(rows, as_queries(spark, sf), cells, K, probes=3, id_col="vec_id"))
 
 
 @query("vector_topk_centroid_cells_all", f"WITH {cosine_sql(K)} SELECT {_OUT} FROM found")

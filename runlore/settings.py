@@ -20,7 +20,7 @@ class ChunkSettings:
 @dataclass(frozen=True)
 class EmbedSettings:
     provider: str = "hashed_tfidf"
-    model: str = "hashed_tfidf_512"
+    model: str | None = None
     dimensions: int = 512
     batch_size: int = 100
     cache_ttl_seconds: int = 3600
@@ -38,7 +38,7 @@ class RetrievalSettings:
     rerank: bool = True
     dense: bool = True
     filter_keys: tuple[str, ...] = ("service", "environment")
-    filter_mode: str = "post"
+    filter_mode: str = "pre"
     missing_passes: bool = False
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.types import StructType
@@ -49,9 +49,13 @@ def index_stream(
     state. One writer per table."""
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        vectors, _ = embed_chunks(batch, featurizer)
-        extra = batch.select("chunk_id", *[c for c in carry if c in batch.columns]).dropDuplicates(["chunk_id"])
-        table.add(vectors.dropDuplicates(["chunk_id"]).join(extra, "chunk_id"), batch=f"{name}-{batch_id}")
+        # One row of each id is chosen before anything is derived from it, so text and vector are of one row.
+        first = Window.partitionBy("chunk_id").orderBy("content_hash")
+        rows = batch.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n").persist()
+        vectors, _ = embed_chunks(rows, featurizer)
+        extra = rows.select("chunk_id", *[c for c in carry if c in rows.columns])
+        table.add(vectors.join(extra, "chunk_id"), batch=f"{name}-{batch_id}")
+        rows.unpersist()
 
     return _started(chunks.writeStream.foreachBatch(add), checkpoint, trigger)
 

@@ -108,7 +108,7 @@ def test_scalar_filters(spark, mode, way, missing):
     services = [["payments", "auth", None][i % 3] for i in range(120)]
     filters = ["payments", "auth", None, "search", "payments"]
     found = se.search(
-        corpus(spark, v, services), queries(spark, w, filters), 6, ["service"], mode, missing_passes=missing,
+        corpus(spark, v, services), queries(spark, w, filters), 6, mode, missing_passes=missing,
         broadcast_bytes=WAYS[way],
     )
     same(collected(found), filtered(services, filters, mode, 6, v, w, missing))
@@ -120,7 +120,7 @@ def test_list_filters_with_nulls(spark, mode):
     v, w = rng.normal(size=(90, 8)), rng.normal(size=(4, 8))
     services = [["payments", "auth", None][i % 3] for i in range(90)]
     filters = [["payments", "auth"], ["auth", None], None, []]
-    found = se.search(corpus(spark, v, services), queries(spark, w, filters, "array<string>"), 6, ["service"], mode)
+    found = se.search(corpus(spark, v, services), queries(spark, w, filters, "array<string>"), 6, mode)
     same(collected(found), filtered(services, filters, mode, 6, v, w))
 
 
@@ -128,8 +128,8 @@ def test_post_filter_may_return_fewer_than_k(spark):
     v = [[1, i / 100] for i in range(40)]
     services = ["other"] * 30 + ["mine"] * 10
     asked = queries(spark, [[1.0, 0.0]], ["mine"])
-    assert se.search(corpus(spark, v, services), asked, 10, ["service"]).count() == 0
-    assert se.search(corpus(spark, v, services), asked, 10, ["service"], "pre").count() == 10
+    assert se.search(corpus(spark, v, services), asked, 10, "post").count() == 0
+    assert se.search(corpus(spark, v, services), asked, 10).count() == 10
 
 
 def test_unknown_options(spark):
