@@ -12,6 +12,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 
 from runlore.operators.features import HashedTfIdf
+from runlore.operators.language import language_profiles
 from runlore.operators.vector_table import VectorTable
 from runlore.plans.diagnosis import diagnoses, incident_queries, prompts
 from runlore.plans.evaluation import evaluate
@@ -19,7 +20,7 @@ from runlore.plans.index_build import build_index, open_index
 from runlore.plans.retrieval import retrieve
 from runlore.session import clean_scratch, get_spark, materialise, ship_package
 from runlore.settings import EmbedSettings, RetrievalSettings, Settings
-from runlore.sources.base import TextFiles, TicketFiles, ingest
+from runlore.sources.base import Alerts, RemoteTickets, TextFiles, TicketFiles, WikiPages, ingest
 from runlore.sources.incidents import read_eval_samples, read_incidents, validate_incidents, write_results
 
 REPLIES = "incident_id string, text string"
@@ -30,7 +31,11 @@ def _featurizer(args) -> HashedTfIdf:
 
 
 def index(spark: SparkSession, args) -> None:
-    read = ingest(spark, [TicketFiles(args.tickets), TextFiles(args.files, tuple(args.patterns))])
+    sources = [TicketFiles(args.tickets), TextFiles(args.files, tuple(args.patterns))]
+    sources += [RemoteTickets(args.remote)] if args.remote else []
+    sources += [WikiPages(args.wiki, args.wiki_url)] if args.wiki else []
+    sources += [Alerts(args.alerts)] if args.alerts else []
+    read = ingest(spark, sources, language_profiles(spark.read.parquet(args.labelled)) if args.labelled else None)
     for w in read.warnings:
         print(w, file=sys.stderr)
     documents = materialise(read.documents)
@@ -89,6 +94,11 @@ def main(argv: list[str] | None = None) -> None:
 
     p = job("index", index, "tickets", "files")
     p.add_argument("--patterns", nargs="+", default=["*.md", "*.txt", "*.rst"])
+    p.add_argument("--remote", help="landed records of a remote ticket table")
+    p.add_argument("--wiki", help="landed wiki pages")
+    p.add_argument("--wiki-url", default="")
+    p.add_argument("--alerts", help="Parquet events")
+    p.add_argument("--labelled", help="Parquet of (lang, text) to learn languages from")
     p.add_argument("--rebuild", action="store_true")
     job("prompts", write_prompts, "incidents", "output")
     job("diagnose", diagnose, "incidents", "replies", "output")

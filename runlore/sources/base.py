@@ -84,7 +84,7 @@ class Ingest:
     warnings: list[str] = field(default_factory=list)
 
 
-def ingest(spark: SparkSession, sources: list[Source]) -> Ingest:
+def ingest(spark: SparkSession, sources: list[Source], profiles: DataFrame | None = None) -> Ingest:
     """All sources that exist as one documents table; a missing one is a warning, none at all an error."""
     found, warnings = [], []
     for s in sources:
@@ -93,6 +93,8 @@ def ingest(spark: SparkSession, sources: list[Source]) -> Ingest:
         else:
             warnings.append(f"{type(s).__name__}: nothing at {s.path}")
     documents = require_documents(union_sources(*[good for good, _ in found]))
+    if profiles is not None:
+        documents = with_languages(documents, profiles)
     none = spark.createDataFrame([], "source_system string")
     bad = none
     for _, set_aside in found:
@@ -104,5 +106,6 @@ def with_languages(documents: DataFrame, profiles: DataFrame) -> DataFrame:
     """Detected languages in place of the default of the file source."""
     from runlore.operators.language import detect_languages
 
-    found = detect_languages(documents.select("document_id", F.col("content_text").alias("text")), profiles, "document_id")
+    named = documents.select("document_id", F.col("content_text").alias("text")).dropDuplicates(["document_id"])
+    found = detect_languages(named, profiles, "document_id")
     return documents.drop("language").join(found, "document_id", "left").select(*documents.columns)

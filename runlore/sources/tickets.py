@@ -15,8 +15,16 @@ RESOLVED_STATE = "6"
 LOOKBACK_DAYS = 90
 
 
+def read_ticket_lines(spark: SparkSession, path: str) -> DataFrame:
+    """JSON lines of tickets, the form for large sources: files are split, and an unreadable line is one row with
+    ``_corrupt_record`` set."""
+    schema = T.StructType([*schemas.TICKETS.fields, T.StructField(CORRUPT, T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "pathGlobFilter": "*.jsonl"}
+    return spark.read.schema(schema).options(**options).json(path)
+
+
 def read_ticket_json(spark: SparkSession, path: str) -> DataFrame:
-    """JSON arrays of tickets; an unreadable file becomes one row with ``_corrupt_record`` set."""
+    """JSON arrays of tickets, a task for each file; an unreadable file becomes one row with ``_corrupt_record`` set."""
     schema = T.StructType([*schemas.TICKETS.fields, T.StructField(CORRUPT, T.StringType())])
     return (
         spark.read.schema(schema)
@@ -51,13 +59,17 @@ def read_ticket_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_tickets(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Tickets of a file or of the ``.json`` and ``.csv`` files right under a folder: (good, set aside)."""
+    """Tickets of a file or of the ``.json``, ``.jsonl`` and ``.csv`` files right under a folder: (good, set aside)."""
     if path.endswith(".csv"):
         rows = read_ticket_csv(spark, path)
+    elif path.endswith(".jsonl"):
+        rows = read_ticket_lines(spark, path)
     elif path.endswith(".json"):
         rows = read_ticket_json(spark, path)
     else:
         rows = read_ticket_json(spark, path)
+        if path_exists(spark, f"{path.rstrip('/')}/*.jsonl"):
+            rows = rows.unionByName(read_ticket_lines(spark, path))
         if path_exists(spark, f"{path.rstrip('/')}/*.csv"):
             rows = rows.unionByName(read_ticket_csv(spark, path))
     # Spark refuses to read the corrupt column alone, so a condition that always holds looks at an ordinary one.
