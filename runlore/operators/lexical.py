@@ -37,11 +37,13 @@ class TermStatistics:
 
 
 def term_statistics(corpus: DataFrame, vocabulary: DataFrame | None = None) -> TermStatistics:
-    """One pass over the corpus, for all its terms or for those of ``vocabulary``; the result is materialised.
+    """One pass over the corpus, for all its terms or for those of ``vocabulary``; the result is materialised."""
+    return statistics_of(materialise(term_counts(corpus, vocabulary)))
 
-    Every text also yields an empty term that carries its length, so the totals come out of the same aggregation.
-    Hot terms are folded before the shuffle.
-    """
+
+def term_counts(corpus: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
+    """(term, df, length). Every text also yields an empty term that carries its length, so the totals come out of the
+    same aggregation. Hot terms are folded before the shuffle. Counts of two sets of texts add up."""
     # The size is taken before the array is exploded, so that no row of a term carries the array along.
     tokens = corpus.select(tx.terms(F.col("text")).alias("t")).select("t", F.size("t").alias("len"))
     seen = tokens.select("len", F.explode_outer(F.array_append(F.array_distinct("t"), F.lit(""))).alias("term"))
@@ -50,7 +52,11 @@ def term_statistics(corpus: DataFrame, vocabulary: DataFrame | None = None) -> T
         empty = wanted.sparkSession.createDataFrame([("",)], "term string")
         seen = seen.join(bounded_broadcast(wanted.union(empty), 1_000_000), "term", "left_semi")
     length = F.sum(F.when(F.col("term") == "", F.col("len")))
-    counted = materialise(seen.groupBy("term").agg(F.count("*").alias("df"), length.alias("length")))
+    return seen.groupBy("term").agg(F.count("*").alias("df"), length.alias("length"))
+
+
+def statistics_of(counted: DataFrame) -> TermStatistics:
+    """Statistics from written counts."""
     total = counted.where(F.col("term") == "").first()
     n, length = (total["df"], total["length"]) if total else (0, 0)
     return TermStatistics(counted.where(F.col("term") != "").select("term", "df"), n, length / n if n else 0.0)

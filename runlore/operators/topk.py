@@ -4,9 +4,10 @@ A scorer turns a block of queries and an Arrow batch of corpus rows into a score
 k rows per query leave the task, and one window per query merges them. Two ways to bring queries and corpus together:
 
 * ``broadcast_topk``: the queries, checked to be under a byte bound, go to every task. The corpus is not shuffled.
-* ``grid_topk``: both sides are cut into bounded blocks per cell and each pair of blocks meets in one task. One cell
-  gives the exact search for query sets of any size; many cells (nearest centroids) give the approximate one. A hot
-  cell simply has more blocks.
+* ``rounds_topk``: larger query sets go in rounds of blocks under that bound, one after the other. Each round reads
+  the corpus once where it lies.
+* ``grid_topk``: both sides are cut into bounded blocks per cell and each pair of blocks meets in one task: the
+  approximate search within cells. A hot cell simply has more blocks.
 
 Scores are plain functions of (query, row): the matrix product only preselects, with a margin above its rounding
 error, and the survivors are scored again in a fixed order. So equal rows tie exactly and ties break by id.
@@ -15,6 +16,7 @@ error, and the survivors are scored again in a fixed order. So equal rows tie ex
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import Protocol
 
 import numpy as np
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from runlore.session import materialise
+
 BROADCAST_BYTES = 64 << 20
 BLOCK_BYTES = 32 << 20
 MATRIX_CELLS = 1 << 23
@@ -104,39 +108,48 @@ class DenseScorer:
 
 
 class AllowedValues:
-    """Per query the metadata values it accepts: none given accepts all, a missing value only matches a null."""
+    """Per query the metadata values it accepts: none given accepts all, a missing value only matches a null.
+
+    Values are compared by code. A table of queries and values exists only for list filters, and only for the queries
+    that are scored at a time."""
+
+    ALL = -1
 
     def __init__(self, queries: pa.Table, keys: tuple[str, ...], missing_passes: bool):
+        self.missing_passes = missing_passes
         self.keys = []
         for key in keys:
             wanted = queries[f"f_{key}"].to_pylist()
-            lists = [None if w is None else (w if isinstance(w, list) else [w]) for w in wanted]
+            is_list = _scalar_type(queries[f"f_{key}"].type) != queries[f"f_{key}"].type
+            lists = [None if w is None else (w if is_list else [w]) for w in wanted]
             values = sorted({v for w in lists if w for v in w if v is not None}, key=str)
-            code = {v: i for i, v in enumerate(values)}
-            missing, other = len(values), len(values) + 1
-            allowed = np.zeros((len(lists), len(values) + 2), dtype=bool)
-            for row, w in zip(allowed, lists):
-                if w is None:
-                    row[:] = True
-                    continue
-                for v in w:
-                    row[missing if v is None else code[v]] = True
-                row[missing] |= missing_passes
-            self.keys.append((key, pa.array(values, type=_scalar_type(queries[f"f_{key}"].type)), missing, other, allowed))
+            code = {v: i for i, v in enumerate(values)} | {None: len(values)}
+            coded = [[self.ALL] if w is None else [code[v] for v in w] for w in lists]
+            accepted = coded if is_list else np.array([c[0] for c in coded], dtype=np.int64)
+            self.keys.append((key, pa.array(values, type=_scalar_type(queries[f"f_{key}"].type)), len(values), accepted))
 
     def codes(self, batch: pa.RecordBatch) -> list[np.ndarray]:
         out = []
-        for key, values, missing, other, _ in self.keys:
+        for key, values, missing, _ in self.keys:
             column = batch[key]
             found = pc.index_in(column, value_set=values.cast(column.type), skip_nulls=True)
-            found = pc.if_else(pc.is_null(column), missing, pc.fill_null(found, other))
+            found = pc.if_else(pc.is_null(column), missing, pc.fill_null(found, missing + 1))
             out.append(found.to_numpy(zero_copy_only=False))
         return out
 
     def mask(self, lo: int, hi: int, codes: list[np.ndarray]) -> np.ndarray | None:
         mask = None
-        for (_, _, _, _, allowed), code in zip(self.keys, codes):
-            this = allowed[lo:hi][:, code]
+        for (_, _, missing, accepted), code in zip(self.keys, codes):
+            if isinstance(accepted, list):
+                allowed = np.zeros((hi - lo, missing + 2), dtype=bool)
+                for row, w in zip(allowed, accepted[lo:hi]):
+                    row[slice(None) if w == [self.ALL] else w] = True
+                this = allowed[:, code]
+            else:
+                wanted = accepted[lo:hi, None]
+                this = (wanted == code[None, :]) | (wanted == self.ALL)
+            if self.missing_passes:
+                this |= (code == missing)[None, :]
             mask = this if mask is None else mask & this
         return mask
 
@@ -265,7 +278,17 @@ def topk(
     args = (corpus, queries, scorer, k, payload, filter_keys, missing_passes, floor)
     if size <= broadcast_bytes:
         return broadcast_topk(*args)
-    return grid_topk(*args)
+    return rounds_topk(-(-size // broadcast_bytes), *args)
+
+
+def rounds_topk(blocks: int, corpus: DataFrame, queries: DataFrame, *args) -> DataFrame:
+    """The queries in so many blocks by a hash of their id, each searched and written before the next is sent."""
+    rows = materialise(queries)
+    parts = []
+    for b in range(blocks):
+        block = rows.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        parts.append(materialise(broadcast_topk(corpus, block, *args)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def broadcast_topk(

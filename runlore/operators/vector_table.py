@@ -1,8 +1,8 @@
 """Versioned tables of chunks with their vectors.
 
-Data goes into fresh folders; a small numbered commit file lists the folders that make up the table. Creating that
-file is the switch: readers resolve the newest commit once and are never shown half a write, and a writer that lost a
-race finds its number taken.
+Data goes into fresh folders; a small numbered commit file lists the folders that make up the table. It is written
+aside and renamed to its number, which is the switch: readers resolve the newest commit once and are never shown half
+a write, and a writer that lost a race finds its number taken.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from runlore.session import materialise
+
 
 class CommitConflict(RuntimeError):
     """Another writer committed first."""
@@ -29,9 +31,13 @@ class Commit:
 
 
 def one_per_chunk(rows: DataFrame, order: str = "content_hash") -> DataFrame:
-    """One row per chunk id, the smallest by ``order``. Copies are folded before the shuffle."""
-    picked = rows.groupBy("chunk_id").agg(F.min_by(F.struct(*rows.columns), F.col(order)).alias("r"))
-    return picked.select("r.*")
+    """One row per chunk id, the smallest by ``order``. Repeated ids are found on two columns; only their rows move."""
+    twice = rows.groupBy("chunk_id").agg(F.count("*").alias("_n"), F.min(order).alias("_least")).where("_n > 1")
+    twice = materialise(twice.select("chunk_id", "_least"))
+    if twice.isEmpty():
+        return rows
+    again = rows.join(twice, "chunk_id").where(F.col(order).eqNullSafe(F.col("_least"))).select(*rows.columns)
+    return rows.join(twice, "chunk_id", "left_anti").unionByName(again.dropDuplicates(["chunk_id"]))
 
 
 def new_chunks(existing: DataFrame, incoming: DataFrame, order: str = "content_hash") -> DataFrame:
@@ -66,12 +72,18 @@ class VectorTable:
     def _publish(self, version: int, folders: list[str], after: Commit) -> Commit:
         commit = Commit(after.number + 1, version, folders)
         target = self._path(f"{self.root}/commits/{commit.number:010d}")
+        aside = self._path(f"{self.root}/commits/_{uuid.uuid4().hex}")
+        out = self._fs.create(aside, False)
+        out.write(bytearray(json.dumps(commit.__dict__).encode()))
+        out.close()
+        jvm = self.spark._jvm.org.apache.hadoop.fs
+        files = jvm.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        keep = self.spark.sparkContext._gateway.new_array(jvm.Options.Rename, 0)  # without OVERWRITE
         try:
-            out = self._fs.create(target, False)
+            files.rename(self._fs.makeQualified(aside), self._fs.makeQualified(target), keep)
         except Py4JJavaError as e:
+            self._fs.delete(aside, False)
             raise CommitConflict(f"commit {commit.number} exists already") from e
-        out.write(bytearray(json.dumps(commit.__dict__).encode()))
-        out.close()
         return commit
 
     def read(self, commit: Commit | None = None) -> DataFrame:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from runlore.functions import vector as vc
 from runlore.operators import ann, search as se
-from runlore.operators.topk import DenseScorer, grid_topk
 from runlore.queries.base import cosine_sql, query, table
 
 K = 10
@@ -39,8 +38,8 @@ def vector_topk(spark, sf):
 
 @query("vector_topk_grid", f"WITH {cosine_sql(K)} SELECT {_OUT} FROM found")
 def vector_topk_grid(spark, sf):
-    """The way for query sets too large to broadcast."""
-    return _out(grid_topk(vectors(spark, sf), as_queries(spark, sf), DenseScorer, K, ["vec_id"], block_bytes=256 << 10))
+    """The way for query sets too large to broadcast at once: rounds of blocks."""
+    return _out(se.search(vectors(spark, sf), as_queries(spark, sf), K, id_col="vec_id", broadcast_bytes=256 << 10))
 
 
 @query(

@@ -153,3 +153,21 @@ def test_dense_retrieval_with_filters(spark):
     loose = RetrievalSettings(expansion_enabled=False, missing_passes=True, threshold=0.0, filter_mode="pre")
     found = retrieve(asked.where("query_id = 'q2'"), kb, loose)
     assert sorted(r.document_id for r in found.collect()) == ["d2", "d3"]
+
+
+def test_stored_terms_equal_counted_ones(spark, tmp_path, monkeypatch):
+    from runlore.operators.lexical import term_statistics
+    from runlore.plans import index_build as ib
+    from runlore.sources.documents import conform
+
+    texts = [("d1", "alpha beta beta"), ("d2", "beta gamma"), ("d3", "delta alpha")]
+    rows = conform(spark.createDataFrame(texts, "document_id string, content_text string").withColumn("document_type", F.lit("runbook")))
+    store, featurizer = VectorTable(spark, str(tmp_path / "t")), ft.HashedTfIdf(16).fit(rows, "content_text")
+    ib.build_index(rows.where("document_id <> 'd3'"), store, featurizer).collect()
+    ib.build_index(rows, store, featurizer).collect()
+    want = term_statistics(store.read())
+    # Opening reads the stored counts; no text is counted again.
+    monkeypatch.setattr(ib, "term_statistics", None)
+    got = ib.open_index(store, featurizer).terms
+    assert (got.n, got.mean_length) == (want.n, want.mean_length) == (3, 7 / 3)
+    assert sorted(map(tuple, got.frequencies.collect())) == sorted(map(tuple, want.frequencies.collect()))

@@ -6,7 +6,7 @@ from runlore.operators import ann, search as se
 from runlore.operators.skew import hot_keys, join_hot
 from runlore.operators.topk import DenseScorer, grid_topk
 
-WAYS = {"broadcast": 1 << 30, "grid": 0}
+WAYS = {"broadcast": 64 << 20, "rounds": 400}
 
 
 def corpus(spark, vectors, services=None):
