@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from runlore.functions import vector as vc
 from runlore.operators.topk import BROADCAST_BYTES, DenseScorer, best_per_query, grid_candidates
+from runlore.session import materialise
 
 
 def _unit(df: DataFrame) -> DataFrame:
@@ -97,6 +98,28 @@ def approximate_search(
     return best_per_query(distinct, id_col, k).select("query_id", id_col, "score", "rank")
 
 
+def write_cells(vectors: DataFrame, cells: CentroidCells | ProjectionCells, path: str, id_col: str = "chunk_id") -> None:
+    """The vectors with their cells, a folder a cell, written once when an index is built. A hot cell is many files."""
+    rows = cells.assign(vectors.select(id_col, "embedding"))
+    rows.write.partitionBy("cell").parquet(path)
+
+
+def stored_search(
+    path: str, queries: DataFrame, cells: CentroidCells | ProjectionCells, k: int = 10, probes: int = 4, id_col: str = "chunk_id",
+) -> DataFrame:
+    """The search over written cells: only the folders of probed cells are read, and no vector is assigned again."""
+    wanted = materialise(cells.assign(queries.select("query_id", "embedding"), probes))
+    found = grid_candidates(probed_rows(path, wanted), wanted, partial(DenseScorer, metric="cosine"), k, [id_col], cell="cell")
+    distinct = found.groupBy("query_id", id_col).agg(F.max("score").alias("score"))
+    return best_per_query(distinct, id_col, k).select("query_id", id_col, "score", "rank")
+
+
+def probed_rows(path: str, wanted: DataFrame) -> DataFrame:
+    """Rows of the cells that the queries probe; as many values as cells at most go to the scan's partition filter."""
+    probed = [r.cell for r in wanted.select("cell").distinct().collect()]
+    return wanted.sparkSession.read.parquet(path).where(F.col("cell").isin(probed))
+
+
 def recall(approximate: DataFrame, exact: DataFrame, id_col: str = "chunk_id") -> DataFrame:
     """One row: share of the exact results that the approximate search found."""
     hits = exact.select("query_id", id_col).join(

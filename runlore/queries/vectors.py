@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from runlore.functions import vector as vc
 from runlore.operators import ann, search as se
 from runlore.queries.base import cosine_sql, query, table
+from runlore.session import scratch_path
 
 K = 10
 _OUT = "query_id, vec_id, round(s, 4) AS score, rank"
@@ -150,11 +151,13 @@ _CELLS = f"""WITH {_CENTROIDS}, near AS (SELECT vec_id, label AS cell, row_numbe
 
 @query("vector_topk_centroid_cells", f"{_CELLS} SELECT {_OUT} FROM found WHERE rank <= {K}")
 def vector_topk_centroid_cells(spark, sf):
-    """Cells around the mean vector of each label; the three nearest are probed."""
+    """Cells around the mean vector of each label, written as folders; the three nearest are read."""
     rows = vectors(spark, sf)
     means = label_centroids(spark, sf).orderBy("query_id").collect()  # as many as labels
     cells = ann.CentroidCells(np.array([r.embedding for r in means]))
-    return _out(ann.approximate_search(rows, as_queries(spark, sf), cells, K, probes=3, id_col="vec_id"))
+    path = scratch_path(spark, "cells")
+    ann.write_cells(rows, cells, path, "vec_id")
+    return _out(ann.stored_search(path, as_queries(spark, sf), cells, K, probes=3, id_col="vec_id"))
 
 
 @query("vector_topk_centroid_cells_all", f"WITH {cosine_sql(K)} SELECT {_OUT} FROM found")

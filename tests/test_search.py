@@ -178,3 +178,17 @@ def test_filters_and_columns_reach_the_scan(spark, tmp_path):
     plan = se.search(spark.read.parquet(path), queries(spark, [[1.0, 0.0]]), 1)._jdf.queryExecution().executedPlan().toString()
     assert "IsNotNull(embedding)" in plan and "text" not in plan.split("ReadSchema")[1].split(">")[0]
     assert plan.count("Exchange hashpartitioning(query_id") == 1 and "WindowGroupLimit" in plan
+
+
+def test_only_probed_cells_are_read(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(8, 16))
+    rows = corpus(spark, np.repeat(centres, 30, axis=0) + 0.1 * rng.normal(size=(240, 16)))
+    cells = ann.CentroidCells(centres / np.linalg.norm(centres, axis=1)[:, None])
+    path = str(tmp_path / "cells")
+    ann.write_cells(rows, cells, path)
+    asked = queries(spark, centres[:2]).select("query_id", "embedding")
+    plan = ann.probed_rows(path, cells.assign(asked, 1))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [cell" in plan
+    found = ann.stored_search(path, asked, cells, 10, 2)
+    same(collected(found), collected(ann.approximate_search(rows, asked, cells, 10, 2)))
