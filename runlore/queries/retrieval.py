@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlore.operators import chunking, lexical, rerank as rr
+from runlore.operators.lexical import TermStatistics
 from runlore.operators.skew import bounded_broadcast
 from runlore.plans.evaluation import ablation
-from runlore.plans.index_build import knowledge_base, lexical_base
+from runlore.plans.index_build import KnowledgeBase, knowledge_base, lexical_base
 from runlore.plans.retrieval import retrieve, with_chunks
-from runlore.queries.base import bm25_sql, chunk_sql, query, rerank_sql, table, texts
+from runlore.queries.base import bm25_sql, chunk_sql, cosine_sql, query, rerank_sql, table, texts
 from runlore.queries.documents import DOC_SQL, doc_rows
 from runlore.session import materialise
 from runlore.settings import ChunkSettings, RetrievalSettings, Settings
@@ -158,6 +159,38 @@ def dense_retrieval(spark, sf):
     return found.select("query_id", "chunk_id", "document_id", F.round("score", 6).alias("score"), "rank")
 
 
+class GivenVectors:
+    """A featurizer of queries whose vectors are there already."""
+
+    model, dimensions = "given", 64
+
+    def __init__(self, vectors: DataFrame):
+        self.vectors = vectors
+
+    def fit(self, rows: DataFrame, text_col: str = "text") -> GivenVectors:
+        return self
+
+    def transform(self, rows: DataFrame, text_col: str = "text") -> DataFrame:
+        return rows.join(self.vectors.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id")
+
+
+@query(
+    "dense_retrieval_given_vectors",
+    f"WITH {cosine_sql(10, 'a.label = b.label')} SELECT query_id, vec_id AS chunk_id, round(s, 4) AS score, rank FROM found WHERE s >= 0.2 AND rank <= 5",
+)
+def dense_retrieval_given_vectors(spark, sf):
+    """The dense path with given vectors: search under a filter, threshold, cut."""
+    rows = table(spark, sf, "embeddings")
+    named = rows.withColumn("chunk_id", F.col("vec_id"))
+    chunks = named.select(
+        "chunk_id", F.concat(F.lit("doc_"), "vec_id").alias("document_id"), F.lit("alert").alias("document_type"),
+        F.lit("t").alias("title"), F.lit("x").alias("text"), "label")
+    kb = KnowledgeBase(chunks, named.select("chunk_id", "label", "embedding"), GivenVectors(rows), TermStatistics(None, 0, 0.0))
+    asked = rows.select(F.col("vec_id").alias("query_id"), F.lit("x").alias("text"), F.col("label").alias("f_label"))
+    settings = RetrievalSettings(threshold=0.2, rerank=False, expansion_enabled=False, filter_keys=("label",))
+    return retrieve(asked, kb, settings).select("query_id", "chunk_id", F.round("score", 4).alias("score"), "rank")
+
+
 SHINGLE = 8
 
 
