@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -87,6 +88,13 @@ def materialise(df: DataFrame) -> DataFrame:
     return written
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Have the shuffle files of finished jobs removed. Spark does so when the driver's JVM collects its garbage, which
+    a driver with little to hold may not do for long, while executors' disks fill."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 SMALL_PARTITION_BYTES = 32 << 20
 
 
