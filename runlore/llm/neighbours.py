@@ -238,7 +238,9 @@ def block_counts(units: DataFrame, members: DataFrame, d: Descent) -> DataFrame:
                 links[right] += n[rows] @ hit
         return pd.DataFrame({"cls": group["cls"], "links": links})
 
-    counted = work.groupBy("root", "p", "q").applyInPandas(run, "cls bigint, links bigint")
+    # dealt by pair of blocks: by component alone, all pairs of a large one would be one task
+    dealt = work.repartition("root", "p", "q")
+    counted = dealt.groupBy("root", "p", "q").applyInPandas(run, "cls bigint, links bigint")
     return counted.groupBy("cls").agg(F.sum("links").alias("links"))
 
 
