@@ -27,7 +27,7 @@ FACTORS = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(6
 #: n-grams of so many documents' sets are counted at a time in a task; those seen twice or more are reported.
 COUNTED = 4_000_000
 #: The most frequent n-grams, which every task knows; the rest count as rare. This orders prefixes and loses nothing.
-FREQUENT = 1 << 19
+FREQUENT = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -115,9 +115,17 @@ def classes(docs: DataFrame, join: Join) -> tuple[DataFrame, np.ndarray]:
             yield counted()
 
     table = materialise(docs.mapInArrow(run, f"key {kind}, n bigint, cls bigint, gram bigint, times bigint"))
-    common = table.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("times").alias("times"))
-    top = common.orderBy(F.desc("times"), "gram").limit(FREQUENT).toPandas()
-    return table.where("gram IS NULL").select("key", "n", "cls"), top["gram"].to_numpy(np.int64)[::-1].astype(np.uint64)
+    common = materialise(table.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("times").alias("times")))
+    level = F.floor(F.log2("times") * 16)
+    left, least = FREQUENT, None
+    for r in common.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():
+        left -= r.n
+        if left < 0:
+            break
+        least = r.level
+    top = common.where(level >= F.lit(least)).toPandas() if least is not None else common.limit(0).toPandas()
+    top = top.sort_values(["times", "gram"])
+    return table.where("gram IS NULL").select("key", "n", "cls"), top["gram"].to_numpy(np.int64).astype(np.uint64)
 
 
 def prefixes(docs: DataFrame, frequent: np.ndarray, join: Join) -> DataFrame:
