@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from runlore.llm.common import components, small_side
 from runlore.llm.packing import chunks
 from runlore.llm.spans import mixed, span_hashes, word_spans
-from runlore.session import materialise
+from runlore.session import materialise, release_shuffles, remove_table
 
 #: Odd factors that tell the words of an n-gram apart by their place.
 FACTORS = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(64)], np.uint64)
@@ -199,15 +199,17 @@ class Verifier:
 
 def similar_components(docs: DataFrame, rows: DataFrame, frequent: np.ndarray, join: Join) -> DataFrame:
     """(cls, component) of classes that are connected with others; the component's number is that of a class."""
-    each = prefixes(docs, frequent, join).groupBy("cls").agg(
-        F.first("n").alias("n"), F.first("same").alias("same"), F.first("prefix").alias("prefix"))
-    members = materialise(each)
-    groups = members.groupBy("n", "same").agg(F.min("cls").alias("gid"), F.count("*").alias("members"))
-    grouped = materialise(members.select("cls", "n", "same").join(groups, ["n", "same"]).select("cls", "gid", "members"))
-    heads = members.join(grouped.where("cls = gid").select("cls"), "cls")
-    grams = heads.select(F.col("cls").alias("gid"), F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "gram"))
+    raw = materialise(prefixes(docs, frequent, join).withColumn("group", F.xxhash64("n", "same")))
+    members = raw.select("cls", "group").distinct()
+    groups = materialise(members.groupBy("group").agg(F.min("cls").alias("gid"), F.count("*").alias("members")))
+    grouped = materialise(members.join(groups, "group").select("cls", "gid", "members"))
+    # all of a group have its prefix, so any row's will do
+    heads = raw.groupBy("group").agg(F.first("n").cast("int").alias("n"), F.first("prefix").alias("prefix"))
+    grams = heads.select("group", "n", F.posexplode("prefix").alias("pos", "gram"))
     shared = grams.groupBy("gram").agg(F.count("*").alias("groups")).where("groups > 1")
-    met = materialise(grams.join(shared, "gram"))
+    met = materialise(grams.join(shared, "gram").join(groups.select("group", "gid"), "group").drop("group"))
+    remove_table(raw)
+    release_shuffles(docs.sparkSession)
 
     verifier = Verifier(docs, rows, join)
     links = None
@@ -221,6 +223,7 @@ def similar_components(docs: DataFrame, rows: DataFrame, frequent: np.ndarray, j
         new = materialise(verifier.similar(pairs))
         if new.isEmpty():
             return False
+        release_shuffles(docs.sparkSession)
         links = new if links is None else links.union(new)
         found = components(links).select(F.col("node").alias("cls"), F.col("root").alias("component"))
         return True
