@@ -36,7 +36,7 @@ class Fit:
     rounds and pace of the learning."""
 
     rows: int = 6_000
-    per_document: int = 128
+    per_document: int = 48
     passages: int = 80_000
     words: int = 50
     hidden: int = 24
