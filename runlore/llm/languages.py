@@ -15,11 +15,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runlore.session import materialise, remove_table
+
 WORD = re.compile(r"[^\W\d_]+")
 #: Longest and shortest n-gram, with a mark for each end of the word.
 LONGEST, SHORTEST = 4, 1
 #: Scores of new words kept by a worker; a full store is emptied.
-STORE_WORDS = 300_000
+STORE_WORDS = 150_000
 UNDETERMINED = "und"
 
 
@@ -27,7 +29,7 @@ UNDETERMINED = "und"
 class Fit:
     """Bounds of the training: about so many labelled rows, and the most frequent words and n-grams that are kept."""
 
-    rows: int = 20_000
+    rows: int = 10_000
     words: int = 50_000
     grams: int = 50_000
 
@@ -110,7 +112,8 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     share = min(1.0, bounds.rows / max(1, known.count()))
     chosen = known.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0))
     words = F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"\p{L}+"), F.lit(0)))
-    counts = chosen.select(F.col(lang).alias("lang"), words.alias("word")).groupBy("word", "lang").agg(F.count("*").alias("n")).persist()
+    counts = chosen.select(F.col(lang).alias("lang"), words.alias("word")).groupBy("word", "lang").agg(F.count("*").alias("n"))
+    counts = materialise(counts)
 
     def most(table: DataFrame, limit: int) -> pd.DataFrame:
         by_lang = table.groupBy("word").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("each"))
@@ -125,7 +128,7 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
         tables[n] = most(of_word.groupBy("word", "lang").agg(F.sum("n").alias("n")), bounds.grams)
     top = most(counts, bounds.words)
     languages = sorted(set(top["lang"]) | set(tables[SHORTEST]["lang"]))
-    counts.unpersist()
+    remove_table(counts)
     return Model(languages, log_rates(top, "word", languages), {n: log_rates(t, "word", languages) for n, t in tables.items()})
 
 
@@ -136,8 +139,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(sent.value)
         for batch in batches:
-            texts = batch.fillna("").tolist()
-            out = [r for i in range(0, len(texts), 256) for r in scorer(texts[i : i + 256])]
+            out = [r for i in range(0, len(batch), 256) for r in scorer(batch.iloc[i : i + 256].fillna("").tolist())]
             yield pd.DataFrame(out, columns=["lang_pred", "score"])
 
     return F.pandas_udf(run, "lang_pred string, score double")(F.col(text))
