@@ -21,8 +21,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from runlore.llm.spans import SPACE, span_hashes
 
-#: Units kept per worker, about 50 bytes each; a full store is emptied, so memory is bounded whatever the vocabulary.
-STORE_UNITS = 3_000_000
+#: Units kept by a task, about 50 bytes each; a full store is emptied, so memory is bounded whatever the vocabulary.
+STORE_UNITS = 1_000_000
+#: Rows of a batch that are texts in memory at a time.
+SLICE = 256
 #: ASCII letters, behind which a comma or full stop is a unit of its own.
 LETTER = np.zeros(256, bool)
 LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -226,8 +228,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, bins: Bins = Bins(), end: in
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-        for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+        for keys, texts in slices(batches):
             for at, n in chunks(texts):
                 for k, ids in zip(keys[at : at + n], encode(texts[at : at + n]), strict=True):
                     for p, (start, length) in enumerate(pieces(len(ids), bins.tokens)):
@@ -238,11 +239,20 @@ def pack_documents(docs: DataFrame, tokenizer: str, bins: Bins = Bins(), end: in
                         yield flush()
         if held:
             yield flush()
+        encode.clear()  # the worker lives on; its memory is for the next task
 
     return docs.selectExpr(f"`{key}` AS key", f"`{text}` AS text").mapInArrow(run, schema)
 
 
-def chunks(texts: list[str], chars: int = 3_000_000) -> Iterator[tuple[int, int]]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[tuple[list, list[str]]]:
+    """Keys and texts of (key, text) batches, few at a time; a null text is an empty one."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.column(0).slice(start, rows).to_pylist(), [t or "" for t in batch.column(1).slice(start, rows).to_pylist()]
+    pa.default_memory_pool().release_unused()
+
+
+def chunks(texts: list[str], chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """(first, count) of runs of texts of about so many characters."""
     first = total = 0
     for i, t in enumerate(texts):
@@ -254,7 +264,7 @@ def chunks(texts: list[str], chars: int = 3_000_000) -> Iterator[tuple[int, int]
         yield first, len(texts) - first
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def encoder(path: str, end: int | None) -> Encoder:
     """One encoder per worker, kept over tasks."""
     return Encoder(path, end)

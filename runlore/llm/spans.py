@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 BASE = 0x9E3779B97F4A7C15
+#: Longest table of powers that a worker keeps.
+KEPT = 4_000_000
 #: ASCII white space: what separates words.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -18,8 +20,10 @@ class _Powers:
 
     def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            self.up = _powers(BASE, n)
-            self.down = _powers(pow(BASE, -1, 1 << 64), n)
+            up, down = _powers(BASE, n), _powers(pow(BASE, -1, 1 << 64), n)
+            if n > KEPT:  # for one very long text
+                return up, down
+            self.up, self.down = up, down
         return self.up, self.down
 
 
