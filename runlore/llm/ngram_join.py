@@ -25,7 +25,9 @@ from runlore.session import materialise, release_shuffles, remove_table
 #: Odd factors that tell the words of an n-gram apart by their place.
 FACTORS = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(64)], np.uint64)
 #: n-grams of so many documents' sets are counted at a time in a task; those seen twice or more are reported.
-COUNTED = 4_000_000
+COUNTED = 2_000_000
+#: Rows of a batch that are texts in memory at a time.
+SLICE = 256
 #: The most frequent n-grams, which every task knows; the rest count as rare. This orders prefixes and loses nothing.
 FREQUENT = 1 << 18
 
@@ -69,9 +71,13 @@ def class_of(grams: np.ndarray) -> int:
 
 
 def _sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray]]:
-    texts = [t or "" for t in batch.column("text").to_pylist()]
-    for at, n in chunks(texts):
-        yield from zip(range(at, at + n), ngram_sets(texts[at : at + n], words), strict=True)
+    """(row, set) of a batch's texts, a megabyte of text at a time."""
+    column = batch.column("text")
+    for start in range(0, len(column), SLICE):
+        texts = [t or "" for t in column.slice(start, SLICE).to_pylist()]
+        for at, n in chunks(texts, 1_000_000):
+            yield from zip(range(start + at, start + at + n), ngram_sets(texts[at : at + n], words), strict=True)
+    pa.default_memory_pool().release_unused()
 
 
 def classes(docs: DataFrame, join: Join) -> tuple[DataFrame, np.ndarray]:
