@@ -140,9 +140,14 @@ def with_next(df: DataFrame, key: str, columns: dict[str, Column], per_group: in
     order = Window.partitionBy("_group").orderBy(F.asc_nulls_first(key), *[F.asc_nulls_first(c) for c in names])
     grouped = df.select(key, *[c.alias(n) for n, c in columns.items()], number)
     led = grouped.select("*", F.lead(F.struct(*names)).over(order).alias("_next"))
+    if not cuts:  # one group: its first row is within it
+        whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        joined = led.withColumn("_next", F.coalesce("_next", F.first(F.struct(*names)).over(whole)))
+        return joined.select(key, *names, *[F.col(f"_next.{n}").alias(f"next_{n}") for n in names])
     least = df.groupBy(number).agg(F.min(F.struct(F.col(key).isNotNull().alias("known"), F.col(key).alias("key"))).alias("least"))
     groups = least.count()
-    heads = df.withColumn("_group", number).join(least, "_group").where(F.col(key).eqNullSafe(F.col("least.key")))
+    # one key a group, so at most GROUPS rows to send: the texts stay where they are
+    heads = df.withColumn("_group", number).join(F.broadcast(least), "_group").where(F.col(key).eqNullSafe(F.col("least.key")))
     first = heads.select("_group", F.struct(*[c.alias(n) for n, c in columns.items()]).alias("row")).groupBy("_group").agg(F.min("row").alias("_head"))
     after = first.select(F.pmod(F.col("_group") - 1, F.lit(max(groups, 1))).alias("_group"), "_head")
     joined = led.join(after, "_group").withColumn("_next", F.coalesce("_next", "_head"))
