@@ -1,15 +1,17 @@
 """Near duplicates among embeddings by NN-descent.
 
 A graph of near neighbours starts from windows over several random orders of the vectors and is refined by comparing
-the neighbours of each vector with each other, until little changes. A list that is full of links may lack some; it is
-enlarged to all that its component holds, compared in blocks of bounded size. A sample audited against all vectors
-measures the recall; below the wanted one, further orders and rounds follow.
+the neighbours of each vector with each other, until little changes. A list that is full of links may lack some, so its
+component is dense: it is compared in blocks of bounded size, and all vectors outside of it are compared with its members,
+which joins components that are linked. A sample audited against all vectors measures the recall; below the wanted one,
+further orders and rounds follow, and at last, or at once where vectors are so few that this costs less, all are compared.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlore.llm.common import components, in_order
-from runlore.session import materialise, remove_table
+from runlore.session import materialise, release_shuffles, remove_table
 
 CODE_BITS = 24
 
@@ -27,7 +29,8 @@ CODE_BITS = 24
 class Descent:
     """Least cosine of a link; length of a neighbour list; random orders, rows of a window over one, neighbours it
     proposes; rows of a vicinity compared at once; rounds of refinement and the share of new entries that ends them;
-    rows of a block of a saturated component; audited vectors, the recall wanted, and tries to reach it."""
+    rows of a block of a saturated component; numbers of the vectors that travel to the tasks at a time; audited vectors,
+    the recall wanted, tries to reach it, and vectors up to which comparing all costs less than another try."""
 
     threshold: float = 0.95
     neighbours: int = 12
@@ -38,9 +41,11 @@ class Descent:
     rounds: int = 3
     change: float = 0.02
     block: int = 2048
+    sent: int = 1 << 20
     audited: int = 512
     recall: float = 0.98
     tries: int = 3
+    few: int = 1 << 17
     seed: int = 11
 
 
@@ -202,6 +207,7 @@ def graph_of(units: DataFrame, d: Descent, graph: DataFrame | None = None) -> Da
         after = materialise(nearest(found.unionByName(now.withColumn("fresh", F.lit(False))), d.neighbours))
         remove_table(now)
         now = after
+        release_shuffles(units.sparkSession)
         if now.where("fresh").count() < d.change * entries:
             break
     return now
@@ -244,8 +250,80 @@ def block_counts(units: DataFrame, members: DataFrame, d: Descent) -> DataFrame:
     return counted.groupBy("cls").agg(F.sum("links").alias("links"))
 
 
+def across(placed: DataFrame, d: Descent) -> DataFrame:
+    """(cls, links, a, b) from (cls, root, dense, v, n): how many vectors a class links with outside of its component, where
+    the class or the other is in a dense one, in parts to be summed up; and the roots a, b of components that are linked.
+
+    Members of dense components travel to the tasks, a bounded number at a time and whole components together where they
+    fit; a component that is farther from all of a batch's vectors than its radius and the angle of a link is passed over.
+    """
+    schema = "cls bigint, links bigint, a bigint, b bigint"
+    rows = placed.withColumn("dim", F.size("v"))
+    sent, total = in_order(rows.where("dense").select("cls", "root", "v", "n", "dim"), F.col("dim"), F.col("root"), F.col("cls"))
+    widest = sent.agg(F.max("dim")).first()[0] or 1
+    step, limit, spark = max(1, d.sent // widest), np.arccos(d.threshold) + 1e-6, placed.sparkSession
+    parts = []
+    for at in range(0, total, step):
+        some = sent.where(F.col("row_index").between(at, at + step - 1)).orderBy("row_index").toPandas()
+        by_dim = {}
+        for dim, g in some.groupby("dim"):
+            y = np.stack(g["v"].to_numpy()).astype(np.float64)
+            y /= np.sqrt((y * y).sum(1, keepdims=True))
+            root, starts, where = np.unique(g["root"].to_numpy(), return_index=True, return_inverse=True)
+            centre = np.add.reduceat(y, starts, axis=0)
+            centre /= np.maximum(np.sqrt((centre * centre).sum(1, keepdims=True)), 1e-300)
+            radius = np.maximum.reduceat(np.arccos(np.clip((y * centre[where]).sum(1), -1, 1)), starts)
+            by_dim[dim] = g["cls"].to_numpy(), g["n"].to_numpy(), y, root, where, centre, radius
+        shared = spark.sparkContext.broadcast(by_dim)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                dim = batch.column("dim")[0].as_py()
+                if dim in shared.value:
+                    x = matrix(batch.column("v"))
+                    own, n, dense = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("root", "n", "dense"))
+                    ids = batch.column("cls").to_numpy()
+                    for i in range(0, len(x), 512):
+                        rows = slice(i, i + 512)
+                        yield from met(shared.value[dim], ids[rows], own[rows], n[rows], dense[rows], x[rows])
+
+        def met(members, ids, own, n, dense, x) -> Iterator[pa.RecordBatch]:
+            cls, times, y, root, where, centre, radius = members
+            near = np.zeros(len(root), bool)
+            for j in range(0, len(root), 8192):
+                c = slice(j, j + 8192)
+                reach = np.arccos(np.clip(x @ centre[c].T, -1, 1)) <= radius[c] + limit
+                near[c] = (reach & (own[:, None] != root[c][None, :])).any(0)
+            columns = np.flatnonzero(near[where])
+            links = np.zeros(len(x), np.int64)
+            for j in range(0, len(columns), 8192):
+                c = columns[j : j + 8192]
+                hit = (x @ y[c].T >= d.threshold) & (own[:, None] != root[where[c]][None, :])
+                if not hit.any():
+                    continue
+                links += hit @ times[c]
+                back = (n * ~dense) @ hit  # rows of dense components are sent too and count for themselves
+                yield record(cls[c][back > 0], back[back > 0], [], [])
+                r, k = np.nonzero(hit)
+                pairs = np.unique(np.stack([own[r], root[where[c[k]]]]), axis=1)
+                yield record([], [], *pairs)
+            yield record(ids[links > 0], links[links > 0], [], [])
+
+        def record(cls, links, a, b) -> pa.RecordBatch:
+            empty = lambda m: pa.nulls(len(m), pa.int64())
+            columns = [[pa.array(cls, pa.int64()), empty(a)], [pa.array(links, pa.int64()), empty(a)],
+                       [empty(cls), pa.array(a, pa.int64())], [empty(cls), pa.array(b, pa.int64())]]
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], names=["cls", "links", "a", "b"])
+
+        found = rows.select("cls", "root", "dense", "v", "n", "dim").mapInArrow(one_dim(run), schema)
+        parts.append(materialise(found))
+        shared.unpersist()
+    return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], schema)
+
+
 def linked(units: DataFrame, graph: DataFrame, d: Descent) -> DataFrame:
-    """(cls, root, links) of classes with a link to another: component and how many vectors of other classes."""
+    """(cls, root, links, dense) of classes with a link to another: component, how many vectors of other classes, and
+    whether all links of its component were counted."""
     over = materialise(graph.where(F.col("sim") >= d.threshold).select("src", "dst"))
     both = over.union(over.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     roots = materialise(components(over, "src", "dst").select(F.col("node").alias("cls"), "root"))
@@ -253,13 +331,32 @@ def linked(units: DataFrame, graph: DataFrame, d: Descent) -> DataFrame:
     dense = full.join(roots, "cls").select("root").distinct()
     sizes = units.select(F.col("cls").alias("dst"), "n")
     sparse = both.join(sizes, "dst").groupBy(F.col("src").alias("cls")).agg(F.sum("n").alias("links"))
-    enlarged = block_counts(units, roots.join(dense, "root"), d).withColumnRenamed("links", "all_links")
-    return roots.join(sparse, "cls", "left").join(enlarged, "cls", "left").select(
-        "cls", "root", F.coalesce("all_links", "links").alias("links"))
+    return completed(units, roots.join(sparse, "cls", "left"), dense, d)
+
+
+def completed(units: DataFrame, known: DataFrame, dense: DataFrame | None, d: Descent) -> DataFrame:
+    """``linked`` from (cls, root, links) of linked classes and the roots of dense components; without these, all
+    components are dense, those of a single class too, and every vector is compared with all."""
+    placed = units.select("cls", "v", "n").join(known.select("cls", "root", "links"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    if dense is not None:
+        placed = placed.join(dense.withColumn("dense", F.lit(True)), "root", "left").withColumn("dense", F.coalesce("dense", F.lit(False)))
+    else:
+        placed = placed.withColumn("dense", F.lit(True))
+    placed = materialise(placed)
+    enlarged = block_counts(units, placed.where("dense AND links IS NOT NULL").select("cls", "root"), d).withColumnRenamed("links", "all_links")
+    met = materialise(across(placed, d))
+    more = met.where("cls IS NOT NULL").groupBy("cls").agg(F.sum("links").alias("more"))
+    joined = components(met.where("a IS NOT NULL").select("a", "b")).select(F.col("node").alias("root"), F.col("root").alias("least"))
+    counted = placed.select("cls", "root", "dense", "links").join(enlarged, "cls", "left").join(more, "cls", "left")
+    within = F.when(F.col("dense"), F.col("all_links")).otherwise(F.col("links"))
+    links = F.coalesce(within, F.lit(0)) + F.coalesce("more", F.lit(0))
+    return counted.join(joined, "root", "left").select(
+        "cls", F.coalesce("least", "root").alias("root"), links.alias("links"), "dense").where("links > 0")
 
 
 def audit(units: DataFrame, found: DataFrame, d: Descent) -> float:
-    """Share of the links of audited vectors that were found; the sample is chosen by a hash and compared with all."""
+    """Share of the links of audited vectors that were found: of all, of a vector on average, or of those outside of dense
+    components, whichever is least; the sample is chosen by a hash and compared with all."""
     total = max(1, units.count())
     share = min(1 << 20, max(1, int(d.audited / total * (1 << 20))))
     some = units.where(F.pmod(F.xxhash64("cls", F.lit(d.seed)), F.lit(1 << 20)) < share).select("cls", "v").limit(4 * d.audited).toPandas()
@@ -278,9 +375,12 @@ def audit(units: DataFrame, found: DataFrame, d: Descent) -> float:
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(batch.column("n").to_numpy() @ hit)], names=["cls", "truth"])
 
     truth = units.select("cls", "v", "n", F.size("v").alias("dim")).mapInArrow(one_dim(count), "cls bigint, truth bigint")
-    sums = truth.groupBy("cls").agg(F.sum("truth").alias("truth")).join(found, "cls", "left")
-    got = sums.agg(F.sum("truth").alias("truth"), F.sum(F.least("truth", F.coalesce("links", F.lit(0)))).alias("links")).first()
-    return got.links / got.truth if got.truth else 1.0
+    sums = truth.groupBy("cls").agg(F.sum("truth").alias("truth")).where("truth > 0").join(found, "cls", "left")
+    got = F.least("truth", F.coalesce("links", F.lit(0)))
+    sparse = ~F.coalesce("dense", F.lit(False))
+    parts = sums.agg(F.try_divide(F.sum(got), F.sum("truth")), F.avg(got / F.col("truth")),
+                     F.try_divide(F.sum(F.when(sparse, got)), F.sum(F.when(sparse, F.col("truth"))))).first()
+    return min([p for p in parts if p is not None], default=1.0)
 
 
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", descent: Descent = Descent()) -> DataFrame:
@@ -293,14 +393,18 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     """
     rows = materialise(usable(vectors, key, vector))
     units = materialise(rows.where("cls IS NOT NULL").groupBy("cls").agg(F.first("v").alias("v"), F.count("*").alias("n")))
-    graph, recall = None, 0.0
+    graph, recall, few = None, 0.0, units.count() <= descent.few
     for attempt in range(descent.tries):
         step = replace(descent, seed=descent.seed + attempt)
         graph = graph_of(units, step, graph)
         found = materialise(linked(units, graph, step))
         recall = audit(units, found, step)
-        if recall >= descent.recall:
+        if recall >= descent.recall or few:
             break
+    if recall < descent.recall:
+        release_shuffles(units.sparkSession)
+        found = materialise(completed(units, found, None, descent))
+        recall = audit(units, found, descent)
     placed = rows.join(found, "cls", "left").join(units.select("cls", "n"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = placed.where("root IS NOT NULL").groupBy("root").agg(F.min("key").alias("least"))
     out = placed.join(least, "root", "left").withColumn("component_id", F.coalesce("least", "key"))

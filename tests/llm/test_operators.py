@@ -94,6 +94,27 @@ def test_vectors_that_cannot_link(spark):
     assert neighbours.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_links_between_dense_groups(spark):
+    rng = np.random.default_rng(6)
+    rows = list(rng.standard_normal((200, 16)))
+    for size in (30, 60):
+        for _ in range(3):
+            one, two = np.linalg.qr(rng.standard_normal((16, 2)))[0].T
+            for angle in (0.0, 0.31):  # cosine 0.952 between the centres of two groups
+                rows += list(np.cos(angle) * one + np.sin(angle) * two + rng.standard_normal((size, 16)) * 0.008)
+            rows.append(np.cos(0.6) * one + np.sin(0.6) * two)  # links with the second group only
+    x = np.array(rows, np.float32).astype(np.float64)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id bigint, embedding array<float>").repartition(4)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    hit = x @ x.T >= 0.95
+    np.fill_diagonal(hit, False)
+    root = roots(range(len(rows)), zip(*np.nonzero(hit), strict=True))
+    for descent in (neighbours.Descent(), neighbours.Descent(block=16, sent=1000), neighbours.Descent(orders=1, rounds=0, window=4, tries=1, recall=1.1)):
+        got = {r.vec_id: r for r in neighbours.near_duplicates(df, descent=descent).collect()}
+        assert {i: got[i].n_links for i in got} == dict(enumerate(hit.sum(1).tolist()))
+        assert {i: got[i].component_id for i in got} == root
+
+
 # 2 urls
 
 def test_rules_classes_and_precedence(spark):
