@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlore.llm.common import components, small_side
@@ -81,7 +81,7 @@ def _sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray]]
 
 
 def classes(docs: DataFrame, join: Join) -> tuple[DataFrame, np.ndarray]:
-    """((key, n, cls) of every row of (key, text), and the hashes of the most frequent n-grams, the least first).
+    """((key, tid, n, cls) of every row of (key, text, tid), and the hashes of the most frequent n-grams, the least first).
 
     One pass: tasks report, next to the rows, n-grams that several of the sets they hold share."""
     kind = docs.schema["key"].dataType.simpleString()
@@ -92,16 +92,17 @@ def classes(docs: DataFrame, join: Join) -> tuple[DataFrame, np.ndarray]:
         def counted() -> pa.RecordBatch:
             grams, n = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            return record(None, [], [], [], grams[n > 1].astype(np.int64), n[n > 1])
+            return record(None, None, [], [], [], grams[n > 1].astype(np.int64), n[n > 1])
 
-        def record(keys, rows, n, cls, gram, times) -> pa.RecordBatch:
+        def record(keys, tids, rows, n, cls, gram, times) -> pa.RecordBatch:
             m = len(gram)
             none = pa.nulls(m, keys.type if keys is not None else key_type)
             key = pa.concat_arrays([keys.take(pa.array(rows, pa.int64())), none]) if keys is not None else none
-            columns = [key, pa.array([*n, *[None] * m], pa.int64()), pa.array([*cls, *[None] * m], pa.int64()),
+            tid = pa.concat_arrays([tids.take(pa.array(rows, pa.int64())), pa.nulls(m, pa.int64())]) if tids is not None else pa.nulls(m, pa.int64())
+            columns = [key, tid, pa.array([*n, *[None] * m], pa.int64()), pa.array([*cls, *[None] * m], pa.int64()),
                        pa.concat_arrays([pa.nulls(len(rows), pa.int64()), pa.array(gram, pa.int64())]),
                        pa.concat_arrays([pa.nulls(len(rows), pa.int64()), pa.array(times, pa.int64())])]
-            return pa.RecordBatch.from_arrays(columns, names=["key", "n", "cls", "gram", "times"])
+            return pa.RecordBatch.from_arrays(columns, names=["key", "tid", "n", "cls", "gram", "times"])
 
         key_type = pa.int64()
         for batch in batches:
@@ -116,11 +117,11 @@ def classes(docs: DataFrame, join: Join) -> tuple[DataFrame, np.ndarray]:
                 if size >= COUNTED:
                     yield counted()
                     size = 0
-            yield record(batch.column("key"), rows, n, cls, [], [])
+            yield record(batch.column("key"), batch.column("tid"), rows, n, cls, [], [])
         if size:
             yield counted()
 
-    table = materialise(docs.mapInArrow(run, f"key {kind}, n bigint, cls bigint, gram bigint, times bigint"))
+    table = materialise(docs.select("key", "text", "tid").mapInArrow(run, f"key {kind}, tid bigint, n bigint, cls bigint, gram bigint, times bigint"))
     common = materialise(table.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("times").alias("times")))
     level = F.floor(F.log2("times") * 16)
     left, least = FREQUENT, None
@@ -131,7 +132,7 @@ def classes(docs: DataFrame, join: Join) -> tuple[DataFrame, np.ndarray]:
         least = r.level
     top = common.where(level >= F.lit(least)).toPandas() if least is not None else common.limit(0).toPandas()
     top = top.sort_values(["times", "gram"])
-    return table.where("gram IS NULL").select("key", "n", "cls"), top["gram"].to_numpy(np.int64).astype(np.uint64)
+    return table.where("gram IS NULL").select("key", "tid", "n", "cls"), top["gram"].to_numpy(np.int64).astype(np.uint64)
 
 
 def prefixes(docs: DataFrame, frequent: np.ndarray, join: Join) -> DataFrame:
@@ -154,7 +155,7 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, join: Join) -> DataFrame:
                 [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)] + [pa.array([r[3] for r in rows], pa.list_(pa.int64()))],
                 names=["cls", "n", "same", "prefix"])
 
-    return docs.mapInArrow(run, "cls bigint, n bigint, same bigint, prefix array<bigint>")
+    return docs.select("text").mapInArrow(run, "cls bigint, n bigint, same bigint, prefix array<bigint>")
 
 
 class Verifier:
@@ -162,27 +163,32 @@ class Verifier:
 
     def __init__(self, docs: DataFrame, rows: DataFrame, join: Join):
         self.docs, self.join, self.sets = docs, join, None
-        # one row of each class stands for it
-        self.stands = rows.where("n > 0").groupBy("cls").agg(F.min("key").alias("key"))
+        # one key and text of each class stand for it, with a key that isn't null where there is one
+        first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "tid")).alias("first")
+        self.stands = rows.where("n > 0").groupBy("cls").agg(first).select("cls", "first.key", "first.tid")
 
     def fetch(self, wanted: DataFrame) -> None:
         """Add the sets of these classes (cls) that aren't there yet."""
         if self.sets is not None:
             wanted = wanted.join(self.sets.select("cls"), "cls", "left_anti")
-        wanted = materialise(self.stands.join(wanted, "cls").select("key", F.col("cls").alias("want")))
+        wanted = materialise(self.stands.join(wanted, "cls").select(F.col("key").alias("at"), F.col("tid").alias("of"), F.col("cls").alias("want")))
         n = wanted.count()
         if n == 0 and self.sets is not None:
             return
         words = self.join.words
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen = set()  # copies under one key, null too, are read once a task
             for batch in batches:
+                new = [i for i, w in enumerate(batch.column("want").to_pylist()) if w not in seen and not seen.add(w)]
+                batch = batch.take(pa.array(new, pa.int64()))
                 want = batch.column("want").to_pylist()
                 rows = [(want[i], s.tobytes()) for i, s in _sets(batch, words) if len(s) and class_of(s) == want[i]]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["cls", "grams"])
 
-        texts = self.docs.join(small_side(wanted, n), "key").select("text", "want")
+        same = F.col("key").eqNullSafe(F.col("at")) & (F.col("tid") == F.col("of"))
+        texts = self.docs.join(small_side(wanted, n), same).select("text", "want")
         new = materialise(texts.mapInArrow(run, "cls bigint, grams binary").dropDuplicates(["cls"]))
         self.sets = new if self.sets is None else self.sets.unionByName(new)
 
@@ -275,27 +281,40 @@ def similar_components(docs: DataFrame, rows: DataFrame, frequent: np.ndarray, j
     return found
 
 
+def placed_rows(docs: DataFrame, join: Join, key: str, text: str) -> DataFrame:
+    """(key, tid, n, cls, component, first) of every row: hash of its text, size and class of its set, number of its
+    component, and of that the least key, null only where all are, with the least text under it."""
+    named = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), text_id(F.col(text)).alias("tid"))
+    rows, frequent = classes(named, join)
+    found = similar_components(named, rows, frequent, join)
+    placed = rows.join(found, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "tid")).alias("first")
+    least = placed.where("n > 0").groupBy("component").agg(first)
+    return placed.join(least, "component", "left")
+
+
+def text_id(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def ngram_components(docs: DataFrame, join: Join = Join(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, cls, component_id) of every row: the size of its set, the class of equal sets, and the least key
     of the rows reachable by links.
 
     A null text is empty; a text without words has no set and is its own component. Equal sets are linked. Repeated
-    rows give repeated results; null keys count as the least and are only named where all keys of a component are
+    rows give repeated results; null keys are only named where all keys of a component are
     null. An empty table gives no rows; other columns are not read; texts are read whole.
     """
-    named = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    rows, frequent = classes(named, join)
-    found = similar_components(named, rows, frequent, join)
-    placed = rows.join(found, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    least = placed.where("n > 0").groupBy("component").agg(F.min("key").alias("least"))
-    out = placed.join(least, "component", "left")
-    own = F.when(F.col("n") > 0, F.coalesce("least", "key")).otherwise(F.col("key"))
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "cls", own.alias("component_id"))
+    own = F.when(F.col("n") > 0, F.col("first.key")).otherwise(F.col("key"))
+    return placed_rows(docs, join, key, text).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "cls", own.alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, join: Join = Join(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay when one document of each component does: the one with the least key. Rows without
-    words stay; of rows that share the key and the text one stays."""
-    placed = ngram_components(docs, join, key, text).where(F.col("n_shingles") > 0)
-    gone = placed.where(~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_gone")).distinct()
-    return docs.join(gone, F.col(key).eqNullSafe(F.col("_gone")), "left_anti").dropDuplicates([key, text])
+    """The rows of ``docs`` that stay when one document of each component does: the one with the least key, and of its
+    texts the one with the least hash. Rows go by key and text, so another text under the key of a copy, null too, stays.
+    Rows without words stay; of rows that share the key and the text one stays."""
+    placed = placed_rows(docs, join, key, text).where("n > 0")
+    stays = F.col("key").eqNullSafe(F.col("first.key")) & (F.col("tid") == F.col("first.tid"))
+    gone = placed.where(~stays).select(F.col("key").alias("_gone"), F.col("tid").alias("_text")).distinct()
+    same = F.col(key).eqNullSafe(F.col("_gone")) & (text_id(F.col(text)) == F.col("_text"))
+    return docs.join(gone, same, "left_anti").dropDuplicates([key, text])

@@ -293,6 +293,20 @@ def test_one_of_each_component(odd_docs, no_docs):
     assert ngram_join.one_of_each(no_docs).count() == 0 and ngram_join.ngram_components(no_docs).count() == 0
 
 
+def test_rows_without_a_key_and_shared_keys(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    one, two, three, four = ([word() for _ in range(80)] for _ in range(4))
+    near = lambda w, i: " ".join([*w[:i], "changed", *w[i + 1 :]])
+    rows = [(1, " ".join(one)), (None, near(one, 79)), (None, " ".join(two)), (None, near(two, 0)), (None, " ".join(two)), (None, None), (None, "  "),
+            (7, near(one, 0)), (7, " ".join(three)), (8, " ".join(four)), (8, near(four, 79))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    kept = [(r.doc_id, r.text) for r in ngram_join.one_of_each(df).collect()]
+    clean = [(1, " ".join(one)), (None, None), (None, "  "), (7, " ".join(three))]
+    assert all(kept.count(r) == 1 for r in clean) and len(kept) == 6
+    assert sum(k is None and (t or "").split()[2:70] == two[2:70] for k, t in kept) == 1 and sum(k == 8 for k, _ in kept) == 1
+
+
 # 7 packing
 
 ODD = ["", "a", " a", "a ", "  a b", "a  b c", "a\nb", "a \nb, c", "x y z", "<|endoftext|> a  b", "x<|endoftext|> y.", "don't 'tis can't",
