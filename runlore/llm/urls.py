@@ -16,10 +16,12 @@ from runlore.llm.common import components, small_side
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Parameters that don't change what an address names.
 TRACKING = r"^(utm_[^=]*|ref|fbclid|gclid)(=|\z)"
-CANONICAL = r"(?is)<link\b([^>]*\brel\s*=\s*[\"']?canonical\b[^>]*)>"
-REFRESH = r"(?is)<meta\b([^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*)>"
-HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-TARGET = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>;]+)"
+LINK = r"(?is)<link\b([^>]*)>"
+META = r"(?is)<meta\b([^>]*)>"
+CANONICAL = r"""(?is)(?<![\w-])rel\s*=\s*("(?:[^"]*\s)?canonical(?=["\s])|'(?:[^']*\s)?canonical(?=['\s])|canonical(?=[\s/]|\z))"""
+REFRESH = r"(?is)(?<![\w-])http-equiv\s*=\s*[\"']?refresh\b"
+HREF = r"(?is)(?<![\w-])href\s*=\s*[\"']?\s*([^\"'\s>]+)"
+TARGET = r"(?is)\burl\s*=\s*[\"']?\s*([^\"'\s>]+)"
 
 
 def after_scheme(url: Column) -> Column:
@@ -45,18 +47,50 @@ def canonical_form(url: Column) -> Column:
     return F.when(host != "", F.concat(host, path, F.lit("?"), F.array_join(kept, "&")))
 
 
-def declared_target(html: Column, url: Column) -> list[Column]:
-    """Addresses that a page names as its canonical one and as where it redirects to; a relative one only from the root."""
-    found = [F.regexp_extract(F.regexp_extract(html, CANONICAL, 1), HREF, 1), F.regexp_extract(F.regexp_extract(html, REFRESH, 1), TARGET, 1)]
-    return [
-        F.when(t.contains("://"), t).when(t.startswith("//"), F.concat(F.lit("http:"), t))
-        .when(t.startswith("/"), F.concat(F.lit("http://"), host_of(url), t)) for t in found
-    ]
+def decoded(t: Column) -> Column:
+    """The text with its character references replaced: numeric ones, and the named ones that addresses need."""
+    def characters(t: Column, pattern: str, prefix: str, base: int) -> Column:
+        def one(t: Column, digits: Column) -> Column:
+            code = F.conv(digits, base, 10).cast("long")
+            fits = (code > 0) & (code != 38) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+            character = F.decode(F.unhex(F.lpad(F.hex(F.when(fits, code).otherwise(F.lit(63))), 8, "0")), "UTF-32")
+            return F.when(fits, F.regexp_replace(t, F.concat(F.lit(prefix), digits, F.lit(";")), F.regexp_replace(character, r"([\\\\$])", r"\\\\$1"))).otherwise(t)
+
+        return F.aggregate(F.array_distinct(F.regexp_extract_all(t, F.lit(pattern), F.lit(1))), t, one)
+
+    t = characters(t, r"&#([0-9]{1,7});", "&#", 10)
+    t = characters(t, r"&#[xX]([0-9a-fA-F]{1,6});", "&#[xX]", 16)
+    for name, character in (("quot", '"'), ("apos", "'"), ("lt", "<"), ("gt", ">"), ("num", "#"), ("sol", "/"), ("colon", ":"), ("equals", "="), ("quest", "?")):
+        t = F.replace(t, F.lit(f"&{name};"), F.lit(character))
+    return F.regexp_replace(t, r"&(amp|AMP|#0*38|#[xX]0*26);", "&")  # last, so that nothing is decoded twice
+
+
+def resolved(t: Column, url: Column) -> Column:
+    """The address that ``t`` names on the page at ``url``; null for other schemes, and on a page without a host."""
+    path = path_of(url)
+    folder = F.when(path == "", "/").otherwise(F.regexp_replace(path, r"[^/]*\z", ""))
+    from_root = F.when(t.startswith("/"), t).when(t.rlike(r"\A[?#]"), F.concat(path, t)).otherwise(F.concat(folder, t))
+    plain = F.regexp_replace(F.regexp_extract(from_root, r"\A([^?#]*)", 1), r"(\A|/)(\.\.?)\z", "$1$2/")
+    step = lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.concat(done, F.array(x)))
+    steps = bind(F.split(plain, "/"), lambda parts: F.aggregate(F.slice(parts, 2, F.size(parts)), F.slice(parts, 1, 1), step))
+    own = F.concat(F.lit("http://"), host_of(url), F.array_join(steps, "/"), F.regexp_extract(from_root, r"\A[^?#]*(.*)", 1))
+    return (F.when(t.rlike(r"\A[a-zA-Z][a-zA-Z0-9+.-]*://"), t).when(t.startswith("//"), F.concat(F.lit("http:"), t))
+            .when((t != "") & (host_of(url) != "") & ~t.rlike(r"\A[a-zA-Z][a-zA-Z0-9+.-]*:"), own))
+
+
+def declared_targets(html: Column, url: Column) -> Column:
+    """All addresses that a page names as its canonical one and as where it redirects to."""
+    def named(tag: str, marked: str, address: str) -> Column:
+        tags = F.filter(F.regexp_extract_all(html, F.lit(tag), F.lit(1)), lambda a: a.rlike(marked))
+        return F.transform(tags, lambda a: F.regexp_extract(a, address, 1))
+
+    found = F.transform(F.concat(named(LINK, CANONICAL, HREF), named(META, REFRESH, TARGET)), decoded)
+    return F.filter(F.transform(found, lambda t: resolved(t, url)), lambda t: t.isNotNull())
 
 
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(source, target) address pairs that the pages declare."""
-    pairs = F.filter(F.array(*declared_target(F.col(html), F.col(url))), lambda t: t.isNotNull())
+    pairs = declared_targets(F.col(html), F.col(url))
     return pages.select(F.col(url).alias("source"), F.explode(pairs).alias("target")).where("source IS NOT NULL")
 
 

@@ -140,6 +140,22 @@ def test_rules_classes_and_precedence(spark):
     assert {r.verdict for r in urls.judge_urls(df, rules.limit(0), urls.page_links(df).limit(0)).collect()} == {"allow"}
 
 
+def test_links_in_every_form(spark):
+    link = lambda href, rel="canonical": f'<link rel="{rel}" href="{href}">'
+    pages = [
+        ("http://h/x/y", link("http://h/p?a=1&amp;b=2"), {"http://h/p?a=1&b=2"}), ("http://h/x/y", link("http&#58;//h/p?c=&#x41;&#38;amp;$"), {"http://h/p?c=A&amp;$"}),
+        ("http://h/x/y?q", link("p.html"), {"http://h/x/p.html"}), ("http://h/x/y", link("../p?u=http://a/../b"), {"http://h/p?u=http://a/../b"}),
+        ("http://h/x/y?q", link("?id=3"), {"http://h/x/y?id=3"}), ("http://h", link("p"), {"http://h/p"}), ("http://h/x/y/", link(".."), {"http://h/x/"}),
+        ("http://h/x", link("/a", "alternate canonical") + link("/b") + link("/c", "noncanonical") + link("/d", "alternate"), {"http://h/a", "http://h/b"}),
+        ("http://h/x", "<meta http-equiv=refresh content='0; url=/r?a=1&amp;b=2;c'><meta content=\"1;URL='s'\" http-equiv=\"Refresh\">", {"http://h/r?a=1&b=2;c", "http://h/s"}),
+        ("http://h/x", link("mailto:a@b") + link("#top") + link("//o/p"), {"http://h/x#top", "http://o/p"}), ("none", link("p"), set()), ("http://h/x", None, set()),
+    ]
+    df = spark.createDataFrame([p[:2] for p in pages], "url string, html string")
+    for url, html, want in pages:
+        got = urls.page_links(df.where(F.col("url").eqNullSafe(url) & F.col("html").eqNullSafe(html)))
+        assert {r.target for r in got.collect()} == want, html
+
+
 # 3 quality
 
 def test_quality_of_odd_texts(spark, odd_docs, no_docs):
