@@ -14,6 +14,8 @@ from runlore.queries.base import cosine_sql, query, table
 from runlore.session import scratch_path
 
 K = 10
+#: Cells, and how many are probed for a recall of 0.9 or more: of the centroid cells, and in each table of projections.
+CELLS, CENTROID_PROBES, PROJECTION_PROBES = 16, 10, 2
 _OUT = "query_id, vec_id, round(s, 4) AS score, rank"
 
 
@@ -172,7 +174,7 @@ def vector_topk_centroid_cells_all(spark, sf):
 def vector_topk_projection_cells(spark, sf):
     rows = vectors(spark, sf)
     cells = ann.ProjectionCells.fit(rows)
-    return _out(ann.approximate_search(rows, as_queries(spark, sf), cells, K, probes=1, id_col="vec_id"))
+    return _out(ann.approximate_search(rows, as_queries(spark, sf), cells, K, probes=PROJECTION_PROBES, id_col="vec_id"))
 
 
 @query("approximate_recall")
@@ -180,9 +182,14 @@ def approximate_recall(spark, sf):
     """Share of the exact top ten found by each kind of cell."""
     rows, wanted = vectors(spark, sf), as_queries(spark, sf)
     exact = se.search(rows, wanted, K, id_col="vec_id")
-    kinds = {"centroids": (ann.CentroidCells.fit(rows, 16), 6), "projections": (ann.ProjectionCells.fit(rows), 1)}
+    means = label_centroids(spark, sf).orderBy("query_id").collect()  # as many as labels
+    kinds = {
+        "centroids": (ann.CentroidCells.fit(rows, CELLS), CENTROID_PROBES),
+        "projections": (ann.ProjectionCells.fit(rows), PROJECTION_PROBES),
+        "labels": (ann.CentroidCells(np.array([r.embedding for r in means])), 3),
+    }
     parts = [
         ann.recall(ann.approximate_search(rows, wanted, cells, K, probes, "vec_id"), exact, "vec_id").withColumn("cells", F.lit(name))
         for name, (cells, probes) in kinds.items()
     ]
-    return parts[0].unionByName(parts[1])
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -34,6 +34,11 @@ def test_approximate_recall(spark):
     assert rows["centroids"] > 0.5 and rows["projections"] > 0.5
 
 
+def test_approximate_recall_is_high(spark):
+    rows = {r.cells: r.recall for r in QUERIES["approximate_recall"](spark, SF).collect()}
+    assert rows["centroids"] >= 0.9 and rows["projections"] >= 0.9 and 0 < rows["labels"] <= 1
+
+
 def test_languages_are_told_apart(spark):
     rows = QUERIES["language_agreement"](spark, SF).collect()
     assert sum(r.agree for r in rows) >= 0.95 * sum(r.texts for r in rows)
