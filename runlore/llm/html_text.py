@@ -3,7 +3,8 @@
 Each word of a page scores +1, each tag a cost below zero; the run with the largest sum is the content region. How much
 a tag costs is learned from the pages that label their main text with an element of its own: the larger the share of
 the words behind such a tag that lies outside of it, the more. Elements that can't hold main text, by their name or by
-the words with which pages mark them, never give words; the borders of a label cost more than a page has words.
+the words with which pages mark them, never give words, unless those only marked enclose a label or, without one, most of the page;
+the borders of a label cost more than a page has words.
 """
 
 from __future__ import annotations
@@ -18,13 +19,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Element names of HTML by what they hold, and words in class, id or role by which pages mark the rest.
-RAW = ("script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "math", "object")
-APART = ("head", "nav", "header", "footer", "aside", "form", "button", "select", "dialog", "menu", "figcaption")
+RAW = ("script", "style", "noscript", "template", "iframe", "textarea", "title", "svg")
+APART = ("head", "nav", "header", "footer", "aside", "form", "button", "select", "dialog", "menu", "annotation", "annotation-xml")
 INLINE = (
-    "a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q s samp small span strong sub sup time tt u var wbr"
+    "a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q s samp small span strong sub sup time tt u var wbr object "
+    "math menclose mfrac mi mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder "
+    "munderover semantics"
 ).split()
 VOID = "area base br col embed hr img input link meta param source track wbr".split()
 LABELS = ("article", "main")
+#: Never apart by how a page marks them; and what is apart but shown by no browser, so it breaks no run.
+WHOLE, HIDDEN = ("html", "body", *LABELS), ("annotation", "annotation-xml")
 NOISE = (
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentary consent "
     "cookie cookies disclaimer footer header masthead menu modal nav navbar navigation newsletter notice notices popup promo "
@@ -70,10 +75,47 @@ def is_noise(attributes: str) -> bool:
 _NOISE, _NOISE_ROLES = frozenset(NOISE), frozenset(NOISE_ROLES)
 
 
+def spared(tokens: list[re.Match]) -> set[int]:
+    """Where elements begin that aren't apart though a page marks them so: they enclose a label that isn't marked itself,
+    or, on a page without any, more than half of its words outside of elements that are apart by name."""
+    stack: list[list] = []  # name, place, words before, whether a label is inside, apart by name
+    ended, words, labelled = [], 0, False
+
+    def end(at: int) -> None:
+        ended.extend((e[1], words - e[2], e[3]) for e in stack[at:])
+        del stack[at:]
+
+    for m in tokens:
+        if m[1]:
+            continue
+        if not m[3]:
+            if (m[0][0] != "<" or m[0] == "<") and not (stack and stack[-1][4]):
+                words += len(m[0].split())
+            continue
+        name = m[3].lower()
+        if m[2]:
+            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
+            if at is not None:
+                end(at)
+            continue
+        apart = bool(stack) and stack[-1][4] or name in APART
+        if name in LABELS and not apart and not is_noise(m[4]):
+            labelled = True
+            for e in stack:
+                e[3] = True
+        if name not in _VOID and not m[4].rstrip().endswith("/"):
+            while name in _ENDS and stack and stack[-1][0] in _ENDS[name]:
+                end(len(stack) - 1)
+            stack.append([name, m.start(), words, False, apart])
+    end(0)
+    return {at for at, n, label in ended if label or not labelled and 2 * n > words}
+
+
 def pieces(page: str) -> Iterator[Piece]:
     """Tags and texts in page order. What is left open ends with the element around it or with the page."""
     stack: list[tuple[str, bool, bool]] = []  # name, apart, label: of the element and all around it
-    for m in TOKEN.finditer(page):
+    tokens, spare = list(TOKEN.finditer(page)), None
+    for m in tokens:
         if m[1]:
             yield Piece(m[1].lower(), apart=True)
             continue
@@ -93,9 +135,12 @@ def pieces(page: str) -> Iterator[Piece]:
             del stack[at:]
             continue
         above = stack[-1] if stack else ("", False, False)
-        apart = above[1] or name in APART or is_noise(m[4])
+        apart = above[1] or name in APART
+        if not apart and name not in WHOLE and is_noise(m[4]):
+            spare = spared(tokens) if spare is None else spare
+            apart = m.start() not in spare
         label = above[2] or name in LABELS and not apart
-        yield Piece(name, apart=apart, begins=not above[1], inside=above[2], block=name not in _INLINE, label=name in LABELS and not apart)
+        yield Piece(name, apart=apart, begins=not above[1] and name not in HIDDEN, inside=above[2], block=name not in _INLINE, label=name in LABELS and not apart)
         if name not in _VOID and not m[4].rstrip().endswith("/"):
             while name in _ENDS and stack and stack[-1][0] in _ENDS[name]:
                 stack.pop()

@@ -437,6 +437,21 @@ def test_main_text_of_a_page():
         "", "<", "&", "no tags at all", "open <b", "<p class='x>unclosed", ""]
 
 
+def test_marks_on_the_whole_page(spark):
+    inner = "<h1>A title</h1><p>The text of the page goes on and on for some words</p>"
+    rest = "<nav><a>Menu one</a></nav>{}<div class='sidebar'><p>Buy now</p></div><footer>all rights</footer>"
+    want, costs = "A title The text of the page goes on and on for some words", {"p": 0.2, "h1": 0.2, "div": 5.0}
+    for around in ('<body class="has-sidebar"><article>{}</article>', '<body><article class="post comments-open">{}</article>',
+                   '<body><div class="content with-sidebar"><article>{}</article></div>', '<body><main id="main-header-fixed">{}</main>',
+                   '<body class="nav"><div class="content with-sidebar">{}</div>'):
+        page = "<html class='header'>" + rest.format(around.format(inner)) + "</body></html>"
+        assert html_text.extract(page, costs) == want, page
+        assert bool(html_text.tag_counts(page)) == ("<article" in page or "<main" in page)
+    kept = ("<article><p>One two</p><figure><img><figcaption>The caption</figcaption></figure><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn>"
+            "<annotation>\\x</annotation></math> and <object>shown</object></p><div class='comments'><article class='comment'><p>no</p></article></div></article>")
+    assert html_text.extract(kept, costs | {"figure": 0.2, "figcaption": 0.2}) == "One two The caption so x=1 and shown"
+
+
 def test_pages_of_the_tables(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     got = {r.page_id: r for r in html_text.extract_pages(pages).collect()}
