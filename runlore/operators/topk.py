@@ -273,12 +273,14 @@ def topk(
     floor: float = -np.inf,
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """(query_id, score, *payload, rank): for each query the k best corpus rows. ``payload[0]`` is the row id."""
-    _, size = table_bytes(queries)
+    """(query_id, score, *payload, rank): for each query the k best corpus rows. ``payload[0]`` is the row id.
+
+    Queries of more than ``broadcast_bytes`` go in rounds, of one query at the least."""
+    n, size = table_bytes(queries)
     args = (corpus, queries, scorer, k, payload, filter_keys, missing_passes, floor)
     if size <= broadcast_bytes:
         return broadcast_topk(*args)
-    return rounds_topk(-(-size // broadcast_bytes), *args)
+    return rounds_topk(min(n, -(-size // max(1, broadcast_bytes))), *args)
 
 
 def rounds_topk(blocks: int, corpus: DataFrame, queries: DataFrame, *args) -> DataFrame:
