@@ -11,7 +11,7 @@ from runlore.llm.mixing import mixed_rows
 from runlore.llm.ngram_join import one_of_each
 from runlore.llm.packing import pack_documents
 from runlore.llm.quality import learn, scored
-from runlore.session import materialise, ship_package
+from runlore.session import materialise, remove_table, ship_package
 
 #: A document goes if its language is undetermined or no language is likelier than all others together.
 LEAST_LANGUAGE_SCORE = 0.5
@@ -72,5 +72,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over all of ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir))
+        before, docs = docs, materialise(stage(spark, docs, sf_dir))
+        remove_table(before)
     return STAGES[-1][1](spark, docs, sf_dir)
