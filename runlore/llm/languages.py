@@ -12,12 +12,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runlore.llm.common import give_back
 from runlore.session import materialise, remove_table
 
+#: Runs of letters, and numerals such as ``½``, which are told apart afterwards: the usual text has none.
 WORD = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}+")
 #: Longest and shortest n-gram, with a mark for each end of the word.
 LONGEST, SHORTEST = 4, 1
 #: Scores of new words kept by a worker; a full store is emptied.
@@ -27,11 +31,13 @@ UNDETERMINED = "und"
 
 @dataclass(frozen=True)
 class Fit:
-    """Bounds of the training: about so many labelled rows, and the most frequent words and n-grams that are kept."""
+    """Bounds of the training: about so many labelled rows of each language, and how many words, and n-grams of each
+    length, are kept. Languages share these evenly and each keeps its own most frequent ones; what a language loses as a
+    word it still has in its n-grams."""
 
-    rows: int = 10_000
-    words: int = 50_000
-    grams: int = 50_000
+    rows: int = 2_500
+    words: int = 200_000
+    grams: int = 200_000
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -39,25 +45,43 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
+class Rates:
+    """Log frequencies of strings, a row of one number per language each, in one array."""
+
+    def __init__(self, rows: dict[str, np.ndarray]):
+        self.place = {k: i for i, k in enumerate(rows)}
+        self.table = np.array(list(rows.values()), np.float64)
+
+    def mean(self, keys: list[str]) -> np.ndarray | None:
+        """Mean of those that are known, if any is."""
+        found = [self.place[k] for k in keys if k in self.place]
+        return self.table[found].mean(0) if found else None
+
+
 @dataclass
 class Model:
-    """Languages; log frequencies of words and, by length, of n-grams, a row of one number per language each."""
+    """Languages; log frequencies of words and, by length, of n-grams."""
 
     languages: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[int, dict[str, np.ndarray]]
+    words: Rates | dict[str, np.ndarray]
+    grams: dict[int, Rates | dict[str, np.ndarray]]
+
+    def __post_init__(self):
+        as_rates = lambda x: x if isinstance(x, Rates) else Rates(x)
+        self.words, self.grams = as_rates(self.words), {n: as_rates(t) for n, t in self.grams.items()}
 
     def word(self, word: str) -> np.ndarray:
         """Scores of a word by language; zeros if nothing of it is known."""
-        known = self.words.get(word)
-        if known is not None:
-            return known
+        known = self.words.mean([word])
         for n in range(LONGEST, SHORTEST - 1, -1):
-            table = self.grams.get(n, {})
-            found = [table[g] for g in grams(word, n) if g in table]
-            if found:
-                return np.mean(found, 0)
-        return np.zeros(len(self.languages))
+            if known is None and n in self.grams:
+                known = self.grams[n].mean(grams(word, n))
+        return np.zeros(len(self.languages)) if known is None else known
+
+
+def letter_runs(text: str) -> list[str]:
+    found = WORD.findall(text)
+    return found if not found or "".join(found).isalpha() else LETTERS.findall(text)
 
 
 class Scorer:
@@ -74,7 +98,7 @@ class Scorer:
     def __call__(self, texts: list[str]) -> list[tuple[str, float]]:
         if len(self.place) > STORE_WORDS:
             self.clear()
-        found = [WORD.findall(t.lower()) for t in texts]
+        found = [letter_runs(t.lower()) for t in texts]
         new = list({w for ws in found for w in ws if w not in self.place})
         if new:
             self.place.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
@@ -106,19 +130,23 @@ def gram_column(word: Column, n: int) -> Column:
 
 
 def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", bounds: Fit = Fit()) -> Model:
-    """Learn from rows with a language and a text. Words and n-grams are counted by Spark; the driver gets the most
-    frequent ones only. No rows give a model without languages."""
-    known = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    share = min(1.0, bounds.rows / max(1, known.count()))
-    chosen = known.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0))
-    words = F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"\p{L}+"), F.lit(0)))
-    counts = chosen.select(F.col(lang).alias("lang"), words.alias("word")).groupBy("word", "lang").agg(F.count("*").alias("n"))
+    """Learn from rows with a language and a text: of each language about ``bounds.rows``, chosen by a hash of key and
+    text, so a language with few rows keeps them all. Words and n-grams are counted by Spark; the driver gets those that
+    ``bounds`` names. No rows give a model without languages."""
+    known = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
+        F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(key, text), F.lit(1 << 20)).alias("u"))
+    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    cuts = [(k, -(-min(bounds.rows, n) * (1 << 20) // n)) for k, n in sizes.items()]
+    cut = rows.sparkSession.createDataFrame(cuts, "lang string, cut bigint")  # a row per language
+    chosen = known.join(F.broadcast(cut), "lang").where("u < cut")
+    words = F.explode(F.regexp_extract_all(F.lower(F.col("text")), F.lit(r"\p{L}+"), F.lit(0)))
+    counts = chosen.select("lang", words.alias("word")).groupBy("word", "lang").agg(F.count("*").alias("n"))
     counts = materialise(counts)
 
     def most(table: DataFrame, limit: int) -> pd.DataFrame:
-        by_lang = table.groupBy("word").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("each"))
-        top = by_lang.where("total > 1").orderBy(F.desc("total"), "word").limit(limit)
-        return top.select("word", F.inline("each")).toPandas()
+        order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+        best = table.withColumn("at", F.row_number().over(order)).where(F.col("at") <= max(1, limit // max(1, len(sizes))))
+        return table.join(F.broadcast(best.select("word").distinct()), "word", "left_semi").toPandas()
 
     marked = F.concat(F.lit("<"), "word", F.lit(">"))
     tables = {}
@@ -141,6 +169,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> Column:
         for batch in batches:
             out = [r for i in range(0, len(batch), 256) for r in scorer(batch.iloc[i : i + 256].fillna("").tolist())]
             yield pd.DataFrame(out, columns=["lang_pred", "score"])
+        del scorer
+        give_back()
 
     return F.pandas_udf(run, "lang_pred string, score double")(F.col(text))
 
@@ -156,7 +186,8 @@ def identify_documents(docs: DataFrame, held_out: Column, key: str = "doc_id", t
 
     Learns from the rows that aren't held out and have a language. Neither language, key nor any other column enters a
     prediction, so equal texts get equal ones and repeated rows stay repeated. Among equally good languages the first
-    by code point wins. Without labelled rows, and in texts without letters, the language is ``und``.
+    by code point wins. Without labelled rows, and in texts without letters (numerals such as ``½`` are none), the
+    language is ``und``. An empty table gives no rows.
     """
     plain = docs.drop("held_out", "lang_pred", "score")
     model = fit(plain.where(~held_out), text, lang, key, bounds)

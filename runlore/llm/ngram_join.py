@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlore.llm.common import components, small_side
+from runlore.llm.common import components, give_back, small_side
 from runlore.llm.packing import chunks
 from runlore.llm.spans import mixed, span_hashes, word_spans
 from runlore.session import materialise, release_shuffles, remove_table
@@ -120,6 +120,7 @@ def classes(docs: DataFrame, join: Join) -> tuple[DataFrame, np.ndarray]:
             yield record(batch.column("key"), batch.column("tid"), rows, n, cls, [], [])
         if size:
             yield counted()
+        give_back()
 
     table = materialise(docs.select("key", "text", "tid").mapInArrow(run, f"key {kind}, tid bigint, n bigint, cls bigint, gram bigint, times bigint"))
     common = materialise(table.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("times").alias("times")))
@@ -154,6 +155,7 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, join: Join) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)] + [pa.array([r[3] for r in rows], pa.list_(pa.int64()))],
                 names=["cls", "n", "same", "prefix"])
+        give_back()
 
     return docs.select("text").mapInArrow(run, "cls bigint, n bigint, same bigint, prefix array<bigint>")
 
@@ -186,6 +188,7 @@ class Verifier:
                 rows = [(want[i], s.tobytes()) for i, s in _sets(batch, words) if len(s) and class_of(s) == want[i]]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["cls", "grams"])
+            give_back()
 
         same = F.col("key").eqNullSafe(F.col("at")) & (F.col("tid") == F.col("of"))
         texts = self.docs.join(small_side(wanted, n), same).select("text", "want")
@@ -204,6 +207,7 @@ class Verifier:
                     both = len(np.intersect1d(s, t, assume_unique=True))
                     keep.append(100 * both >= percent * (len(s) + len(t) - both))
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            give_back()
 
         of = lambda end, name: self.sets.select(F.col("cls").alias(end), F.col("grams").alias(name))
         return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")

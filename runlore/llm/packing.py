@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from runlore.llm.common import give_back
 from runlore.llm.spans import SPACE, span_hashes
 
 #: Units kept by a task, about 50 bytes each; a full store is emptied, so memory is bounded whatever the vocabulary.
@@ -240,6 +241,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, bins: Bins = Bins(), end: in
         if held:
             yield flush()
         encode.clear()  # the worker lives on; its memory is for the next task
+        give_back()
 
     return docs.selectExpr(f"`{key}` AS key", f"`{text}` AS text").mapInArrow(run, schema)
 

@@ -14,8 +14,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runlore.llm.common import give_back
 from runlore.llm.packing import chunks
 from runlore.llm.spans import SPACE, mixed, span_hashes, word_spans
+from runlore.session import materialise, remove_table
 
 #: Kinds of bytes: each ASCII mark has its own, letters and digits share theirs, bytes beyond ASCII are one.
 KIND = np.zeros(256, np.int64)
@@ -32,11 +34,10 @@ WIDTH = KINDS * KINDS + 4
 
 @dataclass(frozen=True)
 class Fit:
-    """Bounds of the training: labelled rows, passages of one of them that are looked at, passages of all; and the size,
-    rounds and pace of the learning."""
+    """Bounds of the training: so many labelled rows, fewer where their passages, all of which count, are more than
+    ``passages``; and the size, rounds and pace of the learning."""
 
     rows: int = 6_000
-    per_document: int = 48
     passages: int = 80_000
     words: int = 50
     hidden: int = 24
@@ -151,31 +152,28 @@ def train(bags: list[np.ndarray], labels: np.ndarray, fit: Fit) -> Network:
 
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", fit: Fit = Fit()) -> Network:
-    """Learn from labelled documents, about ``fit.rows`` of them, chosen by a hash of the key. Tasks encode the passages;
-    the driver gets those of the chosen rows, ``fit.per_document`` spread over a longer text and ``fit.passages`` in all."""
-    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.min(label).alias("_label"))
+    """Learn from labelled documents, about ``fit.rows`` of them, chosen by a hash of the key. Tasks encode all passages
+    of a chosen text; the driver gets rows in the order of that hash, as many as ``fit.passages`` allows, whole texts only."""
+    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.min(label).alias("label"))
+    known = known.select(F.col(key).alias("key"), F.xxhash64(key).alias("u"), F.col("label").cast("long").alias("label"))
     share = min(1.0, fit.rows / max(1, known.count()))
-    chosen = known.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0))
-    rows = docs.select(F.col(key), F.col(text).alias("_text")).join(F.broadcast(chosen), key)
+    chosen = known.where(F.pmod("u", F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0))
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key").select("u", "text", "label")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            bags = []
-            for t in batch["_text"].fillna(""):
-                x, _ = encode([t], fit.words)
-                pick = np.unique(np.linspace(0, len(x) - 1, min(len(x), fit.per_document)).astype(int))
-                bags.append(x[pick].astype(np.float16).tobytes())
-            yield pd.DataFrame({"key": batch[key].astype(str), "bag": bags, "label": batch["_label"].astype("int64")})
-
-    got = rows.mapInPandas(run, "key string, bag binary, label bigint").toPandas().sort_values(["key", "bag"])
-    bags, left = [], fit.passages
-    for b in got["bag"]:
-        x = np.frombuffer(b, np.float16).reshape(-1, WIDTH).astype(np.float32)
-        if len(x) > left:
-            break
-        left -= len(x)
-        bags.append(x)
-    return train(bags, got["label"].to_numpy()[: len(bags)], fit)
+            bags = [encode([t], fit.words)[0].astype(np.float16) for t in batch["text"].fillna("")]
+            yield pd.DataFrame({"u": batch["u"], "n": [len(x) for x in bags], "bag": [x.tobytes() for x in bags], "label": batch["label"]})
+        give_back()
+
+    encoded = materialise(rows.mapInPandas(run, "u bigint, n bigint, bag binary, label bigint"))
+    sizes = encoded.where(F.col("n") <= fit.passages).select("u", "n").toPandas().groupby("u")["n"].sum().sort_index()
+    fit_in = sizes.index[sizes.cumsum() <= fit.passages]
+    last = int(fit_in.max()) if len(fit_in) else None
+    got = encoded.where((F.col("u") <= F.lit(last)) & (F.col("n") <= fit.passages)).toPandas().sort_values(["u", "bag"])
+    remove_table(encoded)
+    bags = [np.frombuffer(b, np.float16).reshape(-1, WIDTH).astype(np.float32) for b in got["bag"]]
+    return train(bags, got["label"].to_numpy(), fit)
 
 
 def scored(docs: DataFrame, net: Network, text: str = "text", words: int = Fit().words) -> Column:
@@ -188,6 +186,7 @@ def scored(docs: DataFrame, net: Network, text: str = "text", words: int = Fit()
             parts = [sent.value.forward(*encode(texts[i : i + n], words))[0] for i, n in chunks(texts, 1_000_000)]
             # what a text is scored with moves the last bits of the products; six digits are its own
             yield pd.Series(np.round(np.concatenate(parts), 6) if parts else np.empty(0), dtype="float64")
+        give_back()
 
     return F.pandas_udf(run, "double")(F.col(text))
 
@@ -199,7 +198,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, held_out: Column, thresh
     Learns from rows with a label that aren't held out; a row's score depends on its text alone, so equal texts score
     alike and repeated rows stay. A null text is an empty one, scored as one passage of nothing. Null labels, labels of
     no document and documents without label are fine; several labels of a document count as the lowest; without any
-    label the untrained network scores. Texts of any length are scored whole.
+    label the untrained network scores. Texts of any length are scored whole. An empty table gives no rows.
     """
     plain = docs.drop("held_out", "score", "predicted")
     net = learn(plain.where(~held_out), labels.select(key, label), key, text, label, fit)

@@ -201,8 +201,97 @@ def test_attention_finds_the_bad_passage(spark):
     assert len(held) == 100 and sum((r.score >= 0.3) == bool(r.doc_id % 2) for r in held) >= 95
 
 
+def naive_score(net, text, words=50):
+    """Every passage weighed by itself, one number after the other."""
+    e, h = [], []
+    passages, _ = quality.encode([text], words)
+    assert len(passages) == max(1, -(-len(text.split()) // words))
+    for x in passages.astype(float):
+        h.append(np.tanh(x @ net.encode))
+        e.append(sum(np.tanh(h[-1] @ net.turn[:, j]) / (1 + np.exp(-h[-1] @ net.gate[:, j])) * net.attend[j] for j in range(len(net.attend))))
+    a = np.exp(np.array(e)) / np.exp(np.array(e)).sum()
+    return 1 / (1 + np.exp(-(sum(w * x for w, x in zip(a, h, strict=True)) @ net.score + net.bias[0])))
+
+
+def test_scores_against_one_passage_at_a_time(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["Red,", "fox", "9", "jumps", "ÖL"]) for _ in range(n)) for n in (1, 49, 50, 51, 700)]
+    net = quality.Network(quality.Fit())
+    for k in net.NAMES:
+        setattr(net, k, getattr(net, k).astype(np.float64) * 3)
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    for r in df.withColumn("s", quality.scored(df, net)).collect():
+        assert r.s == pytest.approx(naive_score(net, r.text), abs=1e-4), r.i
+
+
+def test_training_sees_whole_texts(spark):
+    clean = "lorem ipsum dolor sit amet " * 10
+    docs = [(i, clean * 500 + ("BUY!! " * 50 if i % 2 else "")) for i in range(24)]  # 500 passages, the last one tells
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(24)], "doc_id bigint, quality int")
+    whole = quality.learn(df, labels)
+    few = quality.learn(df, labels, fit=quality.Fit(passages=3 * 501))
+    assert not np.array_equal(whole.encode, few.encode)
+    assert quality.learn(df, labels, fit=quality.Fit(passages=3)).encode == pytest.approx(quality.Network(quality.Fit()).encode)
+
+
 # 4 languages
 
+def test_numerals_are_no_letters(spark):
+    texts = ["½ ² ①", "٣ Ⅷ", "x²y", "_", "eins", None]
+    rows = [(i, t, None) for i, t in enumerate(texts)] + [(9, "eins zwei drei x y", "de"), (10, "one two three", "en")]
+    got = {r.doc_id: r for r in languages.identify_documents(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), F.lit(False)).collect()}
+    assert [got[i].lang_pred for i in range(6)] == ["und", "und", "de", "und", "de", "und"]
+    assert languages.letter_runs("x²y½z") == ["x", "y", "z"]
+
+
+def test_a_rare_language_is_learned(spark):
+    rows = spark.range(50_000).selectExpr("id AS doc_id", "concat('the cat number ', id, ' sat down') AS text", "'en' AS lang")
+    rare = spark.createDataFrame([(-1, "kissa istui matolla", "fi"), (-2, "kissa matolla", None)], "doc_id bigint, text string, lang string")
+    got = languages.identify_documents(rows.union(rare), F.lit(False)).where("doc_id < 0").collect()
+    assert [r.lang_pred for r in got] == ["fi", "fi"]
+
+
+def scored_by_hand(rows, text):
+    """Word first, then shorter n-grams, from plain counters."""
+    langs = sorted({g for _, g in rows})
+    seen = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    counts = {n: {g: Counter() for g in langs} for n in range(5)}
+    for t, g in rows:
+        for w in seen(t):
+            counts[0][g][w] += 1
+            for n in range(1, 5):
+                counts[n][g].update(languages.grams(w, n))
+
+    def rates(n, x):
+        r = np.array([counts[n][g][x] / max(1, sum(counts[n][g].values())) for g in langs])
+        return np.log(0.99 * r + 0.01 * r.mean()) if r.any() else None
+
+    total, words = np.zeros(len(langs)), seen(text)
+    for w in words:
+        for n, keys in [(0, [w])] + [(n, languages.grams(w, n)) for n in (4, 3, 2, 1)]:
+            found = [r for r in (rates(n, k) for k in keys) if r is not None]
+            if found:
+                total += np.mean(found, 0)
+                break
+    mean = total / max(1, len(words))
+    best = [g for g, m in zip(langs, mean, strict=True) if m >= mean.max() - 1e-12]
+    return best, 1 / np.exp((mean - mean.max()) * np.sqrt(len(words))).sum()
+
+
+def test_languages_against_plain_counters(spark):
+    rng = random.Random(4)
+    letters = {"a": "abcdefgh", "b": "efghijkl", "c": "aeiouxyz"}
+    word = lambda g: "".join(rng.choice(letters[g]) for _ in range(rng.randint(1, 6)))
+    learned = [(" ".join(word(g) for _ in range(20)), g) for g in letters for _ in range(15)]
+    asked = [" ".join(word(rng.choice("abc")) for _ in range(rng.randint(1, 12))) for _ in range(40)]
+    rows = [(i, t, g) for i, (t, g) in enumerate(learned)] + [(100 + i, t, None) for i, t in enumerate(asked)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(5)
+    for r in languages.identify_documents(df, F.lit(False)).where("doc_id >= 100").collect():
+        best, score = scored_by_hand(learned, r.text)
+        assert r.lang_pred in best and r.score == pytest.approx(score, rel=1e-9)
+
+
 def test_languages_of_odd_texts(odd_docs, no_docs):
     got = languages.identify_documents(odd_docs, F.lit(False)).collect()
     assert len(got) == 11
