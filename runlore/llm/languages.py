@@ -36,8 +36,8 @@ class Fit:
     word it still has in its n-grams."""
 
     rows: int = 2_500
-    words: int = 200_000
-    grams: int = 200_000
+    words: int = 50_000
+    grams: int = 50_000
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -52,10 +52,10 @@ class Rates:
         self.place = {k: i for i, k in enumerate(rows)}
         self.table = np.array(list(rows.values()), np.float64)
 
-    def mean(self, keys: list[str]) -> np.ndarray | None:
-        """Mean of those that are known, if any is."""
-        found = [self.place[k] for k in keys if k in self.place]
-        return self.table[found].mean(0) if found else None
+    def find(self, keys: list[str]) -> np.ndarray:
+        """Row of each, -1 where it isn't known."""
+        get = self.place.get
+        return np.array([get(k, -1) for k in keys], np.int64)
 
 
 @dataclass
@@ -70,13 +70,29 @@ class Model:
         as_rates = lambda x: x if isinstance(x, Rates) else Rates(x)
         self.words, self.grams = as_rates(self.words), {n: as_rates(t) for n, t in self.grams.items()}
 
-    def word(self, word: str) -> np.ndarray:
-        """Scores of a word by language; zeros if nothing of it is known."""
-        known = self.words.mean([word])
+    def score(self, words: list[str]) -> np.ndarray:
+        """Scores of words by language, a row each; zeros if nothing of a word is known."""
+        out = np.zeros((len(words), len(self.languages)))
+        at = self.words.find(words)
+        if (at >= 0).any():
+            out[at >= 0] = self.words.table[at[at >= 0]]
+        left = np.flatnonzero(at < 0)
         for n in range(LONGEST, SHORTEST - 1, -1):
-            if known is None and n in self.grams:
-                known = self.grams[n].mean(grams(word, n))
-        return np.zeros(len(self.languages)) if known is None else known
+            if not len(left) or n not in self.grams or not len(self.grams[n].table):
+                continue
+            each = [grams(words[i], n) for i in left.tolist()]
+            at = self.grams[n].find([g for gs in each for g in gs])
+            of = np.repeat(np.arange(len(left)), [len(gs) for gs in each])[at >= 0]
+            rows = self.grams[n].table[at[at >= 0]]
+            count = np.bincount(of, minlength=len(left))
+            sums = np.stack([np.bincount(of, weights=x, minlength=len(left)) for x in rows.T], 1)
+            has = count > 0
+            out[left[has]] = sums[has] / count[has, None]
+            left = left[~has]
+        return out
+
+    def word(self, word: str) -> np.ndarray:
+        return self.score([word])[0]
 
 
 def letter_runs(text: str) -> list[str]:
@@ -102,7 +118,7 @@ class Scorer:
         new = list({w for ws in found for w in ws if w not in self.place})
         if new:
             self.place.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
-            self.table = np.concatenate([self.table, np.array([self.model.word(w) for w in new])])
+            self.table = np.concatenate([self.table, self.model.score(new)])
         return [self.text([self.place[w] for w in ws]) for ws in found]
 
     def text(self, places: list[int]) -> tuple[str, float]:
@@ -157,6 +173,7 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     top = most(counts, bounds.words)
     languages = sorted(set(top["lang"]) | set(tables[SHORTEST]["lang"]))
     remove_table(counts)
+    give_back()
     return Model(languages, log_rates(top, "word", languages), {n: log_rates(t, "word", languages) for n, t in tables.items()})
 
 

@@ -173,7 +173,10 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     got = encoded.where((F.col("u") <= F.lit(last)) & (F.col("n") <= fit.passages)).toPandas().sort_values(["u", "bag"])
     remove_table(encoded)
     bags = [np.frombuffer(b, np.float16).reshape(-1, WIDTH).astype(np.float32) for b in got["bag"]]
-    return train(bags, got["label"].to_numpy(), fit)
+    net = train(bags, got["label"].to_numpy(), fit)
+    del got, bags
+    give_back()
+    return net
 
 
 def scored(docs: DataFrame, net: Network, text: str = "text", words: int = Fit().words) -> Column:
