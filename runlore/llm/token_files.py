@@ -26,7 +26,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from runlore.llm.common import give_back
 from runlore.llm.packing import chunks, slices
-from runlore.llm.unit_store import WordEncoder, flat_places
+from runlore.llm.unit_store import flat_places, word_encoder
 from runlore.session import materialise
 
 MAGIC = b"PFOR0001"
@@ -220,7 +220,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end: int | None =
     dealt = named.repartitionByRange(*order).sortWithinPartitions(*order).select("key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, writer, done = WordEncoder(tokenizer, end), TaskContext.get().partitionId(), None, []
+        encode, part, writer, done = word_encoder(tokenizer, end), TaskContext.get().partitionId(), None, []
         for batch in batches:
             for keys, texts in slices([batch]):
                 keys = pa.array(keys, kind)

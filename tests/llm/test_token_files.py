@@ -46,7 +46,7 @@ def test_outliers_go_to_the_exception_list():
 
 def test_words_are_encoded_as_in_whole_texts():
     tokenizer, encode = Tokenizer.from_file(PATH), WordEncoder(PATH, None)
-    texts = ["", "  ", "Hello  world's\tÜBER\n", "a<|endoftext|>b <|startoftext|>", "é ́x ΣΑΣ Σ", "中文 字", "1234 x1y2", "don't DON'T", "\x85a\x85 b"]
+    texts = ["", "  ", "Hello  world's\tÜBER\n", "a<|endoftext|>b <|startoftext|>", "é ́x ΣΑΣ Σ", "中文 字", "1234 x1y2", "don't DON'T", "a,'s b.'S 'Tis,'ll \"'re\" '.s", "J\u030c T\u0308x H\u0331 I\u0307 A\u030a =\u0338 a=\u0338", "3.14,15-x_y/(Z)!?é.é,É1", "\x85a\x85 b"]
     for _ in range(2):
         assert [x.tolist() for x in encode(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
