@@ -9,8 +9,10 @@ pair of id tuples: the groups between ends that both sides share, and the pairs
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +31,8 @@ from runlore.session import materialise
 
 #: The mark of a space in the pieces of one tokenizer.
 SPACE_MARK = "▁"
-#: Windows a task remembers; longer ones than so many ids are aligned each time. A full memory is emptied.
-WINDOWS, LONGEST = 200_000, 256
+#: Windows a worker remembers, some 100 bytes each; a full memory is emptied.
+WINDOWS = 400_000
 #: Bits of an id pair's code that hold the second id.
 ID_BITS = 32
 #: Bits of a row's number that count within its task.
@@ -41,6 +43,7 @@ class ByteSide:
     """Ids of a space and a text by a byte-level vocabulary; strings of special tokens are plain text."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.encoder = Encoder(path, None)
         tokenizer = self.encoder.tokenizer
         tokenizer.encode_special_tokens = True
@@ -100,25 +103,33 @@ class PieceSide:
         return [np.array(next(hard), np.uint32) if w else next(easy) for w in whole]
 
 
-def align(a: list[int], b: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """(groups, links) of two rows of token lengths that cover the same bytes: how many tokens of each side every group
-    has, and the pairs of places of tokens that overlap."""
-    groups, links, i, j, m, n, end_a, end_b = [], [], 0, 0, 0, 0, a[0], b[0]
-    while True:
-        links.append((i, j))
-        if end_a == end_b:
-            groups.append((i + 1 - m, j + 1 - n))
-            i, j = i + 1, j + 1
-            m, n = i, j
-            if i == len(a) or j == len(b):
-                return groups, links
-            end_a, end_b = end_a + a[i], end_b + b[j]
-        elif end_a < end_b:
-            i += 1
-            end_a += a[i]
-        else:
-            j += 1
-            end_b += b[j]
+class Runs:
+    """Runs of items, one after the other, by number."""
+
+    def __init__(self, kind: type):
+        self.flat, self.starts, self.lengths = np.empty(0, kind), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def add(self, flat: np.ndarray, lengths: np.ndarray) -> None:
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.flat = np.concatenate([self.flat, flat])
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(items of these runs, one after the other; each one's number of items)."""
+        n = self.lengths[at]
+        return self.flat[flat_places(self.starts[at], n)], n
+
+    @classmethod
+    def of(cls, parts: list[bytes]) -> Runs:
+        runs = cls(np.uint8)
+        runs.add(np.frombuffer(b"".join(parts), np.uint8), np.array([len(p) for p in parts], np.int64))
+        return runs
+
+
+def overlaps(ends: tuple[np.ndarray, np.ndarray], lengths: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(first token of the second side that overlaps each one of the first, how many do)."""
+    first = np.searchsorted(ends[1], ends[0] - lengths[0], side="right")
+    return first, np.searchsorted(ends[1] - lengths[1], ends[0], side="left") - first
 
 
 @dataclass
@@ -139,80 +150,129 @@ class Aligner:
     """Aligns texts, each distinct window once while it is remembered."""
 
     def __init__(self, byte_path: str, piece_path: str):
-        self.a, self.b = ByteSide(byte_path), PieceSide(piece_path)
-        self.length = [np.array([len(e) for e in s.entries], np.int64) for s in (self.a, self.b)]
-        self.spaced = [np.array([e.startswith(b" ") for e in s.entries]) for s in (self.a, self.b)]
+        self.sides = ByteSide(byte_path), PieceSide(piece_path)
+        self.bytes = [Runs.of(s.entries) for s in self.sides]
+        self.spaced = [np.array([e.startswith(b" ") for e in s.entries]) for s in self.sides]
+        # an id as text with what follows it: another of its side, or the last of its side in a group
+        self.shown = [f"{i}{mark}".encode() for s, last in zip(self.sides, "|;", strict=True) for i in range(len(s.entries)) for mark in ("," + last)]
+        self.shown_length = np.array([len(x) for x in self.shown])
         self.clear()
 
     def clear(self) -> None:
-        self.memory: dict[tuple[bytes, bytes], tuple[str, int, np.ndarray]] = {}
-
-    def window(self, a: np.ndarray, b: np.ndarray) -> tuple[str, int, np.ndarray]:
-        """(groups as text, their number, codes of the linked pairs) of a window, remembered by its ids on both sides."""
-        key = (a.tobytes(), b.tobytes())
-        found = self.memory.get(key)
-        if found is None:
-            groups, links = align(self.length[0][a].tolist(), self.length[1][b].tolist())
-            x, y, i, j, parts = a.tolist(), b.tolist(), 0, 0, []
-            for m, n in groups:
-                parts.append(",".join(map(str, x[i : i + m])) + "|" + ",".join(map(str, y[j : j + n])))
-                i, j = i + m, j + n
-            found = ";".join(parts), len(groups), np.array([x[i] << ID_BITS | y[j] for i, j in links], np.int64)
-            if len(a) + len(b) <= LONGEST:
-                if len(self.memory) >= WINDOWS:
-                    self.clear()
-                self.memory[key] = found
-        return found
+        """Forget all windows: their keys, ids of both sides, groups as text, codes of linked pairs, numbers of groups."""
+        self.keys, self.place = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.ids, self.text, self.codes, self.n_groups = [Runs(np.int64), Runs(np.int64)], Runs(np.uint8), Runs(np.int64), np.empty(0, np.int64)
+
+    def _align(self, ids: list[np.ndarray], n: list[np.ndarray]) -> None:
+        """Align windows, given by their ids on both sides, and add them to what is known, in their order."""
+        lengths = [r.lengths[i] for r, i in zip(self.bytes, ids, strict=True)]
+        ends = [np.cumsum(x) for x in lengths]
+        shared = np.intersect1d(*ends, assume_unique=True)
+        window = [np.repeat(np.arange(len(x)), x) for x in n]
+        last = [np.zeros(len(i), np.int64) for i in ids]
+        for mark, end in zip(last, ends, strict=True):
+            mark[np.searchsorted(end, shared)] = 1
+        group = [np.cumsum(x) - x for x in last]
+        order = np.argsort(np.concatenate([group[0] * 2, group[1] * 2 + 1]), kind="stable")
+        token = np.concatenate([ids[0] * 2 + last[0], 2 * len(self.sides[0].entries) + ids[1] * 2 + last[1]])[order]
+        text = np.frombuffer(b"".join([self.shown[t] for t in token.tolist()]), np.uint8)
+        count = len(n[0])
+        self.text.add(text, np.bincount(np.concatenate(window)[order], weights=self.shown_length[token], minlength=count).astype(np.int64))
+        first, links = overlaps(ends, lengths)
+        self.codes.add(np.repeat(ids[0] << ID_BITS, links) | ids[1][flat_places(first, links)], np.bincount(window[0], weights=links, minlength=count).astype(np.int64))
+        self.n_groups = np.concatenate([self.n_groups, np.bincount(window[0], weights=last[0], minlength=count).astype(np.int64)])
+        for known, i, x in zip(self.ids, ids, n, strict=True):
+            known.add(i, x)
+
+    def windows(self, keys: np.ndarray, ids: list[np.ndarray], starts: list[np.ndarray], n: list[np.ndarray]) -> np.ndarray:
+        """The number of each of these distinct windows among those known; new ones are aligned and remembered. Windows
+        are told by a hash of their ids, and a hash that is known must be of the very same ids."""
+        if len(self.keys) > WINDOWS:
+            self.clear()
+        at = np.searchsorted(self.keys, keys)
+        known = at < len(self.keys)
+        known[known] = self.keys[at[known]] == keys[known]
+        out = np.zeros(len(keys), np.int64)
+        out[known] = self.place[at[known]]
+        same = known.copy()
+        for own, flat, first, x in zip(self.ids, ids, starts, n, strict=True):
+            same[known] &= own.lengths[out[known]] == x[known]
+            rows = np.flatnonzero(same)
+            equal = own.take(out[rows])[0] == flat[flat_places(first[rows], x[rows])]
+            bad = np.repeat(rows, x[rows])[~equal]
+            same[bad] = False
+        new = np.flatnonzero(~same)
+        if len(new):
+            out[new] = len(self.n_groups) + np.arange(len(new))
+            self._align([flat[flat_places(first[new], x[new])] for flat, first, x in zip(ids, starts, n, strict=True)], [x[new] for x in n])
+            add = np.flatnonzero(~known)
+            add = add[np.argsort(keys[add], kind="stable")]
+            add = add[np.append(True, keys[add][1:] != keys[add][:-1])] if len(add) else add
+            where = np.searchsorted(self.keys, keys[add])
+            self.keys, self.place = np.insert(self.keys, where, keys[add]), np.insert(self.place, where, out[add])
+        return out
+
+    def _covered(self, texts: list[str], ids: tuple[list[np.ndarray], ...]) -> list[int]:
+        """Texts with tokens: not empty, and on both sides the joined tokens are its bytes behind a space."""
+        want = [(" " + t).encode("utf-8", "replace") for t in texts]
+        good = np.array([bool(t) for t in texts])
+        for runs, side in zip(self.bytes, ids, strict=True):
+            total = np.array([int(runs.lengths[x].sum()) for x in side])
+            good &= total == [len(w) for w in want]
+        held = np.flatnonzero(good)
+        for runs, side in zip(self.bytes, ids, strict=True):
+            if len(held):
+                data = np.frombuffer(b"".join([want[i] for i in held]), np.uint8)
+                wrong = np.flatnonzero(runs.take(np.concatenate([side[i] for i in held]))[0] != data)
+                good[held[np.searchsorted(np.cumsum([len(want[i]) for i in held]), wrong, side="right")]] = False
+        return np.flatnonzero(good).tolist()
 
     def __call__(self, texts: list[str], with_groups: bool = False) -> list[Aligned]:
-        """Of each text; a text that is empty, or whose joined tokens of a side aren't its bytes behind a space, has none."""
+        """Of each text; a text without tokens has zeros."""
         out = [Aligned() for _ in texts]
-        sides = self.a(texts), self.b(texts)
-        held = []
-        for i, t in enumerate(texts):
-            want = (" " + t).encode("utf-8", "replace")
-            if t and all(b"".join([s.entries[x] for x in ids[i].tolist()]) == want for s, ids in zip((self.a, self.b), sides, strict=True)):
-                held.append(i)
+        each = tuple(s(texts) for s in self.sides)
+        held = self._covered(texts, each)
         if not held:
             return out
-        ids = [np.concatenate([s[i] for i in held]).astype(np.int64) for s in sides]
-        ends = [np.cumsum(n[x]) for n, x in zip(self.length, ids, strict=True)]
-        starts = [e - n[x] for e, n, x in zip(ends, self.length, ids, strict=True)]
-        marked = [s[m[x]] for s, m, x in zip(starts, self.spaced, ids, strict=True)]
+        n_tokens = [np.array([len(s[i]) for i in held]) for s in each]
+        ids = [np.concatenate([s[i] for i in held]).astype(np.int64) for s in each]
+        ends = [np.cumsum(r.lengths[i]) for r, i in zip(self.bytes, ids, strict=True)]
+        begins = [e - r.lengths[i] for e, r, i in zip(ends, self.bytes, ids, strict=True)]
+        marked = [s[m[i]] for s, m, i in zip(begins, self.spaced, ids, strict=True)]
         anchors = np.intersect1d(*marked, assume_unique=True)  # the first token of each text is among them
-        lo = [np.searchsorted(s, anchors) for s in starts]
-        hi = [np.append(x[1:], len(i)) for x, i in zip(lo, ids, strict=True)]
-        keys = mixed(mixed(span_hashes(ids[0], lo[0], hi[0])) + span_hashes(ids[1], lo[1], hi[1]))
-        _, first, which = np.unique(keys, return_index=True, return_inverse=True)
-        for i, x, y in zip(ids, lo, hi, strict=True):  # equal hashes must mean equal ids
-            n = y - x
-            if (n[first][which] != n).any() or (i[flat_places(x[first][which], n)] != i).any():
-                first = which = np.arange(len(anchors))
+        first = [np.searchsorted(s, anchors) for s in begins]
+        stop = [np.append(x[1:], len(i)) for x, i in zip(first, ids, strict=True)]
+        n = [y - x for x, y in zip(first, stop, strict=True)]
+        keys = mixed(mixed(span_hashes(ids[0], first[0], stop[0])) + span_hashes(ids[1], first[1], stop[1]))
+        _, one, which = np.unique(keys, return_index=True, return_inverse=True)
+        for i, x, m in zip(ids, first, n, strict=True):  # equal hashes must mean equal ids
+            if (m[one][which] != m).any() or (i[flat_places(x[one][which], m)] != i).any():
+                one = which = np.arange(len(anchors))
                 break
-        known = [self.window(ids[0][a:b], ids[1][c:d]) for a, b, c, d in
-                 zip(lo[0][first].tolist(), hi[0][first].tolist(), lo[1][first].tolist(), hi[1][first].tolist(), strict=True)]
-        n_pairs = np.array([len(k[2]) for k in known])
-        pairs, at = np.concatenate([k[2] for k in known]), np.cumsum(n_pairs) - n_pairs
-        links, per_window = pairs[flat_places(at[which], n_pairs[which])], n_pairs[which]
-        n_groups = np.array([k[1] for k in known])[which]
-        # documents begin where the tokens before them end
-        n_tokens = [np.array([len(s[i]) for i in held]) for s in sides]
-        begin = np.searchsorted(lo[0], np.cumsum(n_tokens[0]) - n_tokens[0])
-        text_of = np.repeat(np.arange(len(held)), np.add.reduceat(per_window, begin))
+        number = self.windows(keys[one], ids, [x[one] for x in first], [m[one] for m in n])[which]
+
+        begin = np.searchsorted(first[0], np.cumsum(n_tokens[0]) - n_tokens[0])  # documents begin where the tokens before them end
+        links, per_window = self.codes.take(number)
+        groups, per_text = self.text.take(number)
+        n_groups, n_links = (np.add.reduceat(x, begin) for x in (self.n_groups[number], per_window))
         codes, code = np.unique(links, return_inverse=True)
-        cells, times = np.unique(text_of * len(codes) + code, return_counts=True)
+        cells, times = np.unique(np.repeat(np.arange(len(held)), n_links) * len(codes) + code, return_counts=True)
         cut = np.searchsorted(cells, np.arange(len(held) + 1) * len(codes))
-        bounds = [*begin.tolist(), len(anchors)]
-        of_text = [np.add.reduceat(x, begin).tolist() for x in (n_groups, per_window)]
-        names, place = [k[0] for k in known], which.tolist()
+        past = np.append(0, np.cumsum(np.add.reduceat(per_text, begin)))
         for j, i in enumerate(held):
-            groups = ";".join([names[w] for w in place[bounds[j] : bounds[j + 1]]])
+            text = groups[past[j] : past[j + 1] - 1].tobytes()  # without the last mark
             some = slice(cut[j], cut[j + 1])
-            out[i] = Aligned(int(n_tokens[0][j]), int(n_tokens[1][j]), of_text[0][j], of_text[1][j], hashlib.sha256(groups.encode()).hexdigest(),
-                             groups if with_groups else "", codes[cells[some] - j * len(codes)], times[some])
+            out[i] = Aligned(int(n_tokens[0][j]), int(n_tokens[1][j]), int(n_groups[j]), int(n_links[j]), hashlib.sha256(text).hexdigest(),
+                             text.decode() if with_groups else "", codes[cells[some] - j * len(codes)], times[some])
         return out
 
 
+@lru_cache(maxsize=1)
+def aligner_of(byte_path: str, piece_path: str) -> Aligner:
+    """One aligner per worker, kept over tasks."""
+    return Aligner(byte_path, piece_path)
+
+
 def aligned_documents(docs: DataFrame, byte_path: str, piece_path: str, key: str = "doc_id", text: str = "text",
                       with_groups: bool = False) -> DataFrame:
     """(key, row, n_a, n_b, n_groups, n_links, groups_sha256, pairs, times[, groups]) of every row: token and group
@@ -230,7 +290,7 @@ def aligned_documents(docs: DataFrame, byte_path: str, piece_path: str, key: str
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, row = Aligner(byte_path, piece_path), TaskContext.get().partitionId() << ROW_BITS
+        aligner, row = aligner_of(byte_path, piece_path), TaskContext.get().partitionId() << ROW_BITS
         for keys, texts in slices(batches):
             for at, n in chunks(texts):
                 found = aligner(texts[at : at + n], with_groups)
@@ -240,7 +300,6 @@ def aligned_documents(docs: DataFrame, byte_path: str, piece_path: str, key: str
                     columns.append([x.groups for x in found])
                 row += n
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
-        del aligner
         give_back()
 
     return docs.selectExpr(f"`{key}` AS key", f"`{text}` AS text").mapInArrow(run, schema)
