@@ -93,11 +93,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         before = now
 
 
-def order_number(c: Column) -> Column:
-    """A long in the order of a string's first seven bytes; null stays null."""
-    padded = F.substring(F.rpad(F.hex(F.encode(c, "UTF-8")), 14, "0"), 1, 14)
-    return F.conv(padded, 16, 10).cast("long")
-
-
 def window(*keys: str):
     return Window.partitionBy(*keys)

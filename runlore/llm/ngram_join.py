@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlore.llm.common import components, give_back, small_side
@@ -316,9 +316,29 @@ def ngram_components(docs: DataFrame, join: Join = Join(), key: str = "doc_id",
 def one_of_each(docs: DataFrame, join: Join = Join(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay when one document of each component does: the one with the least key, and of its
     texts the one with the least hash. Rows go by key and text, so another text under the key of a copy, null too, stays.
-    Rows without words stay; of rows that share the key and the text one stays."""
-    placed = placed_rows(docs, join, key, text).where("n > 0")
+    Rows without words stay; of rows that share the key and the text the least stays, its columns compared as JSON. An
+    empty table gives no rows; columns of any name are kept as they are."""
+    placed = materialise(placed_rows(docs, join, key, text).select("key", "tid", "n", "first"))
     stays = F.col("key").eqNullSafe(F.col("first.key")) & (F.col("tid") == F.col("first.tid"))
-    gone = placed.where(~stays).select(F.col("key").alias("_gone"), F.col("tid").alias("_text")).distinct()
-    same = F.col(key).eqNullSafe(F.col("_gone")) & (text_id(F.col(text)) == F.col("_text"))
-    return docs.join(gone, same, "left_anti").dropDuplicates([key, text])
+    at, of, place = (free_name(docs, n) for n in ("gone", "text", "place"))
+
+    def named(rows: DataFrame) -> DataFrame:
+        return rows.select(F.col("key").alias(at), F.col("tid").alias(of)).distinct()
+
+    same = F.col(key).eqNullSafe(F.col(at)) & (text_id(F.col(text)) == F.col(of))
+    kept = docs.join(named(placed.where((F.col("n") > 0) & ~stays)), same, "left_anti")
+    twice = materialise(named(placed.groupBy("key", "tid").agg(F.count("*").alias("rows")).where("rows > 1")))
+    if twice.isEmpty():
+        return kept
+    # only rows of a key and text that stand several times are compared; the least of them stays, whatever comes first
+    order = Window.partitionBy(key, text).orderBy(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
+    one = kept.join(twice, same, "left_semi").withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).drop(place)
+    return kept.join(twice, same, "left_anti").unionByName(one)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name

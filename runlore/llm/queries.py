@@ -18,7 +18,7 @@ from runlore.llm.neighbours import near_duplicates
 from runlore.llm.ngram_join import ngram_components
 from runlore.llm.packing import pack_documents
 from runlore.llm.quality import score_documents
-from runlore.llm.sharding import document_dimensions, shard_rows
+from runlore.llm.sharding import ranked_documents, shard_rows
 from runlore.llm.token_alignment import align_documents
 from runlore.llm.token_files import read_tokens, write_tokens
 from runlore.llm.urls import judge_urls, page_links
@@ -78,7 +78,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "lang", "source", (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
     )
-    rows = shard_rows(sized, document_dimensions(), 40, ["doc_id", "text_crc32", "size"])
+    rows = shard_rows(*ranked_documents(sized), 40, ["doc_id", "text_crc32", "size"])
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                        F.lit(None).cast("int").alias("grown_shard"))
 

@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlore.llm.common import in_order, order_number
+from runlore.llm.common import in_order
+from runlore.operators.skew import join_hot
+from runlore.session import materialise
 
 #: Bits of a dimension: 2**6 cells, cut at as many quantiles.
 BITS = 6
@@ -63,7 +65,9 @@ def with_curve(df: DataFrame, dims: dict[str, Column], bits: int = BITS, name: s
     """The rows with their place on the curve of the named numeric dimensions. One pass finds all quantiles."""
     shares = [(k + 1) / (1 << bits) for k in range((1 << bits) - 1)]
     found = df.agg(*[F.percentile_approx(c, shares, 10_000).alias(f"q{i}") for i, c in enumerate(dims.values())]).first()
-    cells = [quantised(c, sorted(set(found[i] or []))) for i, c in enumerate(dims.values())]
+    cuts = [sorted(set(found[i] or [])) for i in range(len(dims))]
+    # few distinct values are spread over all cells, so they too tell the curve's long stretches apart
+    cells = [F.floor(quantised(c, q) * (1 << bits) / (len(q) + 1)) for c, q in zip(dims.values(), cuts, strict=True)]
     return df.withColumn(name, hilbert_index(F.array(*[c.cast("int") for c in cells]), len(dims), bits))
 
 
@@ -71,11 +75,12 @@ def shard_rows(df: DataFrame, dims: dict[str, Column], shards: int, ties: list[s
     """The rows with ``curve``, ``shard`` (0 up to shards - 1) and ``slot`` (from 0, without gaps, in curve order).
 
     The law is ``rows``: counts of any two shards differ by one at most, whatever the sizes. A cell with a third of
-    all rows is cut by ``ties``, which follow the curve in the order. Null dimensions come first; repeated rows each
+    all rows is cut by ``ties``, which follow the curve in the order, and rows equal in those by their number. Null dimensions come first; repeated rows each
     take a slot of their own; an empty table gives no shard. Existing columns named curve, shard or slot are replaced.
     """
-    plain = df.drop("curve", "shard", "slot", "row_index")
-    placed, n = in_order(with_curve(plain, dims, bits), F.col("curve"), *[F.col(t) for t in ties])
+    plain = df.drop("curve", "shard", "slot", "row_index", "_own").withColumn("_own", F.monotonically_increasing_id())
+    placed, n = in_order(with_curve(plain, dims, bits), F.col("curve"), *[F.col(t) for t in ties], F.col("_own"))
+    placed = placed.drop("_own")
     if n == 0:
         return placed.select("*", F.lit(0).cast("int").alias("shard"), F.lit(0).cast("long").alias("slot")).drop("row_index")
     shard = F.expr(f"row_index * {shards} div {n}")
@@ -89,6 +94,15 @@ def write_shards(rows: DataFrame, path: str) -> None:
     rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
-def document_dimensions() -> dict[str, Column]:
-    """Dimensions of sized documents: language, source and size."""
-    return {"lang": order_number(F.col("lang")), "source": order_number(F.col("source")), "size": F.col("size")}
+def with_rank(df: DataFrame, column: str, name: str) -> DataFrame:
+    """The rows with the place of their value among the distinct values of a column; null stays null. Values that share
+    a long beginning are as far apart as any others, and a value with very many rows is joined apart."""
+    values, _ = in_order(df.select(F.col(f"`{column}`").alias("value")).where("value IS NOT NULL").groupBy("value").agg(F.count("*").alias("n")), F.col("value"))
+    ranks = materialise(values.select(F.col("value").alias("_value"), F.col("row_index").alias(name)))
+    return join_hot(df.withColumn("_value", F.col(f"`{column}`")), ranks, "_value", "left").drop("_value")
+
+
+def ranked_documents(sized: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """(rows, dimensions) of sized documents: language, source and size."""
+    rows = with_rank(with_rank(sized, "lang", "_lang"), "source", "_source")
+    return rows, {"lang": F.col("_lang"), "source": F.col("_source"), "size": F.col("size")}

@@ -398,6 +398,15 @@ def test_one_of_each_component(odd_docs, no_docs):
     assert ngram_join.one_of_each(no_docs).count() == 0 and ngram_join.ngram_components(no_docs).count() == 0
 
 
+def test_the_least_of_equal_rows_stays(spark):
+    text = " ".join(f"w{i}" for i in range(20))
+    rows = [(1, text, s, g) for s, g in (("b", "x"), ("a", "y"), (None, "z"), ("a", "x"))] + [(2, "other " + text, "c", "q"), (3, "own words", "d", "r")]
+    for seed in (1, 2):
+        df = spark.createDataFrame(rows, "doc_id bigint, text string, _gone string, text_ string").repartition(1 + seed)
+        kept = sorted(tuple(r) for r in ngram_join.one_of_each(df).collect())
+        assert kept == [(1, text, "a", "x"), (3, "own words", "d", "r")]
+
+
 def test_rows_without_a_key_and_shared_keys(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
@@ -571,7 +580,7 @@ def test_shards_differ_by_one_row(spark, odd_docs, no_docs, tmp_path):
     sized = odd_docs.select("doc_id", "lang", "source", F.length("text").cast("long").alias("size"), "shard", "curve")
     for rows, shards in ((sized, 4), (sized, 40), (sized.limit(0), 3), (spark.range(1000).select(
             F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).cast("long").alias("size")), 7)):
-        placed = sharding.shard_rows(rows, sharding.document_dimensions(), shards, ["doc_id", "size"])
+        placed = sharding.shard_rows(*sharding.ranked_documents(rows), shards, ["doc_id", "size"])
         got = placed.collect()
         counts = Counter(r.shard for r in got)
         assert len(got) == rows.count() and (not got or max(counts.values()) - min([counts[s] for s in range(shards)]) <= 1)
@@ -582,6 +591,21 @@ def test_shards_differ_by_one_row(spark, odd_docs, no_docs, tmp_path):
     assert spark.read.parquet(path).groupBy("shard").count().count() == 7
 
 
+def test_sources_of_one_beginning_prune(spark):
+    rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), (F.col("id") % 97).alias("size"),
+                                    F.concat(F.lit("https://example.com/archive/"), F.col("id") % 4).alias("source"))
+    rows, dims = sharding.ranked_documents(rows)
+    placed = sharding.shard_rows(rows, dims, 16, ["doc_id"])
+    assert rows.select("source", "_source").distinct().count() == 4 and {r._source for r in rows.select("_source").distinct().collect()} == {0, 1, 2, 3}
+    assert all(r.n <= 8 for r in placed.groupBy("source").agg(F.count_distinct("shard").alias("n")).collect())
+
+
+def test_equal_rows_lie_in_many_ranges(spark):
+    rows = spark.range(3000).select(F.lit(1).alias("doc_id"), F.lit(None).cast("string").alias("lang"), F.lit("s").alias("source"), F.lit(5).cast("long").alias("size"))
+    got = sharding.shard_rows(*sharding.ranked_documents(rows), 7, ["doc_id", "size"]).groupBy("shard").agg(F.count("*").alias("n"), F.count_distinct("slot").alias("m")).collect()
+    assert sorted(r.n for r in got) == [428] * 3 + [429] * 4 and all(r.n == r.m for r in got)
+
+
 def test_a_dimension_meets_few_shards(spark):
     rows = spark.range(4096).select(F.col("id").alias("doc_id"), (F.col("id") % 16).alias("x"), F.expr("id div 16 % 16").alias("y"), F.expr("id div 256").alias("z"))
     placed = sharding.shard_rows(rows, {c: F.col(c) for c in "xyz"}, 64, ["doc_id"])
