@@ -45,7 +45,7 @@ def term_counts(corpus: DataFrame, vocabulary: DataFrame | None = None) -> DataF
     """(term, df, length). Every text also yields an empty term that carries its length, so the totals come out of the
     same aggregation. Hot terms are folded before the shuffle. Counts of two sets of texts add up."""
     # The size is taken before the array is exploded, so that no row of a term carries the array along.
-    tokens = corpus.select(tx.terms(F.col("text")).alias("t")).select("t", F.size("t").alias("len"))
+    tokens = corpus.select(tx.terms(F.coalesce("text", F.lit(""))).alias("t")).select("t", F.size("t").alias("len"))
     seen = tokens.select("len", F.explode_outer(F.array_append(F.array_distinct("t"), F.lit(""))).alias("term"))
     if vocabulary is not None:
         wanted = vocabulary.select("term").distinct()
@@ -140,7 +140,7 @@ def bm25(
 ) -> DataFrame:
     """(query_id, id, score, rank) of the k best texts per query; texts that share no term with it are not results.
 
-    With ``filter_keys`` the queries carry ``f_<key>`` columns, and only rows that satisfy them compete.
+    A null text has no terms. With ``filter_keys`` the queries carry ``f_<key>`` columns, and only rows that satisfy them compete.
 
     ``stats``: statistics of the corpus if they are there already, else they are taken for the queries' terms.
     """
@@ -151,7 +151,7 @@ def bm25(
         weighted = weighted.join(queries.select("query_id", *[f"f_{k}" for k in filter_keys]), "query_id")
     weighted = materialise(weighted)
     payload = list(dict.fromkeys([id_col, *carry, *filter_keys]))
-    rows = corpus.select(*payload, tx.terms(F.col("text")).alias("terms"))
+    rows = corpus.select(*payload, tx.terms(F.coalesce("text", F.lit(""))).alias("terms"))
     scorer = partial(BM25Scorer, mean_length=stats.mean_length or 1.0)
     found = topk(rows, weighted, scorer, k, payload, filter_keys, missing_passes, floor=0.0, broadcast_bytes=broadcast_bytes)
     return found.select("query_id", *payload, "score", "rank")

@@ -91,8 +91,11 @@ class DenseScorer:
         return rows, rows.astype(np.float32), self._reach(rows)
 
     def estimate(self, lo, hi, prepared):
+        return self.estimate_some(slice(lo, hi), prepared)
+
+    def estimate_some(self, queries: np.ndarray | slice, prepared):
         rows, single, reach = prepared
-        q = self.single[lo:hi]
+        q = self.single[queries]
         scores = q @ single.T
         bound = self.reach * reach
         if self.metric == "l2":
@@ -158,7 +161,7 @@ def _scalar_type(t: pa.DataType) -> pa.DataType:
     return t.value_type if pa.types.is_list(t) or pa.types.is_large_list(t) else t
 
 
-class _Best:
+class Best:
     """The best k rows per query seen so far, with the payload of those rows."""
 
     def __init__(self, n: int, k: int):
@@ -193,8 +196,8 @@ class _Best:
         self.query, self.score, self.rows = query, score, rows.combine_chunks()
 
 
-def _scan(batches, scorer: Scorer, allowed: AllowedValues, k: int, payload: list[str], floor: float) -> _Best:
-    best = _Best(scorer.n, k)
+def _scan(batches, scorer: Scorer, allowed: AllowedValues, k: int, payload: list[str], floor: float) -> Best:
+    best = Best(scorer.n, k)
     for batch in batches:
         if not batch.num_rows or not scorer.n:
             continue
@@ -227,7 +230,7 @@ def _scan(batches, scorer: Scorer, allowed: AllowedValues, k: int, payload: list
     return best
 
 
-def _emit(best: _Best, query_ids: pa.ChunkedArray, schema: pa.Schema) -> pa.Table:
+def _emit(best: Best, query_ids: pa.ChunkedArray, schema: pa.Schema) -> pa.Table:
     if best.rows is None:
         return schema.empty_table()
     columns = [query_ids.take(pa.array(best.query)), pa.array(best.score), *best.rows.columns]

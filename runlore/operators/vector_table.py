@@ -12,12 +12,10 @@ import uuid
 from dataclasses import dataclass, field
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runlore.session import materialise
-
 
 class CommitConflict(RuntimeError):
     """Another writer committed first."""
@@ -31,13 +29,11 @@ class Commit:
 
 
 def one_per_chunk(rows: DataFrame, order: str = "content_hash") -> DataFrame:
-    """One row per chunk id, the smallest by ``order``. Repeated ids are found on two columns; only their rows move."""
-    twice = rows.groupBy("chunk_id").agg(F.count("*").alias("_n"), F.min(order).alias("_least")).where("_n > 1")
-    twice = materialise(twice.select("chunk_id", "_least"))
-    if twice.isEmpty():
-        return rows
-    again = rows.join(twice, "chunk_id").where(F.col(order).eqNullSafe(F.col("_least"))).select(*rows.columns)
-    return rows.join(twice, "chunk_id", "left_anti").unionByName(again.dropDuplicates(["chunk_id"]))
+    """One row per chunk id, the smallest by ``order``, then by the other plain columns but the text. Tasks leave one row of an id
+    each before anything moves, so an id with very many rows is no more than as many rows as tasks."""
+    plain = [f.name for f in rows.schema.fields if isinstance(f.dataType, T.AtomicType) and f.name not in ("chunk_id", "text", order)]
+    least = Window.partitionBy("chunk_id").orderBy(order, *plain)
+    return rows.withColumn("_n", F.row_number().over(least)).where(F.col("_n") == 1).drop("_n")
 
 
 def new_chunks(existing: DataFrame, incoming: DataFrame, order: str = "content_hash") -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from runlore.queries.base import LINES, query, table
 from runlore.queries.diagnosis import INCIDENT_SQL, incidents
@@ -15,6 +16,8 @@ from runlore.session import scratch_path
 from runlore.sources import documents as docs
 from runlore.sources.base import TextFiles, TicketFiles
 from runlore.sources.incidents import read_eval_samples, read_incidents, validate_incidents, write_results
+from runlore.sources.records import read_records
+from runlore.streaming.jobs import write_chunks
 
 
 def write_arrays(rows: DataFrame, path: str) -> None:
@@ -128,3 +131,32 @@ def eval_sample_files(spark, sf):
     root = scratch_path(spark, "samples")
     write_arrays(rows, root)
     return read_eval_samples(spark, root).select("incident_id", "description", "service", "priority", "error_message")
+
+
+RECORD = T.StructType([T.StructField("doc_id", T.LongType()), *[T.StructField(c, T.StringType()) for c in ("text", "lang", "source")], T.StructField("n_chars", T.LongType())])
+_RECORDS = "SELECT doc_id, sha256(text) AS text_hash, lang, source, n_chars FROM documents"
+
+
+def _shown(rows):
+    return rows.select("doc_id", F.sha2("text", 256).alias("text_hash"), "lang", "source", "n_chars")
+
+
+@query("landed_records", _RECORDS)
+def landed_records(spark, sf):
+    """The documents landed as lines of records, read by ranges of 256 KB."""
+    root = scratch_path(spark, "landed")
+    table(spark, sf, "documents").select(RECORD.names).write.json(root)
+    return _shown(read_records(spark, root, RECORD, pathGlobFilter="*.json", split_bytes=256 << 10)[0])
+
+
+@query("landed_records_stream", _RECORDS)
+def landed_records_stream(spark, sf):
+    """Two landings, the English documents and then the others, followed by a stream that goes on where it stopped."""
+    root, out, state = (scratch_path(spark, n) for n in ("landed", "landed-out", "landed-state"))
+    rows = table(spark, sf, "documents").select(RECORD.names)
+    english = F.col("lang").eqNullSafe("en")
+    for some in (rows.where(english), rows.where(~english)):
+        some.write.mode("append").json(root)
+        good, _ = read_records(spark, root, RECORD, stream=True, pathGlobFilter="*.json", split_bytes=256 << 10)
+        write_chunks(good, out, state).awaitTermination()
+    return _shown(spark.read.parquet(out))

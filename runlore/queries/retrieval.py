@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from runlore.operators import chunking, lexical, rerank as rr
 from runlore.operators.lexical import TermStatistics
+from runlore.operators.pair_model import LearnedPairs
 from runlore.operators.skew import bounded_broadcast
 from runlore.plans.evaluation import ablation
 from runlore.plans.index_build import KnowledgeBase, knowledge_base, lexical_base
@@ -249,3 +250,33 @@ def ablation_metrics(spark, sf):
     )
     out = ablation(samples, kb, whole, name_sources)
     return out.select("config", "accuracy", "precision_at_1", "recall_at_3", "samples")
+
+
+@query("learned_pairs_precision")
+def learned_pairs_precision(spark, sf):
+    """Share of passages whose first candidate holds them: by the first search, by term coverage, and by a scorer learned
+    on the other half of the passages."""
+    rows, asked = corpus(spark, sf), passages(spark, sf)
+    held = materialise(containing_documents(spark, sf).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("chunk_id"), F.lit(True).alias("good")))
+    stats = lexical.term_statistics(rows)
+    asked = materialise(asked.join(held.select("query_id").distinct(), "query_id", "left_semi").withColumn("half", F.pmod(F.xxhash64("query_id"), F.lit(2))))
+    found = materialise(with_chunks(materialise(lexical.bm25(rows, asked, 10, stats=stats)), rows, ("text",)))
+    judged = materialise(found.join(held, ["query_id", "chunk_id"], "left").withColumn("good", F.coalesce("good", F.lit(False))))
+    halves = asked.select("query_id", "half")
+    parts = []
+
+    def first_of(ranked: DataFrame, scorer: str, half: DataFrame) -> None:
+        first = ranked.where("rank = 1").join(half.select("query_id"), "query_id", "left_semi").join(held, ["query_id", "chunk_id"], "left")
+        parts.append(first.agg(F.lit(scorer).alias("scorer"), F.count("*").alias("n"), F.count("good").alias("right")))
+
+    for test in (0, 1):
+        learn_from, half = judged.join(halves.where(F.col("half") != test), "query_id", "left_semi"), halves.where(F.col("half") == test)
+        learned = LearnedPairs.learn(learn_from, asked, stats)
+        mine = found.join(half, "query_id", "left_semi")
+        first_of(mine, "search", half)
+        first_of(rr.rerank(mine, asked, rr.TermCoverage().fit(asked, stats)), "coverage", half)
+        first_of(rr.rerank(mine, asked, learned.fit(asked, stats)), "learned", half)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("scorer").agg(F.sum("n").alias("passages"), (F.sum("right") / F.sum("n")).alias("precision_at_1"))
