@@ -14,7 +14,7 @@ from runlore.queries.diagnosis import INCIDENT_SQL, incidents
 from runlore.queries.documents import TICKET_SQL, _ticket_select, ticket_rows
 from runlore.session import scratch_path
 from runlore.sources import documents as docs
-from runlore.sources.base import TextFiles, TicketFiles
+from runlore.sources.base import TextFiles, TicketFiles, ingest
 from runlore.sources.incidents import read_eval_samples, read_incidents, validate_incidents, write_results
 from runlore.sources.records import read_records
 from runlore.streaming.jobs import write_chunks
@@ -85,6 +85,20 @@ def ticket_file_counts(spark, sf):
     return docs.ingest_counts(*TicketFiles(ticket_folder(spark, sf)).read(spark))
 
 
+@query(
+    "ingest_run",
+    """SELECT 'ticket_system' AS source_system, count(*) FILTER (WHERE NOT bad) AS ingested, count(*) FILTER (WHERE bad) AS errors, 1::BIGINT AS warnings
+    FROM (SELECT lang = 'de' AND doc_id % 50 = 7 AS bad FROM documents)
+    UNION ALL SELECT 'local_files', count(*), 0, 1 FROM benchmark""",
+)
+def ingest_run(spark, sf):
+    """Two sources that are there and one that isn't: rows and errors of each, and a warning."""
+    root = scratch_path(spark, "texts")
+    table(spark, sf, "benchmark").select("item_id", F.col("text").alias("value")).write.partitionBy("item_id").text(root)
+    run = ingest(spark, [TicketFiles(ticket_folder(spark, sf)), TextFiles(f"{root}-missing"), TextFiles(root)])
+    return run.counts.withColumn("warnings", F.lit(len(run.warnings)).cast("bigint"))
+
+
 @query(
     "text_files",
     f"""SELECT item_id, {LINES.format("text || chr(10)")} AS content_text, 'documentation' AS document_type, 'en' AS language FROM benchmark""",

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlore.functions import text as tx
 from runlore.operators import chunking, request_metrics as rm
-from runlore.operators.features import HashedTfIdf, embed_with_cache, split_by_cache
+from runlore.operators.features import BatchFunction, HashedTfIdf, embed_with_cache, split_by_cache
 from runlore.operators.search import check_dimensions
 from runlore.operators.vector_table import VectorTable, changed_chunks, index_stats, new_chunks
 from runlore.plans.index_build import build_index, embed_chunks, empty_cache
@@ -68,6 +69,23 @@ def embedding_cache_refit(spark, sf):
     return both.select("content_hash", (F.col("embedding") == F.col("wanted")).alias("own"))
 
 
+def character_counts():
+    """A model of the user's: what a worker loads once, from texts to vectors."""
+    return lambda texts: np.array([[len(t), t.count(" "), 1] for t in texts], dtype=np.float32).reshape(-1, 3)
+
+
+@query(
+    "batch_function_vectors",
+    """SELECT doc_id, length(text)::DOUBLE AS characters, (length(text) - length(replace(text, ' ', '')))::DOUBLE AS spaces, 3::BIGINT AS dimensions
+    FROM documents""",
+)
+def batch_function_vectors(spark, sf):
+    model = BatchFunction(character_counts, 3, "characters", batch_size=64)
+    rows = model.fit(texts(spark, sf)).transform(texts(spark, sf).select("doc_id", "text"))
+    return rows.select("doc_id", F.col("embedding")[0].cast("double").alias("characters"), F.col("embedding")[1].cast("double").alias("spaces"),
+                       F.size("embedding").alias("dimensions"))
+
+
 def labelled_and_all(spark, sf) -> tuple[DataFrame, DataFrame]:
     """(chunks of labelled documents, all chunks with the rows of labelled documents twice)."""
     chunks = text_chunks(spark, sf)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,6 +87,25 @@ def reranked_candidates(spark, sf):
     return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
+def relative_length():
+    """A pair model of the user's: what a worker loads once, from pairs of texts to scores."""
+    return lambda pairs: np.array([(len(q) - len(t)) / (len(q) + len(t)) for q, t in pairs])
+
+
+@query(
+    "pair_function_scores",
+    f"""WITH {CORPUS_SQL}, {QUERY_SQL}, {bm25_sql('b', 'corpus', 'queries', 10)},
+    scored AS (SELECT query_id, b_top.id, 1 / (1 + exp(-((length(q.text) - length(d.text))::DOUBLE / (length(q.text) + length(d.text))))) AS s
+      FROM b_top JOIN queries q USING (query_id) JOIN corpus d ON d.id = b_top.id)
+    SELECT query_id, id AS chunk_id, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM scored""",
+)
+def pair_function_scores(spark, sf):
+    found, stats = first_candidates(spark, sf)
+    asked = passages(spark, sf)
+    scored = rr.rerank(found, asked, rr.PairFunction(relative_length, batch_size=16).fit(asked, stats))
+    return scored.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
 _SPARSE = """pass1 AS (SELECT * FROM r1 WHERE score >= 0.45),
 sparse AS (SELECT query_id, text FROM queries LEFT JOIN (SELECT query_id, count(*) AS n FROM pass1 GROUP BY query_id) USING (query_id) WHERE coalesce(n, 0) < 3)"""
 

@@ -101,7 +101,7 @@ def vector_topk_coded(spark, sf):
 
 @query(
     "vector_topk_coded_recall",
-    f"""SELECT sum(least({K}, n)) AS expected, TRUE AS nine_tenths, {CODE_BYTES}::BIGINT AS code_bytes, 256::BIGINT AS vector_bytes
+    f"""SELECT CAST(sum(least({K}, n)) AS BIGINT) AS expected, TRUE AS nine_tenths, {CODE_BYTES}::BIGINT AS code_bytes, 256::BIGINT AS vector_bytes
     FROM (SELECT (SELECT count(*) FROM embeddings) AS n FROM embeddings)""",
 )
 def vector_topk_coded_recall(spark, sf):

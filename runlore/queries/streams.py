@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from runlore.functions import text as tx
 from runlore.operators.features import HashedTfIdf
+from runlore.operators.partitioned_table import PartitionedTable
 from runlore.operators.request_metrics import LATENCY_BOUNDS
-from runlore.operators.vector_table import VectorTable
 from runlore.queries.base import SQL, chunk_sql, query, table, type_of_source
 from runlore.queries.documents import DOC_SQL, paragraphs
 from runlore.queries.indexing import RUN_LOG_SQL
@@ -55,7 +56,8 @@ def stream_chunks(spark, sf):
 def stream_index(spark, sf):
     """Continuous indexing, run twice over the same files: the second run adds nothing. Each row's vector is its text's."""
     clean = tx.redact(tx.clean_text(F.col("text")))
-    store = VectorTable(spark, scratch_path(spark, "stream-index"))
+    strings = [T.StructField(c, T.StringType()) for c in ("chunk_id", "document_id", "content_hash", "text")]
+    store = PartitionedTable(spark, scratch_path(spark, "stream-index"), T.StructType([*strings, T.StructField("embedding", T.ArrayType(T.FloatType()))]), 16)
     featurizer = HashedTfIdf(128).fit(table(spark, sf, "documents"))
     for name in ("first", "second"):
         chunks = jobs.ingest_chunks(

@@ -39,6 +39,19 @@ def vector_topk(spark, sf):
     return _out(se.search(vectors(spark, sf), as_queries(spark, sf), K, id_col="vec_id"))
 
 
+@query(
+    "vector_topk_small_index",
+    """SELECT vec_id AS query_id, (SELECT count(*) FROM embeddings WHERE label = 3) AS of_few, 0::BIGINT AS of_none FROM embeddings""",
+)
+def vector_topk_small_index(spark, sf):
+    """More neighbours are asked for than the index has rows, and any from an index without rows."""
+    asked, rows = as_queries(spark, sf), vectors(spark, sf)
+    few = se.search(rows.where(F.col("label") == 3), asked, 1_000_000, id_col="vec_id").groupBy("query_id").agg(F.count("*").alias("of_few"))
+    none = se.search(rows.where(F.col("label") < 0), asked, K, id_col="vec_id").groupBy("query_id").agg(F.count("*").alias("of_none"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    return asked.select("query_id").join(few, "query_id", "left").join(none, "query_id", "left").select("query_id", zero("of_few"), zero("of_none"))
+
+
 @query("vector_topk_grid", f"WITH {cosine_sql(K)} SELECT {_OUT} FROM found")
 def vector_topk_grid(spark, sf):
     """The way for query sets too large to broadcast at once: rounds of blocks."""

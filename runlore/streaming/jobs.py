@@ -5,15 +5,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.types import StructType
 
 from runlore.operators.chunking import chunk_documents
 from runlore.operators.features import Featurizer
+from runlore.operators.partitioned_table import PartitionedTable
 from runlore.operators.request_metrics import LATENCY_BOUNDS, bucket_aggregates, bucket_rows
-from runlore.operators.vector_table import VectorTable
+from runlore.operators.vector_table import VectorTable, one_per_chunk
 from runlore.plans.index_build import embed_chunks
 from runlore.settings import ChunkSettings
 
@@ -41,17 +42,16 @@ def write_chunks(chunks: DataFrame, out: str, checkpoint: str, trigger: dict | N
 
 
 def index_stream(
-    chunks: DataFrame, table: VectorTable, featurizer: Featurizer, checkpoint: str, name: str = "stream",
+    chunks: DataFrame, table: VectorTable | PartitionedTable, featurizer: Featurizer, checkpoint: str, name: str = "stream",
     trigger: dict | None = None, carry: tuple[str, ...] = ("title", "text"),
 ) -> StreamingQuery:
-    """Embed each micro-batch and add it to the table. Stream name and batch id name the added data and ids already
-    there are skipped, so a replayed batch adds nothing. Duplicates are looked up in the whole table, not in bounded
-    state. One writer per table."""
+    """Embed each micro-batch and add it to the table. Ids already there are skipped, so a replayed batch adds nothing.
+    Duplicates are looked up in the table, not in bounded state: in a partitioned one only where the batch's documents
+    fall. One writer per table."""
 
     def add(batch: DataFrame, batch_id: int) -> None:
         # One row of each id is chosen before anything is derived from it, so text and vector are of one row.
-        first = Window.partitionBy("chunk_id").orderBy("content_hash")
-        rows = batch.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n").persist()
+        rows = one_per_chunk(batch).persist()
         vectors, _ = embed_chunks(rows, featurizer)
         extra = rows.select("chunk_id", *[c for c in carry if c in rows.columns])
         table.add(vectors.join(extra, "chunk_id"), batch=f"{name}-{batch_id}")

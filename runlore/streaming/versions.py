@@ -59,7 +59,8 @@ def newest_versions(documents: DataFrame, ttl_seconds: int | None = None) -> Dat
     """Rows of a stream of documents (document_id, version, content_hash, ..) that are news: of each document the newest
     version, if its content is another than that of the last one. Rows without an id or version are left out.
 
-    A document that very many rows of a micro-batch share is folded to its newest row before state sees it.
+    Of very many rows of a document in a micro-batch only the newest leaves its batches. With ``ttl_seconds`` the stream
+    looks for what has expired again and again, so it needs a trigger that keeps running.
     """
     use_rocksdb(documents.sparkSession)
     known = documents.where("document_id IS NOT NULL AND version IS NOT NULL")
@@ -76,6 +77,10 @@ def follow_documents(
     """Keep the table's chunks those of each document's newest version. Each micro-batch chunks and embeds only news, and
     rewrites only the partitions of these documents. A batch that is played again writes the same again."""
 
+    running = trigger is not None and not {"availableNow", "once"} & set(trigger)
+    if ttl_seconds and not running:
+        raise ValueError("state that expires is looked at for ever: give a trigger that keeps running")
+
     def replace(batch: DataFrame, batch_id: int) -> None:
         chunks = chunk_documents(batch.drop("version", "content_hash"), settings).persist()
         vectors, _ = embed_chunks(chunks, featurizer)

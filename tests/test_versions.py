@@ -1,5 +1,8 @@
 """State per document: late, repeated and corrected rows, and the table that follows them."""
 
+import time
+
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,12 +40,20 @@ def test_news_only(spark, tmp_path):
     assert run([("b", 2, "other"), ("b", 3, "new"), ("d", 5, "d")]) == [("b", 3, "new"), ("d", 5, "d")]
 
 
-def test_a_forgotten_document_is_news_again(spark, tmp_path):
+def test_state_that_expires_needs_a_running_stream(spark, tmp_path):
     schema = land(spark, str(tmp_path / "in"), [("a", 1, "one")])
-    news = versions.newest_versions(jobs.read_stream(spark, str(tmp_path / "in"), schema), ttl_seconds=3600)
-    writer = news.writeStream.format("memory").queryName("kept_for_an_hour").outputMode("update").option("checkpointLocation", str(tmp_path / "state"))
-    writer.trigger(availableNow=True).start().awaitTermination()
-    assert spark.table("kept_for_an_hour").count() == 1
+    stream = jobs.read_stream(spark, str(tmp_path / "in"), schema)
+    with pytest.raises(ValueError, match="keeps running"):
+        versions.follow_documents(stream, None, None, str(tmp_path / "state"), ttl_seconds=3600)
+    query = versions.newest_versions(stream, ttl_seconds=3600).writeStream.format("memory").queryName("kept_for_an_hour").outputMode("update").option(
+        "checkpointLocation", str(tmp_path / "state")).trigger(processingTime="1 second").start()
+    try:
+        until = time.monotonic() + 60
+        while time.monotonic() < until and not spark.table("kept_for_an_hour").count():
+            time.sleep(1)
+        assert [r.document_id for r in spark.table("kept_for_an_hour").collect()] == ["a"]
+    finally:
+        query.stop()
 
 
 def test_the_table_follows_corrections(spark, tmp_path):
