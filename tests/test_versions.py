@@ -57,7 +57,7 @@ def test_state_that_expires_needs_a_running_stream(spark, tmp_path):
 
 
 def test_the_table_follows_corrections(spark, tmp_path):
-    folder, settings = str(tmp_path / "in"), ChunkSettings(size=4, overlap=0)
+    folder, settings = str(tmp_path / "in"), ChunkSettings(size=4, overlap=0, section_min=1, section_overlap=0)
     first = [(f"d{i}", 1, " ".join(f"w{i}x{j}" for j in range(10))) for i in range(12)]
     schema = land(spark, folder, first)
     model = HashedTfIdf(16).fit(spark.read.parquet(folder), "content_text")
