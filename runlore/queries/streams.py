@@ -17,9 +17,13 @@ from runlore.sources.documents import conform
 from runlore.streaming import jobs
 
 
+def table_stream(spark, sf, name):
+    """A test table as a stream, be it one file or a folder of them: a pattern may match either."""
+    return jobs.read_stream(spark, f"{sf}/{name}.parque[t]", table(spark, sf, name).schema)
+
+
 def document_stream(spark, sf):
-    schema = table(spark, sf, "documents").schema
-    return jobs.read_stream(spark, sf, schema, pathGlobFilter="documents.parquet")
+    return table_stream(spark, sf, "documents")
 
 
 def to_documents(text):
@@ -86,8 +90,7 @@ def _window_sql() -> str:
 @query("stream_request_metrics", _window_sql())
 def stream_request_metrics(spark, sf):
     """Hourly latency buckets of the run log, as far as the watermark has passed."""
-    schema = table(spark, sf, "events").schema
-    events = jobs.read_stream(spark, sf, schema, pathGlobFilter="events.parquet")
+    events = table_stream(spark, sf, "events")
     # Event time in the stream is an instant; the table's times carry no zone and are taken as UTC.
     log = events.select(
         F.to_timestamp(F.concat(F.col("ts").cast("string"), F.lit("Z"))).alias("ts"),
