@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,15 +20,27 @@ from runlore.sources.records import read_records
 from runlore.streaming.jobs import write_chunks
 
 
+#: Characters of a file of tickets, about; a row is never cut.
+ARRAY_CHARS = 4 << 20
+
+
 def write_arrays(rows: DataFrame, path: str) -> None:
-    """JSON files with one array each, of one Arrow batch of rows."""
+    """JSON files with one array each, of up to about ``ARRAY_CHARS``. Few rows are strings in a task at a time."""
 
-    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                yield pd.DataFrame({"value": ["[" + ",".join(batch["value"]) + "]"]})
-
-    lines = rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).mapInPandas(joined, "value string")
+            held, size = [], 0
+            for at in range(0, batch.num_rows, 64):
+                for value in batch.column(0).slice(at, 64).to_pylist():
+                    held.append(value)
+                    size += len(value)
+                    if size >= ARRAY_CHARS:
+                        yield pa.RecordBatch.from_arrays([pa.array(["[" + ",".join(held) + "]"])], names=["value"])
+                        held, size = [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(["[" + ",".join(held) + "]"])], names=["value"])
+
+    lines = rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).mapInArrow(joined, "value string")
     lines.write.option("maxRecordsPerFile", 1).option("lineSep", "\n").format("text").save(f"{path}-parts")
     # Text writers name their files .txt; the sources go by the name, so each is given the one it is read by.
     rename(rows, f"{path}-parts", path, ".json")
