@@ -24,7 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 from runlore.operators.blocks import bounded_topk
 from runlore.operators.centroids import columns_of, k_means, nearest, sample, unit
 from runlore.operators.search import METRICS, filter_columns
-from runlore.operators.topk import BROADCAST_BYTES, MATRIX_CELLS, AllowedValues, Best, DenseScorer, best_per_query, list_matrix, table_bytes
+from runlore.operators.topk import BROADCAST_BYTES, HELD_ROWS, MATRIX_CELLS, ROUNDED_K, AllowedValues, Best, DenseScorer, best_per_query, list_matrix, table_bytes
 from runlore.session import materialise
 
 #: Vectors in a block, and the most cells that a table gets unless told otherwise.
@@ -154,7 +154,7 @@ def search_blocks(table: VectorBlocks, queries: DataFrame, k: int = 10, missing_
     scored, and for which of the queries, by number).
 
     ``queries``: query_id, embedding and filter columns ``f_<key>`` of carried columns; as ``search.search`` in mode
-    "pre". Queries of more than ``broadcast_bytes`` go in rounds of one at least. No stored vectors give no rows.
+    "pre". Queries of more than ``broadcast_bytes``, or with more results than a task may hold, go in rounds of one at least. No stored vectors give no rows.
     """
     payload = list(table.payload)
     schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("score", T.DoubleType()),
@@ -165,7 +165,7 @@ def search_blocks(table: VectorBlocks, queries: DataFrame, k: int = 10, missing_
     keys = filter_columns(queries, table.rows())
     wanted = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding", *[f"f_{c}" for c in keys])
     n, size = table_bytes(wanted)
-    rounds = max(1, min(n, -(-size // max(1, broadcast_bytes))))
+    rounds = max(1, min(n, max(-(-size // max(1, broadcast_bytes)), -(-n * k // HELD_ROWS) if k <= ROUNDED_K else 0)))
     if rounds == 1:
         found, scored = _round(table, wanted, schema, keys, k, missing_passes, seeds)
     else:
@@ -210,7 +210,7 @@ def _round(table: VectorBlocks, wanted: DataFrame, schema: T.StructType, keys: t
                     for some in np.array_split(need, -(-len(need) * rows.num_rows // MATRIX_CELLS)):
                         scores, error = scorer.estimate_some(some, prepared)
                         if keys:
-                            scores = np.where(allowed.mask(0, known.num_rows, codes)[some], scores, -np.inf)
+                            scores = np.where(allowed.mask_of(some, codes), scores, -np.inf)
                         least = best.kth[some]
                         if rows.num_rows > k:
                             least = np.maximum(least, np.partition(scores, rows.num_rows - k, axis=1)[:, rows.num_rows - k])

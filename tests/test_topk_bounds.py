@@ -78,3 +78,22 @@ def test_rounds_by_number_of_results(spark, monkeypatch):
         found.setdefault(r.query_id, []).append(r.chunk_id)
     assert [found[i] for i in range(50)] == np.argsort(-(unit @ unit.T), axis=1, kind="stable")[:, :5].tolist()
     assert made == [3]
+
+
+def test_wide_rows_are_prepared_few_at_a_time(monkeypatch):
+    monkeypatch.setattr(topk, "PREPARED_BYTES", 1000)
+    sizes = []
+    prepare = DenseScorer.prepare
+    monkeypatch.setattr(DenseScorer, "prepare", lambda self, batch: sizes.append(batch.nbytes) or prepare(self, batch))
+    vectors = np.random.default_rng(9).normal(size=(100, 4))
+    rows = pa.table({"chunk_id": np.arange(100), "embedding": vectors.tolist()})
+    triples, _ = wide_scan(rows.rename_columns(["query_id", "embedding"]), rows, 1)
+    assert sorted(t[:2] for t in triples if t[2] > 0.999999) == [(i, i) for i in range(100)]
+    assert max(sizes) <= 1000 and len(sizes) > 1
+
+
+def test_masks_are_made_for_the_queries_asked_for():
+    allowed = topk.AllowedValues(pa.table({"f_kind": pa.array([0, 1, None, 1])}), ("kind",), False)
+    codes = allowed.codes(pa.RecordBatch.from_pydict({"kind": pa.array([1, 0, None])}))
+    assert allowed.mask_of(np.array([3, 2]), codes).tolist() == [[True, False, False], [True, True, True]]
+    assert allowed.mask(0, 2, codes).tolist() == [[False, True, False], [True, False, False]]
