@@ -20,7 +20,7 @@ def test_task_holds_bounded_rows_whatever_k_is(monkeypatch):
     monkeypatch.setattr(topk, "HELD_ROWS", 500)
     monkeypatch.setattr(topk, "PAIRS_HELD", 200)
     monkeypatch.setattr(topk, "QUERIES_AT_ONCE", 16)
-    monkeypatch.setattr(topk, "MATRIX_CELLS", 1000)
+    monkeypatch.setattr(topk, "SCAN_CELLS", 1000)
     rng = np.random.default_rng(5)
     vectors = rng.normal(size=(90, 4))
     rows = pa.table({"chunk_id": np.arange(90), "embedding": vectors.tolist()})
