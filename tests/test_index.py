@@ -127,6 +127,35 @@ def knowledge_documents(spark):
     return spark.createDataFrame(data, "document_id string, document_type string, title string, content_text string, service string, environment string")
 
 
+class Noting:
+    """A featurizer whose workers note every text they embed."""
+
+    model, dimensions = "noting", 1
+
+    def __init__(self, path):
+        self.path = path
+
+    def transform(self, rows, text_col="text"):
+        path = self.path
+
+        def load():
+            def run(texts):
+                with open(path, "a") as f:
+                    f.writelines("embedded\n" for _ in texts)
+                return np.ones((len(texts), 1), dtype=np.float32)
+
+            return run
+
+        return ft.BatchFunction(load, 1, self.model).transform(rows, text_col)
+
+
+def test_build_embeds_each_text_once(spark, tmp_path):
+    """Cache rows and vectors are two readers of what was embedded; neither embeds again."""
+    store, notes = VectorTable(spark, str(tmp_path / "t")), tmp_path / "notes"
+    built = build_index(knowledge_documents(spark), store, Noting(str(notes)), cache_path=str(tmp_path / "cache")).first()
+    assert (built.vectors, built.embedded) == (3, 3) and len(notes.read_text().split()) == 3
+
+
 def test_build_twice_adds_nothing(spark, tmp_path):
     docs = knowledge_documents(spark)
     store, cache = VectorTable(spark, str(tmp_path / "t")), str(tmp_path / "cache")
