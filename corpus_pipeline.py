@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runlore.llm.common import small_batches
 from runlore.llm.languages import UNDETERMINED, fit, identify
 from runlore.llm.mixing import mixed_rows
 from runlore.llm.ngram_join import one_of_each
@@ -23,6 +24,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told from their words, learned from all that name one. Without any such document
     there is nothing to tell languages apart by, and all stay that have a letter."""
     ship_package(spark)
+    small_batches(spark)
     if docs.where("lang IS NOT NULL AND text IS NOT NULL").isEmpty():
         return docs.where(F.col("text").rlike(r"\p{L}"))
     found = docs.withColumn("_found", identify(docs, fit(docs)))
@@ -33,6 +35,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned from the labelled ones, doesn't reject. Without labels all stay."""
     ship_package(spark)
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     if labels.where("quality IS NOT NULL").isEmpty():
         return docs
@@ -42,6 +45,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies."""
     ship_package(spark)
+    small_batches(spark)
     return one_of_each(docs)
 
 
@@ -53,6 +57,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents and their places in token sequences."""
     ship_package(spark)
+    small_batches(spark)
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

@@ -9,10 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from runlore.session import materialise, remove_table
+from runlore.session import materialise, remove_table, small_table
 
 #: Tables up to this many bytes, by a count of their rows, travel to every task.
 BROADCAST_BYTES = 64 << 20
+#: Bytes of rows that go to a Python worker at a time, about.
+BATCH_BYTES = 2 << 20
 #: Bits that ``monotonically_increasing_id`` gives to the place within a partition.
 PLACE_BITS = 33
 
@@ -28,6 +30,12 @@ def give_back() -> None:
         pass
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches to and from Python workers end at ``BATCH_BYTES`` of rows. By their default of 10,000 rows, batches of whole
+    texts are tens of megabytes, of which an executor's two sides hold several a task and keep what they have freed."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -52,7 +60,7 @@ def in_order(df: DataFrame, *keys: Column, index: str = "row_index") -> tuple[Da
     for p in sorted(counts):
         starts.append((p, total))
         total += counts[p]
-    offsets = df.sparkSession.createDataFrame(starts, "part bigint, start bigint")
+    offsets = small_table(df.sparkSession, starts, "part bigint, start bigint")
     placed = rows.withColumn("part", part).join(F.broadcast(offsets), "part")
     return placed.withColumn(index, F.col("start") + place).drop("part", "start", "_at"), total
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlore.llm.common import give_back
-from runlore.session import materialise, remove_table
+from runlore.session import materialise, remove_table, small_table
 
 #: Runs of letters, and numerals such as ``½``, which are told apart afterwards: the usual text has none.
 WORD = re.compile(r"[^\W\d_]+")
@@ -153,7 +153,7 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
         F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(key, text), F.lit(1 << 20)).alias("u"))
     sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     cuts = [(k, -(-min(bounds.rows, n) * (1 << 20) // n)) for k, n in sizes.items()]
-    cut = rows.sparkSession.createDataFrame(cuts, "lang string, cut bigint")  # a row per language
+    cut = small_table(rows.sparkSession, cuts, "lang string, cut bigint")  # a row per language
     chosen = known.join(F.broadcast(cut), "lang").where("u < cut")
     words = F.explode(F.regexp_extract_all(F.lower(F.col("text")), F.lit(r"\p{L}+"), F.lit(0)))
     counts = chosen.select("lang", words.alias("word")).groupBy("word", "lang").agg(F.count("*").alias("n"))
