@@ -14,7 +14,7 @@ from runlore.session import materialise, remove_table, small_table
 #: Tables up to this many bytes, by a count of their rows, travel to every task.
 BROADCAST_BYTES = 64 << 20
 #: Bytes of rows that go to a Python worker at a time, about.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 #: Bits that ``monotonically_increasing_id`` gives to the place within a partition.
 PLACE_BITS = 33
 

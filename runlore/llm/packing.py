@@ -26,6 +26,8 @@ from runlore.llm.spans import SPACE, span_hashes
 STORE_UNITS = 1_000_000
 #: Rows of a batch that are texts in memory at a time.
 SLICE = 256
+#: Characters of texts that a task looks at together, about: it holds some 100 bytes of arrays for each.
+CHARS = 256_000
 #: ASCII letters, behind which a comma or full stop is a unit of its own.
 LETTER = np.zeros(256, bool)
 LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -254,7 +256,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[tup
     pa.default_memory_pool().release_unused()
 
 
-def chunks(texts: list[str], chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
+def chunks(texts: list[str], chars: int = CHARS) -> Iterator[tuple[int, int]]:
     """(first, count) of runs of texts of about so many characters."""
     first = total = 0
     for i, t in enumerate(texts):

@@ -179,16 +179,20 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return net
 
 
+def scores(net: Network, texts: list[str], words: int) -> np.ndarray:
+    """Score of each text, a part of them encoded at a time."""
+    parts = [net.forward(*encode(texts[i : i + n], words))[0] for i, n in chunks(texts)]
+    # what a text is scored with moves the last bits of the products; six digits are its own
+    return np.round(np.concatenate(parts), 6) if parts else np.empty(0)
+
+
 def scored(docs: DataFrame, net: Network, text: str = "text", words: int = Fit().words) -> Column:
     """Score of every whole text, 0 to 1."""
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            texts = batch.fillna("").tolist()
-            parts = [sent.value.forward(*encode(texts[i : i + n], words))[0] for i, n in chunks(texts, 1_000_000)]
-            # what a text is scored with moves the last bits of the products; six digits are its own
-            yield pd.Series(np.round(np.concatenate(parts), 6) if parts else np.empty(0), dtype="float64")
+            yield pd.Series(scores(sent.value, batch.fillna("").tolist(), words), dtype="float64")
         give_back()
 
     return F.pandas_udf(run, "double")(F.col(text))
