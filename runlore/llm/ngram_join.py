@@ -71,7 +71,7 @@ def class_of(grams: np.ndarray) -> int:
 
 
 def _sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, set) of a batch's texts, a megabyte of text at a time."""
+    """(row, set) of a batch's texts, a part of the batch at a time."""
     column = batch.column("text")
     for start in range(0, len(column), SLICE):
         texts = [t or "" for t in column.slice(start, SLICE).to_pylist()]
@@ -192,7 +192,9 @@ class Verifier:
 
         same = F.col("key").eqNullSafe(F.col("at")) & (F.col("tid") == F.col("of"))
         texts = self.docs.join(small_side(wanted, n), same).select("text", "want")
-        new = materialise(texts.mapInArrow(run, "cls bigint, grams binary").dropDuplicates(["cls"]))
+        read = materialise(texts.mapInArrow(run, "cls bigint, grams binary").withColumn("task", F.spark_partition_id()))
+        new = first_of_tasks(read)
+        remove_table(wanted)
         self.sets = new if self.sets is None else self.sets.unionByName(new)
 
     def similar(self, pairs: DataFrame) -> DataFrame:
@@ -213,6 +215,20 @@ class Verifier:
         return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
+def first_of_tasks(read: DataFrame) -> DataFrame:
+    """(cls, grams) of each class once, of a written table (cls, grams, task) in which a task has a class once. Only classes
+    and tasks are shuffled to tell which stand twice; the sets are rewritten if any does."""
+    twice = materialise(read.groupBy("cls").agg(F.count("*").alias("times"), F.min("task").alias("first")).where("times > 1"))
+    n = twice.count()
+    if n == 0:
+        remove_table(twice)
+        return read.drop("task")
+    once = materialise(read.join(small_side(twice, n), "cls", "left").where("first IS NULL OR task = first").select("cls", "grams"))
+    remove_table(read)
+    remove_table(twice)
+    return once
+
+
 def similar_components(docs: DataFrame, rows: DataFrame, frequent: np.ndarray, join: Join) -> DataFrame:
     """(cls, component) of classes that are connected with others; the component's number is that of a class."""
     raw = materialise(prefixes(docs, frequent, join).withColumn("group", F.xxhash64("n", "same")))
@@ -220,11 +236,13 @@ def similar_components(docs: DataFrame, rows: DataFrame, frequent: np.ndarray, j
     groups = materialise(members.groupBy("group").agg(F.min("cls").alias("gid"), F.count("*").alias("members")))
     grouped = materialise(members.join(groups, "group").select("cls", "gid", "members"))
     # all of a group have its prefix, so any row's will do
-    heads = raw.groupBy("group").agg(F.first("n").cast("int").alias("n"), F.first("prefix").alias("prefix"))
+    heads = materialise(raw.groupBy("group").agg(F.first("n").cast("int").alias("n"), F.first("prefix").alias("prefix")))
+    remove_table(raw)
+    release_shuffles(docs.sparkSession)
     grams = heads.select("group", "n", F.posexplode("prefix").alias("pos", "gram"))
     shared = grams.groupBy("gram").agg(F.count("*").alias("groups")).where("groups > 1")
     met = materialise(grams.join(shared, "gram").join(groups.select("group", "gid"), "group").drop("group"))
-    remove_table(raw)
+    remove_table(heads)
     release_shuffles(docs.sparkSession)
 
     verifier = Verifier(docs, rows, join)
@@ -235,8 +253,11 @@ def similar_components(docs: DataFrame, rows: DataFrame, frequent: np.ndarray, j
         """Verify pairs of classes; whether any is similar."""
         nonlocal links, found
         pairs = materialise(pairs.select("a", "b").distinct())
+        release_shuffles(docs.sparkSession)  # sets are moved next, which takes the most room
         verifier.fetch(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
+        release_shuffles(docs.sparkSession)
         new = materialise(verifier.similar(pairs))
+        remove_table(pairs)
         if new.isEmpty():
             return False
         release_shuffles(docs.sparkSession)

@@ -421,6 +421,30 @@ def test_rows_without_a_key_and_shared_keys(spark):
     assert sum(k is None and (t or "").split()[2:70] == two[2:70] for k, t in kept) == 1 and sum(k == 8 for k, _ in kept) == 1
 
 
+def test_sets_are_read_without_moving_them(spark, monkeypatch):
+    rng, written = random.Random(5), []
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base = [[word() for _ in range(60)] for _ in range(8)]
+    rows = [(None, " ".join(b)) for b in base for _ in range(5)] + [(i, " ".join(b[:-1] + ["x"])) for i, b in enumerate(base)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+
+    def noted(table, write=ngram_join.materialise):
+        if "grams" in table.columns:
+            written.append(table._jdf.queryExecution().executedPlan().toString())
+        out = write(table)
+        if "grams" in table.columns:
+            written.append(Counter(r.cls for r in out.select("cls").collect()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialise", noted)
+    got = ngram_join.ngram_components(df).collect()
+    assert len(got) == 48 and {r.component_id for r in got} == set(range(8))
+    # tasks read the sets where the texts are; copies under no key, read by several tasks, are told by numbers alone
+    reading, _, _, once = written[:4]
+    assert "MapInArrow" in reading and "Exchange hashpartitioning(cls" not in reading and "Aggregate(key=[cls" not in reading.split("MapInArrow")[0]
+    assert len(once) == 16 and set(once.values()) == {1}
+
+
 # 7 packing
 
 ODD = ["", "a", " a", "a ", "  a b", "a  b c", "a\nb", "a \nb, c", "x y z", "<|endoftext|> a  b", "x<|endoftext|> y.", "don't 'tis can't",
