@@ -97,3 +97,31 @@ def test_masks_are_made_for_the_queries_asked_for():
     codes = allowed.codes(pa.RecordBatch.from_pydict({"kind": pa.array([1, 0, None])}))
     assert allowed.mask_of(np.array([3, 2]), codes).tolist() == [[True, False, False], [True, True, True]]
     assert allowed.mask(0, 2, codes).tolist() == [[False, True, False], [True, False, False]]
+
+
+@pytest.mark.parametrize("metric", se.METRICS)
+def test_many_results_of_a_small_corpus_are_ranked_where_the_queries_are(spark, monkeypatch, metric):
+    """A k beyond what rounds are for: rows are ranked without a shuffle of them, whether all are results or not."""
+    monkeypatch.setattr(topk, "ROUNDED_K", 6)
+    monkeypatch.setattr(topk, "PAIRS_OF_TASK", 500)
+    monkeypatch.setattr(topk, "RANKED_AT_ONCE", 100)
+    monkeypatch.setattr(topk, "ROWS_AT_ONCE", 16)
+    monkeypatch.setattr(topk, "PREPARED_BYTES", 1000)
+    v = np.random.default_rng(10).normal(size=(60, 4))
+    v[50:] = v[:10]
+    kinds = [None if i % 11 == 0 else i % 3 for i in range(60)]
+    rows = spark.createDataFrame([(i, x.tolist(), t) for i, (x, t) in enumerate(zip(v, kinds))], "chunk_id long, embedding array<double>, kind int")
+    asked = rows.select(rows.chunk_id.alias("query_id"), "embedding", rows.kind.alias("f_kind"))
+    unit = v / np.sqrt((v**2).sum(1, keepdims=True)) if metric == "cosine" else v
+    scores = -((unit[:, None] - unit[None]) ** 2).sum(2) if metric == "l2" else (unit[:, None] * unit[None]).sum(2)
+    for k, filtered in ((1_000_000, False), (7, False), (1_000_000, True), (7, True)):
+        found = se.search(rows, asked if filtered else asked.drop("f_kind"), k, metric=metric)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and plan.count("Exchange") == 1
+        got = {}
+        for r in sorted(found.collect(), key=lambda r: r["rank"]):
+            got.setdefault(r.query_id, []).append((r.chunk_id, round(r.score, 9), r["rank"]))
+        for q in range(60):
+            allowed = [r for r in range(60) if not filtered or kinds[q] is None or kinds[r] == kinds[q]]
+            best = sorted(allowed, key=lambda r: (-scores[q, r], r))[:k]
+            assert got[q] == [(r, round(scores[q, r], 9), i + 1) for i, r in enumerate(best)]
