@@ -125,3 +125,34 @@ def test_many_results_of_a_small_corpus_are_ranked_where_the_queries_are(spark,
             allowed = [r for r in range(60) if not filtered or kinds[q] is None or kinds[r] == kinds[q]]
             best = sorted(allowed, key=lambda r: (-scores[q, r], r))[:k]
             assert got[q] == [(r, round(scores[q, r], 9), i + 1) for i, r in enumerate(best)]
+
+
+def test_blocks_of_queries_meet_in_one_reading_of_the_corpus(spark, monkeypatch):
+    """Many blocks that a task may hold together are one job, and no block is over the bound."""
+    written, sent = [], []
+    materialise, searched = topk.materialise, topk._searched
+    monkeypatch.setattr(topk, "materialise", lambda df: written.append(1) or materialise(df))
+    monkeypatch.setattr(topk, "_searched", lambda c, q, blocks, *args: sent.append([b.num_rows for b in blocks]) or searched(c, q, blocks, *args))
+    v = np.random.default_rng(11).normal(size=(200, 4))
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "chunk_id long, embedding array<double>").repartition(3)
+    asked = rows.withColumnRenamed("chunk_id", "query_id")
+    unit = v / np.sqrt((v**2).sum(1, keepdims=True))
+    found = {}
+    for r in sorted(se.search(rows, asked, 5, broadcast_bytes=1000).collect(), key=lambda r: r["rank"]):
+        found.setdefault(r.query_id, []).append(r.chunk_id)
+    assert [found[i] for i in range(200)] == np.argsort(-(unit @ unit.T), axis=1, kind="stable")[:, :5].tolist()
+    assert len(written) == 2  # the queries, and the results of all blocks
+    assert len(sent) == 1 and len(sent[0]) == 12 and sum(sent[0]) == 200
+
+
+@pytest.mark.parametrize("kind", [np.float32, np.float64])
+def test_bounds_leave_no_score_out(kind):
+    rng = np.random.default_rng(12)
+    scores = rng.normal(size=(30, 1000)).astype(kind)
+    scores[3, 5:] = -np.inf
+    for k in (1, 3, 500, 999):
+        bound = topk.kth_bound(scores, k)
+        assert ((scores >= bound[:, None]).sum(1) >= k).all()
+        q, r = topk.reaching(scores, bound)
+        assert set(zip(q, r)) >= set(zip(*np.nonzero((scores >= bound[:, None]) & (scores > -np.inf))))
+    assert len(topk.reaching(scores, topk.kth_bound(scores, 3))[0]) < 30 * 1000 / 10
