@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,15 +21,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
-from runlore.operators.blocks import bounded_topk
+from runlore.operators.blocks import bounded_topk, numbers
 from runlore.operators.centroids import columns_of, k_means, nearest, sample, unit
 from runlore.operators.search import METRICS, filter_columns
-from runlore.operators.topk import BROADCAST_BYTES, HELD_ROWS, MATRIX_CELLS, ROUNDED_K, AllowedValues, Best, DenseScorer, best_per_query, list_matrix, table_bytes
+from runlore.operators.topk import (
+    BROADCAST_BYTES, HELD_ROWS, QUERIES_AT_ONCE, ROUNDED_K, DenseScorer, _Block, _emit, _pieces, best_per_query, list_matrix, square_sums,
+    table_bytes,
+)
 from runlore.session import materialise
 
 #: Vectors in a block, and the most cells that a table gets unless told otherwise.
 BLOCK_ROWS = 256
 MOST_CELLS = 1024
+#: Rows of blocks that a search scores together.
+ROWS_TOGETHER = 1 << 12
 #: Rows of one cell that a task keeps in a row before another task may take more of them.
 CELL_SHARE = 1 << 18
 SEEDS = 4
@@ -133,11 +138,13 @@ def open_blocks(spark: SparkSession, path: str) -> VectorBlocks:
     return VectorBlocks(spark, path.rstrip("/"), about["metric"], tuple(about["payload"]), tuple(schema[c].dataType.elementType for c in about["payload"]))
 
 
-def block_bounds(queries: np.ndarray, metric: str, centre: np.ndarray, radius: np.ndarray, one: np.ndarray) -> np.ndarray:
+def block_bounds(queries: np.ndarray, metric: str, centre: np.ndarray, radius: np.ndarray, one: np.ndarray,
+                 squares: np.ndarray | None = None) -> np.ndarray:
     """[query, block]: the most that a vector of the block can score. For cosine, queries are unit vectors, as are a
-    block's vectors where ``one`` says so (else some are zero)."""
+    block's vectors where ``one`` says so (else some are zero). ``squares``: ``square_sums`` of the queries if they are
+    there already."""
     product = queries @ centre.T
-    q2, c2 = (queries * queries).sum(1), (centre * centre).sum(1)
+    q2, c2 = square_sums(queries) if squares is None else squares, (centre * centre).sum(1)
     near = np.sqrt(np.maximum(0.0, q2[:, None] - 2 * product + c2[None, :])) - radius[None, :]
     near = np.maximum(0.0, near - 1e-9)
     if metric == "l2":
@@ -182,50 +189,65 @@ def _round(table: VectorBlocks, wanted: DataFrame, schema: T.StructType, keys: t
     metric, arrow, types = table.metric, to_arrow_schema(schema), [to_arrow_type(t) for t in table.kinds]
 
     def bounds():
-        scorer = DenseScorer(shared.value, metric)
+        vectors = DenseScorer(shared.value, metric).vectors
+        squares = square_sums(vectors)
 
         def of(batch: pa.RecordBatch) -> np.ndarray:
-            return block_bounds(scorer.vectors, metric, list_matrix(batch.column("centre")), batch.column("radius").to_numpy(),
-                                batch.column("one").to_numpy(zero_copy_only=False))
+            return block_bounds(vectors, metric, list_matrix(batch.column("centre")), batch.column("radius").to_numpy(),
+                                batch.column("one").to_numpy(zero_copy_only=False), squares)
 
         return of
 
     def score(asked: DataFrame, floor: Broadcast) -> DataFrame:
         cells = [r.cell for r in asked.select("cell").distinct().collect()]  # folders to read
-        met = table.rows().where(F.col("cell").isin(cells)).join(asked.select("block", "asked"), "block").select("asked", "flat", *payload)
+        n = len(floor.value)
+        few = asked.count() * (n // 8 + 16) + 8 * n * seeds <= BROADCAST_BYTES  # a bit or a number each
+        wanted = asked.select("block", "asked")
+        met = table.rows().where(F.col("cell").isin(cells)).join(F.broadcast(wanted) if few else wanted, "block").select("asked", "flat", *payload)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = shared.value
-            scorer, allowed, best = DenseScorer(known, metric), AllowedValues(known, keys, missing_passes), Best(known.num_rows, k)
-            best.kth = floor.value.copy()
-            width = scorer.vectors.shape[1]
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    need = np.array(batch.column("asked")[i].values)
-                    flat = batch.column("flat")[i].values
-                    offsets = pa.array(np.arange(0, len(flat) + 1, max(1, width)), pa.int32())
-                    lists = [batch.column(c)[i].values.cast(t) for c, t in zip(payload, types, strict=True)]
-                    rows = pa.RecordBatch.from_arrays([*lists, pa.ListArray.from_arrays(offsets, flat)], names=[*payload, "embedding"])
-                    prepared, codes = scorer.prepare(rows), allowed.codes(rows)
-                    for some in np.array_split(need, -(-len(need) * rows.num_rows // MATRIX_CELLS)):
-                        scores, error = scorer.estimate_some(some, prepared)
-                        if keys:
-                            scores = np.where(allowed.mask_of(some, codes), scores, -np.inf)
-                        least = best.kth[some]
-                        if rows.num_rows > k:
-                            least = np.maximum(least, np.partition(scores, rows.num_rows - k, axis=1)[:, rows.num_rows - k])
-                        q, r = np.nonzero((scores >= (least - 2 * error)[:, None]) & (scores > -np.inf))
-                        if not len(q):
-                            continue
-                        exact = scorer.exact(some[q], r, prepared, scores[q, r])
-                        keep = exact >= best.kth[some[q]]
-                        if keep.any():
-                            best.merge(some[q][keep], exact[keep], pa.table(columns_of(rows, payload, r[keep]), names=payload))
-            if best.rows is not None:
-                found = [known["query_id"].take(pa.array(best.query)), pa.array(best.score), *best.rows.columns]
-                yield from pa.Table.from_arrays(found, names=schema.names).cast(arrow).to_batches(max_chunksize=10_000)
+            block = _Block(known, partial(DenseScorer, metric=metric), keys, missing_passes, k)
+            for rows, need in _together(batches, known.num_rows, payload, types):
+                if not block.parts:
+                    block.open(rows)
+                    for part in block.parts:
+                        for i, best in enumerate(part.best):
+                            best.kth = floor.value[part.numbers[i * QUERIES_AT_ONCE :][: len(best.kth)]]
+                codes = block.allowed.codes(rows) if block.apart else []
+                for part in block.parts:
+                    own = rows.filter(pa.array(block.allowed.mask(part.numbers[0], part.numbers[0] + 1, codes)[0])) if block.apart else rows
+                    asked_of = np.flatnonzero(need[part.numbers])
+                    others = sum(other.held() for other in block.parts if other is not part)
+                    for piece in _pieces(own) if len(asked_of) else ():
+                        mask = None if block.apart else block.mask(piece)
+                        for found in part.add(piece, part.scorer.prepare(piece), payload, -np.inf, mask, HELD_ROWS - others, asked_of):
+                            yield from _emit(found, known["query_id"], arrow).to_batches(max_chunksize=10_000)
+            for part in block.parts:
+                for i in range(len(part.best)):
+                    for found in part.taken(i):
+                        yield from _emit(found, known["query_id"], arrow).to_batches(max_chunksize=10_000)
 
         return best_per_query(met.mapInArrow(run, schema), payload[0], k)
 
     return bounded_topk(table.heads(), ["cell", "block"], bounds, score, shared, k, seeds)
 
+
+def _together(batches: Iterator[pa.RecordBatch], n: int, payload: list[str], types: list[pa.DataType]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """(rows of some blocks, whether a query needs any of them): blocks go together as long as at least half of the
+    pairs of a query and a row are asked for."""
+    held, n_rows, pairs, union = [], 0, 0, np.zeros(n, dtype=bool)
+    for batch in batches:
+        for i in range(batch.num_rows):
+            flat, lists = batch.column("flat")[i].values, [batch.column(c)[i].values.cast(t) for c, t in zip(payload, types, strict=True)]
+            size, need = len(lists[0]), np.zeros(n, dtype=bool)
+            need[numbers(batch.column("asked"), i)] = True
+            both, more = union | need, int(need.sum()) * size
+            if held and (n_rows + size > ROWS_TOGETHER or int(both.sum()) * (n_rows + size) > 2 * (pairs + more)):
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0], union
+                held, n_rows, pairs, both = [], 0, 0, need
+            offsets = pa.array(np.arange(0, len(flat) + 1, max(1, len(flat) // size)), pa.int32())
+            held.append(pa.RecordBatch.from_arrays([*lists, pa.ListArray.from_arrays(offsets, flat)], names=[*payload, "embedding"]))
+            n_rows, pairs, union = n_rows + size, pairs + more, both
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0], union

@@ -6,10 +6,11 @@ import re
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from runlore.operators import lexical, lookup, postings, search as se
+from runlore.operators import blocks, lexical, lookup, postings, search as se, vector_blocks
 from runlore.operators.centroids import k_means, nearest
 from runlore.operators.partitioned_table import PartitionedTable, filter_rows, may_be_known
 from runlore.operators.quantised import Codes, search_coded, write_coded
@@ -273,3 +274,32 @@ def test_many_ids_leave_the_table_in_place(spark, tmp_path, monkeypatch):
     apart = lookup.looked_up(found, table, ["v"])
     assert "BroadcastHashJoin" in apart._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.q, r.v) for r in apart.collect()) == want
+
+
+def test_blocks_that_all_queries_need(spark, tmp_path, monkeypatch):
+    """Where bounds leave out nothing: a bit for each query of a block, and rows are scored with those of their label only."""
+    rng = np.random.default_rng(8)
+    rows = spark.createDataFrame([(i, x.tolist(), i % 4) for i, x in enumerate(rng.standard_normal((480, 24)))], "vec_id int, embedding array<double>, kind int")
+    queries = rows.select(F.col("vec_id").alias("query_id"), "embedding", F.col("kind").alias("f_kind"))
+    table = write_blocks(rows, str(tmp_path), id_col="vec_id", carry=("kind",), cells=3, block_rows=32)
+    sizes, materialise = [], blocks.materialise
+    monkeypatch.setattr(blocks, "materialise", lambda df: sizes.append(materialise(df)) or sizes[-1])
+    monkeypatch.setattr(blocks, "BOUND_CELLS", 960)
+    found, asked = search_blocks(table, queries, 5)
+    same(found, se.search(rows, queries, 5, id_col="vec_id"), "vec_id", "kind")
+    bits = {len(r.asked) for r in sizes[-1].collect()}
+    assert bits == {480 // 8}  # not a number of eight bytes for each
+    assert asked.agg(F.sum(F.size("asked"))).first()[0] > 0.9 * 480 * table.heads().count()
+
+
+def test_blocks_go_together_if_queries_ask_for_both():
+    flat = [float(x) for x in range(8)]
+
+    def rows(*asked):
+        return [pa.RecordBatch.from_pydict({"asked": pa.array(asked, pa.list_(pa.int64())), "flat": pa.array([flat] * len(asked)), "vec_id": pa.array([[1, 2, 3, 4]] * len(asked))})]
+
+    def sizes(*asked):
+        return [(r.num_rows, np.flatnonzero(need).tolist()) for r, need in vector_blocks._together(iter(rows(*asked)), 6, ["vec_id"], [pa.int64()])]
+
+    assert sizes([0, 1, 2], [0, 1, 3], [5]) == [(8, [0, 1, 2, 3]), (4, [5])]
+    assert sizes([0, 1], [2, 3], [4, 5]) == [(8, [0, 1, 2, 3]), (4, [4, 5])]
