@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from runlore.operators import search as se, topk
+from runlore.operators import lexical, search as se, topk
 from runlore.operators.topk import DenseScorer
 
 
@@ -156,3 +156,43 @@ def test_bounds_leave_no_score_out(kind):
         q, r = topk.reaching(scores, bound)
         assert set(zip(q, r)) >= set(zip(*np.nonzero((scores >= bound[:, None]) & (scores > -np.inf))))
     assert len(topk.reaching(scores, topk.kth_bound(scores, 3))[0]) < 30 * 1000 / 10
+
+
+@pytest.mark.parametrize("missing", [False, True])
+def test_jobs_of_equal_filters_read_the_rows_they_accept(spark, monkeypatch, missing):
+    monkeypatch.setattr(topk, "BROADCAST_BYTES", 2000)
+    read, searched = [], topk._searched
+    monkeypatch.setattr(topk, "_searched", lambda corpus, *args: read.append(corpus.count()) or searched(corpus, *args))
+    v = np.random.default_rng(13).normal(size=(240, 4))
+    kinds = [None if i % 16 == 15 else "abcd"[i % 4] for i in range(240)]
+    wanted = [None if i % 60 == 59 else "abcd"[i % 4] for i in range(240)]
+    rows = spark.createDataFrame([(i, x.tolist(), t) for i, (x, t) in enumerate(zip(v, kinds))], "chunk_id long, embedding array<double>, kind string")
+    asked = spark.createDataFrame([(i, x.tolist(), t) for i, (x, t) in enumerate(zip(v, wanted))], "query_id long, embedding array<double>, f_kind string")
+    unit = v / np.sqrt((v**2).sum(1, keepdims=True))
+    found = {}
+    for r in sorted(se.search(rows, asked, 4, missing_passes=missing, broadcast_bytes=1000).collect(), key=lambda r: r["rank"]):
+        found.setdefault(r.query_id, []).append(r.chunk_id)
+    for q in range(240):
+        allowed = [r for r in range(240) if wanted[q] is None or kinds[r] == wanted[q] or (missing and kinds[r] is None)]
+        assert found[q] == sorted(allowed, key=lambda r: (-(unit[q] @ unit[r]), r))[:4]
+    assert len(read) == 7 and sum(read) < 0.6 * 7 * 240  # 13,680 bytes, 2,000 a job; one accepts all rows
+
+
+def test_hot_terms_are_a_product(monkeypatch):
+    """Scores by matrix product and posting by posting are the same, also where a product has no room for all hot terms."""
+    rng = np.random.default_rng(14)
+    words = [f"w{i}" for i in range(40)]
+    texts = [[w for i, w in enumerate(words) for _ in range(rng.integers(0, 3)) if rng.random() < 1 / (1 + i / 4)] for _ in range(70)]
+    asked = [sorted({*rng.choice(words, 6), "w0", "unknown"}) for _ in range(30)]
+    queries = pa.table({"query_id": np.arange(30), "terms": asked, "weights": [rng.uniform(0.1, 3, len(a)).tolist() for a in asked]})
+    scorer = lexical.BM25Scorer(queries, 20.0)
+    made, product = [], scorer._product
+    monkeypatch.setattr(scorer, "_product", lambda hot, *args: made.append(len(hot)) or product(hot, *args))
+    ready = scorer.prepare(pa.RecordBatch.from_pydict({"terms": pa.array(texts)}))
+    scores = []
+    for share, cells in ((64, 1 << 22), (64, 300), (0, 1 << 22)):
+        monkeypatch.setattr(lexical, "PRODUCT_SHARE", share)
+        monkeypatch.setattr(lexical, "PRODUCT_CELLS", cells)
+        scores.append(scorer.estimate(3, 28, ready)[0])
+    assert made[0] > 10 and made[1:] == [300 // (25 + 70)]
+    assert np.abs(scores[0] - scores[2]).max() < 1e-8 and np.abs(scores[1] - scores[2]).max() < 1e-8 and scores[2].max() > 1
