@@ -119,3 +119,20 @@ def test_retrieval_threshold_expansion_and_cut(spark):
     assert got == ["c3", "c4"]
     strict = RetrievalSettings(dense=False, filter_keys=(), final_k=1)
     assert sorted(r.chunk_id for r in retrieve(q, kb, strict, passages=passages).collect()) == ["c1", "c3"]
+
+
+@pytest.mark.parametrize("most", [10_000, 0])
+def test_documents_that_hold_passages(spark, tmp_path, monkeypatch, most):
+    """Runs are put together only where a passage's first word stands; with too many such words, everywhere."""
+    from runlore.queries import retrieval
+
+    monkeypatch.setattr(retrieval, "FIRST_WORDS", most)
+    long = "one two three four five six seven eight nine ten"
+    passages = [(1, long), (2, "short  passage"), (3, " leads with a space and goes on for long"), (4, "one two three four five six seven eight other"), (5, "")]
+    texts = [(1, f"x y {long} z"), (2, "short\npassage"), (3, "  leads with a space and goes on for longer"), (4, "one two\nthree four five six seven eight nine ten"),
+             (5, None), (6, ""), (7, "one one two three four five six seven eight nine"), (8, "short passage with more words than a run may have")]
+    spark.createDataFrame(passages, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, t, "en", "src1") for i, t in texts], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = retrieval.containing_documents(spark, str(tmp_path))
+    assert {tuple(r) for r in found.collect()} == {(1, 1), (1, 4), (2, 2), (3, 3), (5, 6)}
+    assert ("filter(sequence" in found._jdf.queryExecution().optimizedPlan().toString()) == (most > 0)
